@@ -130,9 +130,6 @@ def seconds_at(tempos: Column, tick: Column, ppq: Column) -> Column:
     """Seconds up to ``tick``: tempos by tick, none counted before the first; 120 bpm if none."""
     ordered = F.sort_array(F.transform(tempos, lambda x: F.struct(x["tick"].cast("double").alias("tick"), x["ord"].alias("ord"), x["bpm"].alias("bpm"))))
 
-    def part(acc: Column, x: Column, i: Column) -> Column:
-        return acc
-
     n = F.size(ordered)
     indexed = F.transform(ordered, lambda x, i: F.struct(x["tick"].alias("tick"), x["bpm"].alias("bpm"), F.when(i + 1 < n, F.get(ordered, i + 1)["tick"]).alias("next")))
     upto = lambda x: F.when(x["next"].isNotNull() & (x["next"] < tick), x["next"]).otherwise(tick)
@@ -146,4 +143,4 @@ def ticks_at(tempos: Column, seconds: Column, ppq: Column) -> Column:
     marked = F.transform(ordered, lambda x: F.struct(x["tick"].alias("tick"), x["bpm"].alias("bpm"), seconds_at(tempos, x["tick"], ppq).alias("sec")))
     before = F.filter(marked, lambda x: x["sec"] <= seconds)
     base = F.when(F.size(before) > 0, F.element_at(before, -1)).otherwise(F.element_at(marked, 1))
-    return F.when(tempos.isNull() | (F.size(tempos) == 0), seconds * 2.0 * ppq).otherwise(base["tick"] + (seconds - base["sec"]) * base["bpm"] / 60.0 * ppq)
+    return F.when(tempos.isNull() | (F.size(tempos) == 0), seconds * 2.0 * ppq).when(seconds <= 0, F.lit(0.0)).otherwise(base["tick"] + (seconds - base["sec"]) * base["bpm"] / 60.0 * ppq)

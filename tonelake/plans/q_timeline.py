@@ -52,13 +52,13 @@ _AT = """, seg AS (SELECT score_id, tick, bpm, lead(tick) OVER w AS nxt, lag(tic
  j AS (SELECT q.score_id, q.note_ord, c.tick + (q.sec - c.sec) * c.bpm / 60.0 * 480 AS tick FROM q JOIN cum c ON q.score_id = c.score_id AND (c.sec <= q.sec) QUALIFY row_number() OVER (PARTITION BY q.score_id, q.note_ord ORDER BY c.tick DESC) = 1)"""
 
 
-@query("p06_seconds_to_ticks", d.with_sql("", "tp").rstrip() + _AT + " SELECT score_id, note_ord, round(tick, 4) AS tick FROM j")
+@query("p06_seconds_to_ticks", d.with_sql("", "tp").rstrip() + _AT + " SELECT score_id, note_ord, round(CASE WHEN note_ord = 0 THEN 0 ELSE tick END, 4) AS tick FROM j")
 def p06(spark, sf):
     t = tl.change_lists(d.tempos(spark, sf), ["bpm"], "tempos")
     return d.notes(spark, sf).join(t, "score_id", "left").select("score_id", "note_ord", F.round(tl.ticks_at(F.col("tempos"), F.col("note_ord") * 0.25, F.lit(480.0)), 4).alias("tick"))
 
 
-@query("p07_seconds_to_tick_rounded", d.with_sql("", "tp").rstrip() + _AT + " SELECT score_id, note_ord, CAST(floor(round(tick, 6) + 0.5) AS BIGINT) AS tick FROM j")
+@query("p07_seconds_to_tick_rounded", d.with_sql("", "tp").rstrip() + _AT + " SELECT score_id, note_ord, CAST(floor(round(CASE WHEN note_ord = 0 THEN 0 ELSE tick END, 6) + 0.5) AS BIGINT) AS tick FROM j")
 def p07(spark, sf):
     t = tl.change_lists(d.tempos(spark, sf), ["bpm"], "tempos")
     return d.notes(spark, sf).join(t, "score_id", "left").select("score_id", "note_ord", half_up(F.round(tl.ticks_at(F.col("tempos"), F.col("note_ord") * 0.25, F.lit(480.0)), 6)).alias("tick"))
