@@ -121,9 +121,10 @@ def overlaps(notes: DataFrame, spans: DataFrame, start: str = "w_start", end: st
 def locate(points: DataFrame, bars: DataFrame, tick: str = "tick", bucket: int = 7680) -> DataFrame:
     """Adds ``measure`` and ``measure_start`` of the measure that holds ``tick``; null if none."""
     a = points.withColumn("_b", F.floor(F.col(tick) / bucket))
-    b = bars.select("score_id", F.col("index").alias("measure"), F.col("start_tick").alias("measure_start"), F.col("end_tick").alias("measure_end"), F.explode(F.sequence(F.floor(F.col("start_tick") / bucket), F.floor((F.col("end_tick") - 1e-6) / bucket))).alias("_b"))
-    inside = (a["score_id"] == b["score_id"]) & (a["_b"] == b["_b"]) & (a[tick] >= b["measure_start"]) & (a[tick] < b["measure_end"])
-    return a.join(b, inside, "left").drop(b["score_id"]).drop("_b")
+    touched = F.explode(F.sequence(F.floor(F.col("start_tick") / bucket), F.floor((F.col("end_tick") - 1e-6) / bucket)))
+    b = bars.select(F.col("score_id").alias("_s"), F.col("index").alias("measure"), F.col("start_tick").alias("measure_start"), F.col("end_tick").alias("measure_end"), touched.alias("_c"))
+    inside = (F.col("score_id") == F.col("_s")) & (F.col("_b") == F.col("_c")) & (F.col(tick) >= F.col("measure_start")) & (F.col(tick) < F.col("measure_end"))
+    return a.join(b, inside, "left").drop("_s", "_b", "_c")
 
 
 def seconds_at(tempos: Column, tick: Column, ppq: Column) -> Column:

@@ -92,9 +92,9 @@ def _scored(spark, sf):
     return rows.select("score_id", "measure", "w", "cand_ord", "root", "quality", score.alias("score"))
 
 
-@query("a05_candidate_scores", _sql(_SCORED.replace("WHERE t.score_id % 10 = 0", "") + " SELECT score_id, measure, w, cand_ord, round(score, 6) AS score FROM sc WHERE score >= 0.9"))
+@query("a05_candidate_scores", _sql(_SCORED.replace("WHERE t.score_id % 10 = 0", "") + " SELECT score_id, measure, w, cand_ord, round(score, 6) AS score FROM sc WHERE round(score, 6) >= 0.9"))
 def a05(spark, sf):
-    return _scored(spark, sf).where("score >= 0.9").select("score_id", "measure", "w", "cand_ord", F.round("score", 6).alias("score"))
+    return _scored(spark, sf).where("round(score, 6) >= 0.9").select("score_id", "measure", "w", "cand_ord", F.round("score", 6).alias("score"))
 
 
 @query("a06_best_candidate", _sql(_SCORED.replace("WHERE t.score_id % 10 = 0", "") + " SELECT score_id, measure, w, root, quality FROM sc QUALIFY row_number() OVER (PARTITION BY score_id, measure, w ORDER BY round(score, 9) DESC, cand_ord) = 1"))

@@ -1 +1,142 @@
-"""Queries."""
+"""Accuracy queries: the derived notes against a disturbed copy."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import metrics as mt
+from . import derived as d
+from .registry import query
+
+#: A recogniser's output: every seventh note lost, some onsets late, some pitches wrong.
+_FOUND = ", fd AS (SELECT score_id, note_ord, pitch + CASE WHEN note_ord % 11 = 0 THEN 1 ELSE 0 END AS pitch, start_tick + (note_ord % 4) * 20 AS start_tick, duration FROM notes WHERE note_ord % 7 <> 6)"
+
+
+def _found(spark, sf):
+    i = F.col("note_ord")
+    return d.notes(spark, sf).where(i % 7 != 6).select("score_id", "note_ord", (F.col("pitch") + F.when(i % 11 == 0, 1).otherwise(0)).alias("pitch"), (F.col("start_tick") + i % 4 * 20).alias("start_tick"), "duration")
+
+
+def _sql(body: str) -> str:
+    return d.with_sql("", "notes").rstrip() + _FOUND + body
+
+
+@query("j12_band_join_candidates", _sql(" SELECT t.score_id, t.note_ord AS t, f.note_ord AS f, abs(t.start_tick - f.start_tick) AS off FROM notes t JOIN fd f ON t.score_id = f.score_id AND t.pitch = f.pitch AND abs(t.start_tick - f.start_tick) <= 60"))
+def j12(spark, sf):
+    return mt.candidates(d.notes(spark, sf), _found(spark, sf), 60).select("score_id", "t", "f", "off")
+
+
+@query("j12_greedy_matches")
+def j12_greedy(spark, sf):
+    return mt.match_notes(d.notes(spark, sf), _found(spark, sf), 60)
+
+
+@query("a15_precision_recall", _sql(""" , m AS (SELECT t.score_id, count(*) AS n FROM notes t JOIN fd f ON t.score_id = f.score_id AND t.note_ord = f.note_ord AND t.pitch = f.pitch GROUP BY 1),
+ c AS (SELECT score_id, count(*) AS t, (SELECT count(*) FROM fd WHERE fd.score_id = n.score_id) AS f FROM notes n GROUP BY 1)
+ SELECT c.score_id, round(coalesce(m.n, 0) / c.f, 6) AS "precision", round(coalesce(m.n, 0) / c.t, 6) AS recall, round(CASE WHEN coalesce(m.n, 0) = 0 THEN 0 ELSE 2.0 * m.n / (c.f + c.t) END, 6) AS f1 FROM c LEFT JOIN m USING (score_id)"""))
+def a15(spark, sf):
+    truth, found = d.notes(spark, sf), _found(spark, sf)
+    hits = truth.join(found.select("score_id", "note_ord", "pitch"), ["score_id", "note_ord", "pitch"]).groupBy("score_id").agg(F.count("*").alias("n"))
+    counts = truth.groupBy("score_id").agg(F.count("*").alias("t")).join(found.groupBy("score_id").agg(F.count("*").alias("f")), "score_id", "full_outer")
+    rows = counts.join(hits, "score_id", "left").fillna(0)
+    rows = rows.select("score_id", mt.prf(F.col("n"), F.col("t"), F.col("f")).alias("x"))
+    return rows.select("score_id", *[F.round(f"x.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("a16_best_offset", _sql(" SELECT score_id, CAST(k * 60 AS BIGINT) AS \"offset\" FROM (SELECT t.score_id, CAST(floor((t.start_tick - f.start_tick) / 60.0 + 0.5) AS BIGINT) AS k, count(*) AS n FROM notes t JOIN fd f ON t.score_id = f.score_id AND t.pitch = f.pitch GROUP BY 1, 2) h QUALIFY row_number() OVER (PARTITION BY score_id ORDER BY n DESC, abs(k), k) = 1"))
+def a16(spark, sf):
+    return mt.best_offset(d.notes(spark, sf), _found(spark, sf), 60)
+
+
+@query("a14_page_reliability", d.with_sql(""" , lb AS (SELECT score_id, note_ord // 5 AS page, NOT (pitch % 3 = 0) AND velocity >= 32 AS ok FROM notes WHERE note_ord % 5 <> note_ord % 3),
+ pp AS (SELECT score_id, page, count(*) AS n, count(*) FILTER (WHERE ok) AS k FROM lb GROUP BY 1, 2),
+ sm AS (SELECT score_id, sum(n) AS n, sum(k) AS k FROM pp WHERE n < 4 GROUP BY 1)
+ SELECT p.score_id, p.page FROM pp p LEFT JOIN sm s USING (score_id) WHERE CASE WHEN p.n >= 4 THEN p.k < 0.75 * p.n ELSE s.k < 0.75 * s.n END""", "notes"))
+def a14(spark, sf):
+    i = F.col("note_ord")
+    labels = d.notes(spark, sf).where(i % 5 != i % 3).select("score_id", F.expr("note_ord div 5").alias("page"), ((F.col("pitch") % 3 != 0) & (F.col("velocity") >= 32)).alias("confident"))
+    return mt.unreliable_pages(labels)
+
+
+@query("a17_key_accuracy", d.with_sql("SELECT k.score_id, CAST(count(*) FILTER (WHERE k.fifths = (SELECT arg_max(fifths, ord) FROM ks z WHERE z.score_id = k.score_id AND z.tick <= k.tick + 200)) AS BIGINT) AS ok, CAST(count(*) AS BIGINT) AS total FROM ks k GROUP BY 1", "ks"))
+def a17(spark, sf):
+    from ..operators import timeline as tl
+
+    keys = d.key_signatures(spark, sf)
+    rows = keys.join(tl.change_lists(keys, ["fifths"], "all"), "score_id", "left")
+    right = tl.as_of(F.col("all"), F.col("tick") + 200)["fifths"] == F.col("fifths")
+    return rows.groupBy("score_id").agg(F.count_if(right).alias("ok"), F.count("*").alias("total"))
+
+
+@query("a18_chord_sequences_equal", d.with_sql(""" , pg AS (SELECT score_id, tick // 1920 AS measure, string_agg(text, ' ' ORDER BY ord) AS truth, string_agg(CASE WHEN confidence < 0.2 THEN root ELSE text END, ' ' ORDER BY ord) AS read FROM printed GROUP BY 1, 2)
+ SELECT score_id, CAST(count(*) FILTER (WHERE truth = read) AS BIGINT) AS exact, CAST(count(*) AS BIGINT) AS measures FROM pg GROUP BY 1""", "printed"))
+def a18(spark, sf):
+    seq = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("ord", c.alias("v")))), lambda x: x["v"])
+    read = F.when(F.col("confidence") < 0.2, F.col("root")).otherwise(F.col("text"))
+    per = d.printed(spark, sf).groupBy("score_id", F.expr("tick div 1920").alias("measure")).agg(seq(F.col("text")).alias("truth"), seq(read).alias("read"))
+    return per.groupBy("score_id").agg(F.count_if(F.col("truth") == F.col("read")).alias("exact"), F.count("*").alias("measures"))
+
+
+@query("a19_slash_recall", d.with_sql("SELECT score_id, CAST(count(*) FILTER (WHERE pitch % 4 = 0) AS BIGINT) AS truth, CAST(count(*) FILTER (WHERE pitch % 4 = 0 AND note_ord % 3 > 0) AS BIGINT) AS hit, CAST(count(*) FILTER (WHERE pitch % 4 <> 0 AND note_ord % 9 = 1) AS BIGINT) AS false_positives FROM notes GROUP BY 1", "notes"))
+def a19(spark, sf):
+    true, read = F.col("pitch") % 4 == 0, ((F.col("pitch") % 4 == 0) & (F.col("note_ord") % 3 > 0)) | ((F.col("pitch") % 4 != 0) & (F.col("note_ord") % 9 == 1))
+    return d.notes(spark, sf).groupBy("score_id").agg(F.count_if(true).alias("truth"), F.count_if(true & read).alias("hit"), F.count_if(~true & read).alias("false_positives"))
+
+
+@query("a20_corpus_means", d.with_sql("SELECT CAST(score_id % 3 AS BIGINT) AS mode, round(avg(CASE WHEN n % 5 = 0 THEN 0 ELSE n END), 6) AS mean_notes FROM (SELECT score_id, count(*) AS n FROM notes GROUP BY 1) t GROUP BY 1", "notes"))
+def a20(spark, sf):
+    per = d.notes(spark, sf).groupBy("score_id").agg(F.count("*").alias("n"))
+    return per.groupBy((F.col("score_id") % 3).alias("mode")).agg(F.round(F.avg(F.when(F.col("n") % 5 == 0, 0).otherwise(F.col("n"))), 6).alias("mean_notes"))
+
+
+@query("a24_evidence_tally", d.with_sql("SELECT score_id, CAST(count(*) FILTER (WHERE confidence >= 0.5 AND NOT repaired) AS BIGINT) AS kept_right, CAST(count(*) FILTER (WHERE confidence >= 0.5 AND repaired) AS BIGINT) AS kept_wrong, CAST(count(*) FILTER (WHERE confidence < 0.5 AND NOT repaired) AS BIGINT) AS lost_right FROM printed GROUP BY 1", "printed"))
+def a24(spark, sf):
+    kept, right = F.col("confidence") >= 0.5, ~F.col("repaired")
+    return d.printed(spark, sf).groupBy("score_id").agg(F.count_if(kept & right).alias("kept_right"), F.count_if(kept & ~right).alias("kept_wrong"), F.count_if(~kept & right).alias("lost_right"))
+
+
+@query("j15_used_once_match", d.with_sql(""" , a AS (SELECT score_id, note_ord AS ord, pitch, row_number() OVER (PARTITION BY score_id, pitch ORDER BY note_ord) AS k FROM notes),
+ b AS (SELECT score_id, note_ord AS ord, pitch, row_number() OVER (PARTITION BY score_id, pitch ORDER BY note_ord) AS k FROM notes WHERE note_ord % 3 <> 1)
+ SELECT a.score_id, a.ord, b.ord AS found_ord, a.pitch FROM a JOIN b USING (score_id, pitch, k)""", "notes"))
+def j15(spark, sf):
+    n = d.notes(spark, sf).select("score_id", F.col("note_ord").alias("ord"), "pitch")
+    return mt.used_once(n, n.where("ord % 3 <> 1"), ["score_id", "pitch"])
+
+
+@query("j11_nearest_sample", d.with_sql("SELECT score_id, note_ord, (SELECT s FROM (SELECT unnest([40, 43, 46, 52, 60, 71]) s) q ORDER BY abs(s - pitch), s LIMIT 1) AS sample FROM notes", "notes"))
+def j11(spark, sf):
+    samples = F.array(*[F.lit(x) for x in (40, 43, 46, 52, 60, 71)])
+    best = F.array_min(F.transform(samples, lambda s: F.struct(F.abs(s - F.col("pitch")).alias("off"), s.alias("s"))))["s"]
+    return d.notes(spark, sf).select("score_id", "note_ord", best.alias("sample"))
+
+
+@query("j16_longest_common_subsequence")
+def j16(spark, sf):
+    seq = F.transform(F.sort_array(F.collect_list(F.struct("note_ord", "pitch"))), lambda x: x["pitch"])
+    a = d.notes(spark, sf).groupBy("score_id").agg(seq.alias("a"))
+    b = _found(spark, sf).groupBy("score_id").agg(seq.alias("b"))
+    return a.join(b, "score_id").mapInPandas(lambda it: (p.assign(lcs=[mt.lcs(list(x), list(y)) for x, y in zip(p["a"], p["b"])])[["score_id", "lcs"]] for p in it), "score_id long, lcs long")
+
+
+@query("a12_majority_barlines", d.with_sql(""" , mk AS (SELECT score_id, track_ord AS staff, start_tick // 960 AS spot FROM notes)
+ SELECT score_id, spot FROM mk GROUP BY 1, 2 HAVING count(DISTINCT staff) * 2 >= (SELECT count(DISTINCT track_ord) FROM notes n WHERE n.score_id = mk.score_id)""", "notes"))
+def a12(spark, sf):
+    n = d.notes(spark, sf)
+    marks = n.groupBy("score_id", F.expr("start_tick div 960").alias("spot")).agg(F.countDistinct("track_ord").alias("have"))
+    return marks.join(n.groupBy("score_id").agg(F.countDistinct("track_ord").alias("staves")), "score_id").where("have * 2 >= staves").select("score_id", "spot")
+
+
+@query("a13_meter_vote", d.with_sql(""" , v AS (SELECT score_id, numerator, count(*) AS n FROM bars GROUP BY 1, 2), t AS (SELECT score_id, sum(n) AS n FROM v GROUP BY 1)
+ SELECT v.score_id, v.numerator FROM v JOIN t USING (score_id) WHERE t.n >= 3 AND v.n >= 0.6 * t.n""", "bars"))
+def a13(spark, sf):
+    votes = d.bars(spark, sf).groupBy("score_id", "numerator").agg(F.count("*").alias("n"))
+    total = votes.groupBy("score_id").agg(F.sum("n").alias("all"))
+    return votes.join(total, "score_id").where("all >= 3 and n >= 0.6 * all").select("score_id", "numerator")
+
+
+@query("w11_stable_keys", d.with_sql("SELECT score_id, ord, fifths FROM (SELECT *, lead(fifths) OVER w AS nxt, lag(fifths) OVER w AS was FROM ks WINDOW w AS (PARTITION BY score_id ORDER BY ord)) t WHERE was IS NULL OR nxt IS NULL OR fifths = nxt OR fifths = was", "ks"))
+def w11(spark, sf):
+    w = Window.partitionBy("score_id").orderBy("ord")
+    rows = d.key_signatures(spark, sf).withColumns({"nxt": F.lead("fifths").over(w), "was": F.lag("fifths").over(w)})
+    return rows.where("was is null or nxt is null or fifths = nxt or fifths = was").select("score_id", "ord", "fifths")
