@@ -70,7 +70,7 @@ def _lanewise(a: Column, b: Column, sign: int) -> Column:
     for i in range(LANES + WORDS + 1):
         modulus = 1 << 32 if i < LANES else 1 << 63
         x, y = F.element_at(a, i + 1).cast("decimal(20,0)"), F.element_at(b, i + 1).cast("decimal(20,0)")
-        out.append(F.pmod(x + y if sign > 0 else x - y, F.lit(modulus).cast("decimal(20,0)")).cast("long"))
+        out.append(F.pmod(x + y if sign > 0 else x - y, F.lit(str(modulus)).cast("decimal(20,0)")).cast("long"))
     return F.array(*out)
 
 

@@ -165,7 +165,7 @@ def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b["text"].where(b.pop("_letters")).to_list() if text_kept else b.pop("_text").to_list()
+            texts = [t if ok else None for t, ok in zip(b["text"], b.pop("_letters"))] if text_kept else b.pop("_text").to_list()
             pred, score = [UNKNOWN] * len(b), np.zeros(len(b))
             start = 0
             while net is not None and start < len(texts):

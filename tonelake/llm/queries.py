@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, language, licences, mixing, neardup, packing, topk, urls, warc
+from . import chat, fingerprints, language, licences, mixing, neardup, oracles, packing, topk, urls, warc
 from .common import table, text_of
 
 
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
