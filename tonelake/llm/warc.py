@@ -70,43 +70,49 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = 0, salts: int = 16) -> DataFrame:
-    """``(page_id, url, payload, revisit, refers_to)`` of each page.
+def payloads_of(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, payload, sum)`` of each page."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(text_of("html"), "UTF-8").alias("payload"))
+    return rows.withColumn("sum", F.sha1("payload"))
+
 
-    Payloads are compared by SHA-1 and length.  Of equal ones, the largest
+def revisits(rows: DataFrame, least_bytes: int = 0, salts: int = 16) -> DataFrame:
+    """``(page_id, url, sum, revisit, refers_to)`` of the pages that share a payload.
+
+    Payloads are compared by SHA-1.  Of equal ones, the largest
     ``(page_id, url)`` is stored, once, and rows equal to it in both refer to
     it as well.  Payloads of fewer than ``least_bytes`` bytes are all stored.
-    Only digests are grouped; those that occur more than once are joined back
+    Only digests are shuffled; those that occur more than once are joined back
     under ``salts`` salts, so that a common payload is spread over tasks.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(text_of("html"), "UTF-8").alias("payload"))
-    rows = rows.withColumn("sum", F.sha1("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
-    keys = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sum").agg(
-        F.count("*").alias("n"), F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "url")).alias("top"))
+    rows = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", "url", "sum", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).alias("salt"))
+    keys = rows.groupBy("sum").agg(F.count("*").alias("n"), F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "url")).alias("top"))
     twice = keys.where("n > 1").select(F.col("sum").alias("s"), "top", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("t"))
-    rows = rows.join(twice, (rows["sum"] == twice["s"]) & (rows["salt"] == twice["t"]), "left")
+    rows = rows.join(twice, (rows["sum"] == twice["s"]) & (rows["salt"] == twice["t"]))
     is_top = F.col("top.page_id").eqNullSafe(F.col("page_id")) & F.col("top.url").eqNullSafe(F.col("url"))
-    revisit = F.col("top").isNotNull() & ~is_top
-    return rows.select("page_id", "url", "payload", F.col("top").isNotNull().alias("shared"), revisit.alias("revisit"), F.when(revisit, F.col("top.page_id")).alias("refers_to"))
+    return rows.select("page_id", "url", "sum", (~is_top).alias("revisit"), F.when(~is_top, F.col("top.page_id")).alias("refers_to"))
 
 
-def sharded(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Adds ``shard``: consecutive page ids with near-equal payload bytes.
+def sharded(rows: DataFrame, shard_bytes: int = SHARD_BYTES):
+    """A function that adds ``shard``: consecutive page ids with near-equal payload bytes.
 
     From the exact bytes in ``HISTOGRAM`` equal id ranges, so always the same
     for the same table.  Null ids make up a shard of their own.
     """
     lo, hi = rows.agg(F.min("page_id"), F.max("page_id")).first()
     if lo is None:
-        return rows.withColumn("shard", F.lit(-1).cast("long"))
+        return lambda df: df.withColumn("shard", F.lit(-1).cast("long"))
     width = max(1, -(-(hi - lo + 1) // HISTOGRAM))
     cell = F.expr(f"page_id div {width}L").cast("long")
     mass = rows.where("page_id is not null").groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("payload")).alias("bytes"))
     line = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most HISTOGRAM + 1 rows
     mass = mass.select("cell", F.floor(F.coalesce(F.sum("bytes").over(line), F.lit(0)) / shard_bytes).cast("long").alias("shard"))
     # At most HISTOGRAM + 1 rows are broadcast.
-    placed = rows.withColumn("cell", cell).join(F.broadcast(mass), "cell", "left")
-    return placed.withColumn("shard", F.coalesce("shard", F.lit(-1).cast("long"))).drop("cell")
+    def place(df: DataFrame) -> DataFrame:
+        placed = df.withColumn("cell", cell).join(F.broadcast(mass), "cell", "left")
+        return placed.withColumn("shard", F.coalesce("shard", F.lit(-1).cast("long"))).drop("cell")
+
+    return place
 
 
 def write(pages: DataFrame, out: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -116,9 +122,13 @@ def write(pages: DataFrame, out: str, least_bytes: int = 0, shard_bytes: int = S
     opens.  A task that runs again writes the same bytes under the same names.
     """
     spark = pages.sparkSession
-    rows = sharded(with_revisits(pages, least_bytes), shard_bytes)
-    n = rows.select("shard").distinct().count()
-    rows = rows.repartition(max(1, n), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", "payload")
+    rows = payloads_of(pages)
+    place = sharded(rows, shard_bytes)
+    n = place(rows).select("shard").distinct().count()
+    # Payloads are shuffled once: what is known of a page's copies travels beside it, as a row without payload that sorts first.
+    marks = revisits(rows, least_bytes).withColumn("payload", F.lit(None).cast("binary"))
+    both = rows.withColumns({"revisit": F.lit(None).cast("boolean"), "refers_to": F.lit(None).cast("long")}).unionByName(marks)
+    rows = place(both).repartition(max(1, n), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("payload").asc_nulls_first())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
@@ -127,7 +137,7 @@ def write(pages: DataFrame, out: str, least_bytes: int = 0, shard_bytes: int = S
 
         store, base = fs.FileSystem.from_uri(out)
         store.create_dir(base, recursive=True)
-        state: dict = {"shard": None, "last": None}
+        state: dict = {"shard": None, "last": None, "page": None, "marks": {}}
 
         def close() -> list:
             if state.get("file") is None:
@@ -145,16 +155,22 @@ def write(pages: DataFrame, out: str, least_bytes: int = 0, shard_bytes: int = S
                 if r.shard != state["shard"]:
                     done += close()
                     state.update(shard=int(r.shard), roll=0, file=None)
+                page_id = None if pd.isna(r.page_id) else int(r.page_id)
+                if (page_id, r.url) != state["page"]:
+                    state.update(page=(page_id, r.url), marks={})
+                if r.payload is None:
+                    state["marks"][r.sum] = (bool(r.revisit), None if pd.isna(r.refers_to) else int(r.refers_to))
+                    continue
                 if state.get("file") is None:
                     temp = f"{base}/.tmp-{uuid.uuid4().hex}"
                     state.update(temp=temp, file=store.open_output_stream(temp, compression=None), records=0, bytes=0, sum=hashlib.sha256())
-                page_id = None if pd.isna(r.page_id) else int(r.page_id)
-                refers = None if pd.isna(r.refers_to) else int(r.refers_to)
                 # Rows equal to the stored one in id, url and payload come one after another; only the first is stored.
-                here = (state["shard"], page_id, r.url, r.payload)
-                again = bool(r.shared) and not r.revisit and here == state["last"]
+                here = (page_id, r.url, r.sum)
+                mark = state["marks"].get(r.sum)
+                again = mark is not None and not mark[0] and here == state["last"]
                 state["last"] = here
-                data = gzip_member(record(page_id, r.url, bytes(r.payload), page_id if again else refers, bool(r.revisit) or again))
+                revisit, refers = (True, page_id) if again else mark or (False, None)
+                data = gzip_member(record(page_id, r.url, bytes(r.payload), refers, revisit))
                 state["file"].write(data)
                 state["sum"].update(data)
                 state["records"] += 1
@@ -165,7 +181,7 @@ def write(pages: DataFrame, out: str, least_bytes: int = 0, shard_bytes: int = S
         yield pd.DataFrame(close(), columns=["shard", "file", "records", "bytes", "sha256"])
 
     manifest = f"{out}/manifest"
-    rows.select("shard", "page_id", "url", "payload", "shared", "revisit", "refers_to").mapInPandas(run, _MANIFEST).write.parquet(manifest)
+    rows.select("shard", "page_id", "url", "sum", "payload", "revisit", "refers_to").mapInPandas(run, _MANIFEST).write.parquet(manifest)
     return spark.read.schema(_MANIFEST).parquet(manifest)
 
 
