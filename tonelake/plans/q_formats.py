@@ -1 +1,135 @@
-"""Queries."""
+"""Format queries: kinds, round trips through the writers and readers, exports."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..sinks import files as sk
+from ..sources import abc, files, midi, musicxml, project
+from . import derived as d
+from .registry import query
+
+_NAMES = "VALUES ('a.MID', ''), ('b.kar', ''), ('c.mxl', ''), ('d.gp5', ''), ('e.json', ''), ('f', 'MThd....'), ('g', '%PDF-1.7'), ('h', 'BCFZxxxx'), ('i', 'X:1'), ('j.webp', ''), ('k', '<?xml version=\"1.0\"?>'), ('l', 'OggS'), ('m', 'plain'), ('n.tar.ABC', ''), ('dir.mid/o', 'ID3')"
+
+
+@query("s02_detect_kind", f"""SELECT name, CASE lower(regexp_extract(name, '\\.([^.\\\\/]*)$', 1)) WHEN 'mid' THEN 'midi' WHEN 'kar' THEN 'midi' WHEN 'mxl' THEN 'musicxml' WHEN 'gp5' THEN 'guitarpro' WHEN 'json' THEN 'project' WHEN 'webp' THEN 'image' WHEN 'abc' THEN 'abc'
+ ELSE CASE WHEN starts_with(head, 'MThd') THEN 'midi' WHEN starts_with(head, '%PDF') THEN 'pdf' WHEN starts_with(head, 'BCFZ') THEN 'guitarpro' WHEN starts_with(head, 'OggS') OR starts_with(head, 'ID3') THEN 'audio' WHEN starts_with(head, '<?xml') THEN 'musicxml' WHEN regexp_matches(head, '^X:\\s*\\d') THEN 'abc' ELSE 'unknown' END END AS kind FROM ({_NAMES}) v(name, head)""")
+def s02(spark, sf):
+    rows = spark.sql(f"SELECT * FROM ({_NAMES}) v(name, head)")
+    return rows.select("name", files.detect_kind(F.col("name"), F.col("head").cast("binary")).alias("kind"))
+
+
+@query("s04_guitar_target", d.with_sql("SELECT score_id, track_ord FROM (SELECT score_id, track_ord, (track_ord * 7 + score_id) % 40 BETWEEN 24 AND 31 AS guitar, count(*) AS n FROM notes GROUP BY 1, 2) t QUALIFY row_number() OVER (PARTITION BY score_id ORDER BY guitar DESC, n DESC, track_ord) = 1", "notes"))
+def s04(spark, sf):
+    tracks = d.notes(spark, sf).groupBy("score_id", "track_ord").agg(F.count("*").alias("n"))
+    guitar = ((F.col("track_ord") * 7 + F.col("score_id")) % 40).between(24, 31)
+    return tracks.groupBy("score_id").agg(F.max_by("track_ord", F.struct(guitar.alias("g"), "n", (-F.col("track_ord")).alias("o"))).alias("track_ord"))
+
+
+@query("s11_gp_target", d.with_sql("SELECT score_id, track_ord FROM (SELECT score_id, track_ord, CASE WHEN (track_ord * 5 + score_id) % 40 BETWEEN 24 AND 31 AND score_id % 10 <= 8 THEN 0 WHEN score_id % 10 >= 6 THEN 1 ELSE 2 END AS r FROM notes GROUP BY 1, 2) t QUALIFY row_number() OVER (PARTITION BY score_id ORDER BY r, track_ord) = 1", "notes"))
+def s11(spark, sf):
+    tracks = d.notes(spark, sf).select("score_id", "track_ord").distinct()
+    strings = F.col("score_id") % 10
+    rank = F.when(((F.col("track_ord") * 5 + F.col("score_id")) % 40).between(24, 31) & (strings <= 8), 0).when(strings >= 6, 1).otherwise(2)
+    return tracks.groupBy("score_id").agg(F.min_by("track_ord", F.struct(rank.alias("r"), "track_ord")).alias("track_ord"))
+
+
+_JSON = "'{\"format\":\"tonelake\",\"version\":' || (score_id % 3) || ',\"name\":\"n' || score_id || '\",\"score\":' || CASE WHEN score_id % 4 = 0 THEN '{}' ELSE '{\"ppq\":480,\"tracks\":[],\"meters\":[],\"keys\":[],\"tempos\":[]}' END || '}'"
+
+
+@query("s12_project_envelope", d.with_sql("SELECT score_id, CASE WHEN score_id % 3 > 1 THEN 'This tab was saved by a newer version.' WHEN score_id % 4 = 0 THEN 'The tab file is missing score data.' END AS error, CASE WHEN score_id % 3 <= 1 AND score_id % 4 <> 0 THEN 'n' || score_id END AS name FROM len", "len"))
+def s12(spark, sf):
+    rows = d.notes(spark, sf).select("score_id").distinct().selectExpr("score_id", f"{_JSON} AS text")
+    shape = "format string, version double, name string, score struct<ppq:double,tracks:array<string>,meters:array<string>,keys:array<string>,tempos:array<string>>"
+    p = rows.withColumn("p", F.from_json("text", shape))
+    whole = F.col("p.score.ppq").isNotNull() & F.col("p.score.tracks").isNotNull() & F.col("p.score.meters").isNotNull() & F.col("p.score.keys").isNotNull() & F.col("p.score.tempos").isNotNull()
+    error = F.when(F.col("p").isNull() | F.col("p.format").isNull(), "That JSON file is not a saved tab.").when(F.col("p.version") > project.VERSION, "This tab was saved by a newer version.").when(~whole, "The tab file is missing score data.")
+    return p.select("score_id", error.alias("error"), F.when(error.isNull(), F.col("p.name")).alias("name"))
+
+
+def _assembled(spark, sf):
+    return sk.assembled(d.notes(spark, sf), d.time_signatures(spark, sf), d.key_signatures(spark, sf), d.tempos(spark, sf))
+
+
+def _back(spark, sf, write, read, schema="score_id long, pitch long, start_tick long, duration long, track_ord long"):
+    def run(batches):
+        for b in batches:
+            rows = []
+            for sid, data in zip(b["score_id"], b["content"]):
+                for k, t in enumerate(read(bytes(data)).tracks):
+                    rows += [(sid, n.pitch, n.start, n.duration, k) for n in t.notes]
+            yield pd.DataFrame(rows, columns=["score_id", "pitch", "start_tick", "duration", "track_ord"])
+
+    return sk.export(_assembled(spark, sf), write).mapInPandas(run, schema)
+
+
+_TRACKS = "SELECT score_id, CAST(dense_rank() OVER (PARTITION BY score_id ORDER BY track_ord) - 1 AS BIGINT) AS track_ord, pitch, start_tick, duration FROM notes"
+
+
+@query("k04_project_round_trip", d.with_sql(_TRACKS, "notes"))
+def k04(spark, sf):
+    return _back(spark, sf, sk.as_project, lambda b: project.read_project(b.decode())[0])
+
+
+@query("k01_midi_round_trip", d.with_sql("SELECT score_id, track_ord, start_tick, CAST(count(*) AS BIGINT) AS onsets FROM (" + _TRACKS + ") t GROUP BY 1, 2, 3", "notes"))
+def k01(spark, sf):
+    return _back(spark, sf, sk.as_midi, midi.read_midi).groupBy("score_id", "track_ord", "start_tick").agg(F.count("*").alias("onsets"))
+
+
+@query("k02_musicxml_round_trip", d.with_sql("SELECT score_id, track_ord, pitch, CAST(sum(duration) AS BIGINT) AS ticks FROM (" + _TRACKS + ") t GROUP BY 1, 2, 3", "notes"))
+def k02(spark, sf):
+    return _back(spark, sf, sk.as_musicxml, musicxml.read_musicxml).groupBy("score_id", "track_ord", "pitch").agg(F.sum("duration").alias("ticks"))
+
+
+@query("k03_ascii_tab")
+def k03(spark, sf):
+    from ..operators.tab import assign_tab
+
+    notes = d.notes(spark, sf)
+    spots = assign_tab(notes, d.bars(spark, sf)).select("score_id", "track_ord", "note_ord", F.col("pitch").alias("p"), "string", "fret")
+    rows = notes.join(spots, ["score_id", "track_ord", "note_ord"]).withColumn("pitch", F.col("p"))
+    made = sk.export(sk.assembled(rows, d.time_signatures(spark, sf), d.key_signatures(spark, sf), d.tempos(spark, sf)), sk.as_tab)
+    return made.select("score_id", F.decode("content", "UTF-8").alias("tab"))
+
+
+@query("s07_abc_tunes")
+def s07(spark, sf):
+    notes = d.notes(spark, sf).where("note_ord < 16")
+    letter = F.element_at(F.array(*[F.lit(c) for c in "CDEFGABcdefgab"]), (F.col("pitch") % 14 + 1).cast("int"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("note_ord", letter.alias("l"), F.expr("duration div 240 + 1").alias("n")))), lambda x: F.concat(x["l"], x["n"].cast("string"))), " ")
+    tunes = notes.groupBy("score_id").agg(F.concat(F.lit("X:1\nM:4/4\nL:1/8\nK:D\n"), body).alias("abc"))
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([(s, n.pitch, n.start, n.duration) for s, t in zip(b["score_id"], b["abc"]) for n in abc.read_abc(t).tracks[0].notes], columns=["score_id", "pitch", "start_tick", "duration"])
+
+    return tunes.mapInPandas(run, "score_id long, pitch long, start_tick long, duration long")
+
+
+#: A GPIF document's lists, one row per id: bars of scores, two voices, four beats each.
+@query("j06_gpif_chained_ids", d.with_sql(""" , bt AS (SELECT score_id, note_ord // 8 AS bar, note_ord // 4 % 2 AS voice, note_ord % 4 AS beat, duration FROM notes)
+ SELECT score_id, bar, voice, beat, CAST(bar * 1920 + coalesce(sum(duration) OVER (PARTITION BY score_id, bar, voice ORDER BY beat ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_tick FROM bt""", "notes"))
+def j06(spark, sf):
+    from pyspark.sql import Window
+
+    n = d.notes(spark, sf)
+    beats = n.select("score_id", F.col("note_ord").alias("beat_id"), "duration")
+    voices = n.groupBy("score_id", F.expr("note_ord div 4").alias("voice_id")).agg(F.sort_array(F.collect_list("note_ord")).alias("beat_ids"))
+    bars = voices.groupBy("score_id", F.expr("voice_id div 2").alias("bar")).agg(F.sort_array(F.collect_list("voice_id")).alias("voice_ids"))
+    # Each list of ids is exploded with its places and joined to what the ids name.
+    rows = bars.select("score_id", "bar", F.posexplode("voice_ids").alias("voice", "voice_id")).join(voices, ["score_id", "voice_id"])
+    rows = rows.select("score_id", "bar", "voice", F.posexplode("beat_ids").alias("beat", "beat_id")).join(beats, ["score_id", "beat_id"])
+    before = Window.partitionBy("score_id", "bar", "voice").orderBy("beat").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("score_id", "bar", F.col("voice").cast("long").alias("voice"), F.col("beat").cast("long").alias("beat"), (F.col("bar") * 1920 + F.coalesce(F.sum("duration").over(before), F.lit(0))).cast("long").alias("start_tick"))
+
+
+@query("s21_push_unique", d.with_sql("SELECT score_id, tick, fifths FROM (SELECT *, lag(fifths) OVER (PARTITION BY score_id ORDER BY tick) AS was FROM (SELECT score_id, tick, arg_max(fifths, ord) AS fifths FROM ks GROUP BY 1, 2) a) b WHERE was IS DISTINCT FROM fifths", "ks"))
+def s21(spark, sf):
+    from pyspark.sql import Window
+
+    last = d.key_signatures(spark, sf).groupBy("score_id", "tick").agg(F.max_by("fifths", "ord").alias("fifths"))
+    was = F.lag("fifths").over(Window.partitionBy("score_id").orderBy("tick"))
+    return last.withColumn("was", was).where(~F.col("was").eqNullSafe(F.col("fifths"))).select("score_id", "tick", "fifths")
+
+
