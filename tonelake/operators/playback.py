@@ -79,9 +79,10 @@ def strums(notes: DataFrame, bars: DataFrame, chords: DataFrame, slash: DataFram
 def chord_events(strummed: DataFrame, tempos: DataFrame, tuning: tuple[int, ...] = STANDARD, ppq: int = DEFAULT_PPQ) -> DataFrame:
     """The strings of each strum, low to high, a gap apart and rising in gain."""
     rows = over_distinct(strummed, "name", shape(tuning), SHAPED).where("name_x is not null")
-    rows, at = _seconds(rows, tempos, ppq)
-    t = at(F.col("tick"))
-    rows = rows.select("score_id", t.alias("t0"), (at(F.col("stop")) - t).alias("len"), "gain", F.size("name_x.pitches").alias("n"), F.posexplode("name_x.pitches").alias("k", "pitch"))
+    rows, at = _seconds(rows.withColumnRenamed("tick", "struck"), tempos, ppq)
+    t = at(F.col("struck"))
+    rows = rows.withColumns({"t0": t, "len": at(F.col("stop")) - t})
+    rows = rows.select("score_id", "t0", "len", "gain", F.size("name_x.pitches").alias("n"), F.posexplode("name_x.pitches").alias("k", "pitch"))
     off: Column = F.col("k") * STRING_GAP
     ramp = F.when(F.col("n") > 1, 0.8 + 0.2 * F.col("k") / (F.col("n") - 1)).otherwise(1.0)
     return rows.select("score_id", (F.col("t0") + off).alias("t"), F.greatest(F.lit(0.05), F.col("len") - off).alias("dur"), "pitch", (F.col("gain") * ramp * VOICE).alias("gain"), F.lit("chord").alias("kind"))
