@@ -34,7 +34,7 @@ def detect_kind(name: Column, head: Column) -> Column:
     ext = F.lower(F.regexp_extract(name, r"\.([^.\\/]*)$", 1))
     by_ext = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), ext)
     hexed = F.hex(F.substring(head, 1, 32))
-    text = F.ltrim(F.regexp_replace(F.decode(F.substring(head, 1, 2048), "UTF-8"), "^\ufeff", ""))
+    text = F.ltrim(F.regexp_replace(F.make_valid_utf8(F.substring(head, 1, 2048).cast("string")), "^\ufeff", ""))
     starts = lambda *h: F.lit(False) if not h else hexed.startswith(h[0]) if len(h) == 1 else hexed.startswith(h[0]) | starts(*h[1:])
     found = (
         F.when(text.rlike(rf'"format"\s*:\s*"{project.FORMAT}"'), "project").when(starts("4D546864"), "midi").when(starts("25504446"), "pdf")
