@@ -210,8 +210,8 @@ def barlines(ink: np.ndarray, staff: Staff, clean: np.ndarray | None = None) ->
     return out
 
 
-def heads(clean: np.ndarray, staff: Staff) -> list[dict]:
-    """Solid heads fill an oval, hollow ones enclose white of about half of one."""
+def heads(clean: np.ndarray, staff: Staff, ink: np.ndarray) -> list[dict]:
+    """Solid heads fill an oval, hollow ones enclose white of about half of one, with or without the lines."""
     d = staff.space
     top, bottom = max(0, int(staff.lines[0] - 5 * d)), min(clean.shape[0], int(staff.lines[4] + 5 * d))
     area = clean[top:bottom]
@@ -227,7 +227,7 @@ def heads(clean: np.ndarray, staff: Staff) -> list[dict]:
     for c in components(full >= 0.88):
         if c["x1"] - c["x0"] <= 1.2 * d and c["y1"] - c["y0"] <= 1.2 * d:
             found.append({"x": (c["x0"] + c["x1"] - 1) / 2, "y": top + (c["y0"] + c["y1"] - 1) / 2, "hollow": False})
-    for c in components(~area):
+    for c in [*components(~area), *components(~ink[top:bottom])]:
         wide, high = c["x1"] - c["x0"], c["y1"] - c["y0"]
         inside = c["x0"] > 0 and c["x1"] < w and c["y0"] > 0 and c["y1"] < h
         if inside and 0.35 * d <= wide <= 1.3 * d and 0.25 * d <= high <= 0.9 * d and c["area"] >= 0.5 * wide * high:
@@ -282,7 +282,7 @@ def read_page(rgba: np.ndarray, clef: str = "treble", fifths: int = 0, numerator
         clean = without_lines(ink, staff)
         cuts = barlines(ink, staff, clean)
         inner = [x for x in cuts if x < staff.right - staff.space]
-        seen = heads(clean, staff)
+        seen = heads(clean, staff, ink)
         for h in seen:
             s = stem(clean, h, staff.space)
             h["step"] = int(np.floor((staff.middle - h["y"]) / (staff.space / 2) + 0.5))
