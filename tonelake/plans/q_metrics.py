@@ -140,3 +140,44 @@ def w11(spark, sf):
     w = Window.partitionBy("score_id").orderBy("ord")
     rows = d.key_signatures(spark, sf).withColumns({"nxt": F.lead("fifths").over(w), "was": F.lag("fifths").over(w)})
     return rows.where("was is null or nxt is null or fifths = nxt or fifths = was").select("score_id", "ord", "fifths")
+
+
+@query("c20_piece_scores")
+def c20(spark, sf):
+    from ..operators.truth import piece_scores
+
+    r = piece_scores(d.notes(spark, sf), _found(spark, sf), 60)
+    return r.select("score_id", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("c20_chord_scores")
+def c20_chords(spark, sf):
+    from ..operators.truth import chord_scores
+
+    p = d.printed(spark, sf).withColumn("measure", F.expr("tick div 1920").cast("int"))
+    chord = F.struct(F.col("root"), F.col("quality"), F.lit(None).cast("string").alias("bass"))
+    truth = p.groupBy("score_id", F.col("measure").alias("index")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", chord.alias("c")))), lambda x: x["c"]).alias("chords"))
+    read = p.where("ord <> 3").select("score_id", "measure", "ord", "root", F.when(F.col("repaired"), F.lit("7")).otherwise(F.col("quality")).alias("quality"), F.lit(None).cast("string").alias("bass"))
+    return chord_scores(truth, read)
+
+
+@query("j13_least_cost_assignment")
+def j13(spark, sf):
+    """Late and early onsets of a score's first notes, matched at least total distance."""
+    import numpy as np
+    import pandas as pd
+
+    from ..operators.truth import least_cost
+
+    starts = F.transform(F.sort_array(F.collect_list(F.struct("note_ord", "start_tick"))), lambda x: x["start_tick"])
+    rows = d.notes(spark, sf).where("note_ord < 8").groupBy("score_id").agg(starts.alias("a"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for s, a in zip(b["score_id"], b["a"]):
+                a = np.asarray(a, float)
+                out += [(s, i, j) for i, j in least_cost(np.abs(a[:, None] - (a[None, :] + s % 300)))]
+            yield pd.DataFrame(out, columns=["score_id", "note", "mate"])
+
+    return rows.mapInPandas(run, "score_id long, note int, mate int")
