@@ -27,8 +27,8 @@ def candidates(truth: DataFrame, found: DataFrame, tolerance: int) -> DataFrame:
 def match_notes(truth: DataFrame, found: DataFrame, tolerance: int) -> DataFrame:
     """One-to-one matches ``(score_id, t, f, off)``, nearest onsets first.
 
-    Greedy choice is sequential within one score and pitch, the group that is
-    handed to a task.
+    Greedy choice is sequential within one score, the group that is handed to
+    a task.
     """
 
     def greedy(p: pd.DataFrame) -> pd.DataFrame:
@@ -41,7 +41,7 @@ def match_notes(truth: DataFrame, found: DataFrame, tolerance: int) -> DataFrame
                 keep.append(i)
         return p.loc[keep, ["score_id", "t", "f", "off"]]
 
-    return candidates(truth, found, tolerance).groupBy("score_id", "pitch").applyInPandas(greedy, "score_id long, t long, f long, off long")
+    return candidates(truth, found, tolerance).groupBy("score_id").applyInPandas(greedy, "score_id long, t long, f long, off long")
 
 
 def best_offset(truth: DataFrame, found: DataFrame, bucket: int) -> DataFrame:
