@@ -188,3 +188,28 @@ def f13(spark, sf):
 
     rows = cn.over_distinct(d.printed(spark, sf).select("text").distinct(), "text", cn.shape(STANDARD), cn.SHAPED)
     return rows.select("text", F.array_join("text_x.frets", ",").alias("frets"), "text_x.base", F.array_join("text_x.pitches", ",").alias("pitches"))
+
+
+@query("a08_concentrated_windows", _sql(""" , hh AS (SELECT score_id, measure, w, pitch % 12 AS pc, sum(b - a) AS v FROM ov GROUP BY 1, 2, 3, 4),
+ hs AS (SELECT *, v / sum(v) OVER (PARTITION BY score_id, measure, w) AS s FROM hh)
+ SELECT score_id, measure, w FROM hs GROUP BY 1, 2, 3 HAVING sum(CASE WHEN pc IN (0, 4, 7) THEN s ELSE 0 END) >= 0.75 AND count(*) FILTER (WHERE pc IN (0, 4, 7) AND s > 0.02) = 3"""))
+def a08(spark, sf):
+    """Windows whose sound is nearly all one major triad on C, with each of its tones."""
+    p = ch.profiles(d.notes(spark, sf), d.beats(spark, sf))
+    total = F.aggregate("hist", F.lit(0.0), lambda a, x: a + x)
+    p = p.withColumn("s", F.transform("hist", lambda x: x / total))
+    tone = lambda i: F.get("s", i)
+    return p.where((tone(0) + tone(4) + tone(7) >= 0.75) & (F.least(tone(0), tone(4), tone(7)) > 0.02)).select("score_id", "measure", "w")
+
+
+@query("f14_shape_details")
+def f14(spark, sf):
+    """Base fret, barre and fingers of shapes in three tunings."""
+    from ..model import TUNINGS
+
+    names = spark.createDataFrame([(n,) for n in ("C", "F#m", "Bb7", "Dsus2", "Em7b5", "G/B", "Am/D")], "name string")
+    out = None
+    for label in ("Standard (EADGBE)", "Drop D", "DADGAD"):
+        one = cn.over_distinct(names, "name", cn.shape(TUNINGS[label]), cn.SHAPED).select(F.lit(label).alias("tuning"), "name", F.array_join("name_x.frets", ",").alias("frets"), "name_x.base", F.array_join("name_x.fingers", ",").alias("fingers"), F.array_join("name_x.barre", ",").alias("barre"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -133,3 +133,41 @@ def s21(spark, sf):
     return last.withColumn("was", was).where(~F.col("was").eqNullSafe(F.col("fifths"))).select("score_id", "tick", "fifths")
 
 
+
+
+_GPIF = """<GPIF><Tracks><Track id="0"><Name>Lead</Name><Properties><Property name="Tuning"><Pitches>40 45 50 55 59 64</Pitches></Property></Properties></Track></Tracks>
+<MasterBars><MasterBar><Time>4/4</Time><Bars>0</Bars></MasterBar></MasterBars><Bars><Bar id="0"><Voices>0</Voices></Bar></Bars><Voices><Voice id="0"><Beats>0 0</Beats></Voice></Voices>
+<Beats><Beat id="0"><Rhythm ref="0"/><Notes>0 1</Notes></Beat></Beats><Notes><Note id="0"><Properties><Property name="String"><String>5</String></Property><Property name="Fret"><Fret>3</Fret></Property></Properties></Note>
+<Note id="1"><Properties><Property name="String"><String>0</String></Property><Property name="Fret"><Fret>0</Fret></Property></Properties></Note></Notes><Rhythms><Rhythm id="0"><NoteValue>Half</NoteValue></Rhythm></Rhythms></GPIF>"""
+
+
+def _files(spark):
+    """One small file of each kind that holds a score, and some that do not."""
+    import io
+    import zipfile
+
+    from ..sinks.musicxml import write_musicxml
+    from ..sources.score import Note, Score, Track
+
+    s = Score(tracks=[Track("t", "T", 25, [Note(60, 0, 480), Note(64, 480, 960)])]).settle()
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("Content/score.gpif", _GPIF)
+    rows = [
+        ("/a/one.mid", midi.write_midi(s)), ("/a/two", midi.write_midi(s)), ("/a/three.xml", write_musicxml(s).encode()), ("/a/four", write_musicxml(s).encode()),
+        ("/a/five.json", project.write_project(s).encode()), ("/a/six.abc", b"X:1\nL:1/4\nK:C\nC E2|\n"), ("/a/seven.gp", packed.getvalue()), ("/a/eight", packed.getvalue()), ("/a/nine.pdf", b"%PDF-1.4"), ("/a/ten.mid", b"broken"),
+    ]
+    return spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
+
+
+@query("s01_import_files", "SELECT * FROM (VALUES ('/a/one.mid', 'midi', 2::BIGINT, true), ('/a/two', 'midi', 2, true), ('/a/three.xml', 'musicxml', 2, true), ('/a/four', 'musicxml', 2, true), ('/a/five.json', 'project', 2, true), ('/a/six.abc', 'abc', 2, true), ('/a/seven.gp', 'guitarpro', 4, true), ('/a/eight', 'guitarpro', 4, true), ('/a/nine.pdf', 'pdf', 0, false), ('/a/ten.mid', 'midi', 0, false)) v(path, kind, notes, ok)")
+def s01(spark, sf):
+    rows = files.parsed(_files(spark))
+    n = F.aggregate(F.coalesce(F.transform("tracks", lambda t: F.size(t["notes"])), F.array().cast("array<int>")), F.lit(0), lambda a, x: a + x)
+    return rows.select("path", "kind", n.cast("long").alias("notes"), F.col("error").isNull().alias("ok"))
+
+
+@query("s10_gpif_notes", "SELECT * FROM (VALUES (67, 0::BIGINT, 960::BIGINT, 0, 3), (40, 0, 960, 5, 0), (67, 960, 960, 0, 3), (40, 960, 960, 5, 0)) v(pitch, start_tick, duration, string, fret)")
+def s10(spark, sf):
+    t = files.tables(files.parsed(_files(spark).where("path = '/a/seven.gp'")))
+    return t["notes"].select("pitch", "start_tick", "duration", "tab.string", "tab.fret")

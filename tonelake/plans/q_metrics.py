@@ -181,3 +181,8 @@ def j13(spark, sf):
             yield pd.DataFrame(out, columns=["score_id", "note", "mate"])
 
     return rows.mapInPandas(run, "score_id long, note int, mate int")
+
+
+@query("a26_line_slope", d.with_sql("SELECT score_id, round(regr_slope(CAST(pitch AS DOUBLE), CAST(start_tick AS DOUBLE)), 9) AS slope FROM notes GROUP BY 1", "notes"))
+def a26(spark, sf):
+    return d.notes(spark, sf).groupBy("score_id").agg(F.round(F.regr_slope(F.col("pitch").cast("double"), F.col("start_tick").cast("double")), 9).alias("slope"))

@@ -89,3 +89,23 @@ def f21(spark, sf):
 def f22(spark, sf):
     links = ["dQw4w9WgXcQ", "https://youtu.be/dQw4w9WgXcQ?t=1m30s", "www.youtube.com/watch?x=1&v=dQw4w9WgXcQ#t=75", "https://music.youtube.com/shorts/dQw4w9WgXcQ", "https://example.com/watch?v=dQw4w9WgXcQ", ""]
     return spark.createDataFrame([(x,) for x in links], "link string").withColumn("v", mk.video_link(F.col("link"))).select("link", "v.id", "v.t")
+
+
+@query("f18_tempo_marks", "SELECT * FROM (VALUES ('half note = 100-120', 220.0::DOUBLE, 'half', false), ('♩ = 96', 96.0, 'quarter', false), ('q. = 60', 90.0, 'quarter', true), ('dotted eighth = 80', 60.0, 'eighth', true), ('Swing', NULL, NULL, NULL), ('12', NULL, NULL, NULL)) v(text, bpm, unit, dotted)")
+def f18_marks(spark, sf):
+    rows = spark.createDataFrame([(t,) for t in ("half note = 100-120", "♩ = 96", "q. = 60", "dotted eighth = 80", "Swing", "12")], "text string")
+    return over_distinct(rows, "text", mk.tempo_mark, mk.TEMPO).select("text", "text_x.bpm", "text_x.unit", "text_x.dotted")
+
+
+@query("f40_other_text", "SELECT * FROM (VALUES ('12', 'rehearsal'), ('Swing', 'tempo'), ('rit.', 'tempo'), ('z', 'rehearsal'), ('Guitar', 'tempo'), ('?', 'unknown')) v(text, kind)")
+def f40(spark, sf):
+    rows = spark.createDataFrame([(t,) for t in ("12", "Swing", "rit.", "z", "Guitar", "?")], "text string")
+    return over_distinct(rows, "text", lambda t: (mk.other_kind(t),), "kind string").select("text", "text_x.kind")
+
+
+@query("f41_prose_words", "SELECT * FROM (VALUES ('Dal', false), ('Coda', true), ('Fine', true), ('Gmaj', false), ('Bass', true), ('C7', false)) v(text, prose)")
+def f41(spark, sf):
+    """Words that start like a chord but are prose."""
+    rows = spark.createDataFrame([(t,) for t in ("Dal", "Coda", "Fine", "Gmaj", "Bass", "C7")], "text string")
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    return rows.select("text", (letters.rlike("^[A-G][a-z]{3,}$") & ~F.lower("text").rlike("maj|min|dim|aug|sus|add")).alias("prose"))

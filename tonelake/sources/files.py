@@ -82,7 +82,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     Files are read by Spark, so any store it knows will do; each is parsed in
     the task that reads it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """The same for rows of ``(path, content)``."""
     rows = files.select("path", detect_kind(F.col("path"), F.col("content")).alias("kind"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,4 +122,4 @@ def tables(parsed: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-__all__ = ["KINDS", "detect_kind", "extension", "parse", "read_files", "tables", "zip_kind"]
+__all__ = ["KINDS", "detect_kind", "extension", "parse", "parsed", "read_files", "tables", "zip_kind"]
