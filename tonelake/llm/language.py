@@ -117,19 +117,22 @@ def fit(labelled: DataFrame) -> tuple[list[str], dict | None]:
     """Train on ``(doc_id, text, lang)``: languages in order, frozen network.
 
     Rows without text or language are not used.  The sample is the
-    ``SAMPLE_DOCS`` documents of each language with the smallest hashes of
+    at most ``SAMPLE_DOCS`` documents of each language with the smallest hashes of
     id and text, ``SAMPLE_WINDOWS`` evenly spaced windows of each; its size
     does not depend on the input's.
     """
     rows = labelled.where("text is not null and lang is not null and text <> ''")
-    langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    langs = sorted(counts)
     if not langs:
         return [], None
     spread = F.greatest(F.length("text") - F.lit(WINDOW), F.lit(0))
     cuts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: (i * spread / F.lit(max(1, SAMPLE_WINDOWS - 1))).cast("int")))
     taken = F.transform(cuts, lambda at: F.substring(F.col("text"), at + 1, F.lit(WINDOW)))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    hashed = rows.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("h"))
+    # Only hashes in a share of their range are ranked, about four times as many as are taken, however many rows a language has.
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * SAMPLE_DOCS / n))])
+    hashed = rows.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("h")).where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.element_at(share, F.col("lang")))
     picked = hashed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS).select("h")
     # At most SAMPLE_DOCS * MAX_LANGS hashes are broadcast.
     chosen = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(picked.distinct()), "h", "left_semi")
@@ -150,8 +153,8 @@ def has_letter(text: Column) -> Column:
     return text.rlike(r"\p{L}")
 
 
-def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str, ...] = (), text_kept: bool = False) -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` of every whole text.
+def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str, ...] = (), text_kept: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns, ``lang_pred`` and ``score`` (or other ``names``) of every whole text.
 
     A null text and one without letters is ``und`` with score 0, as is every
     text where nothing was labelled.  Other texts get the most probable
@@ -160,12 +163,13 @@ def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str
     """
     fields = [f for f in docs.schema.fields if f.name in keep]
     # Where the text itself is kept it goes to the workers once.
+    letters = f"{names[0]}_letters"
     judged = has_letter(text_of())
-    rows = docs.select(*keep, judged.alias("_letters")) if text_kept else docs.select(*keep, F.when(judged, F.col("text")).alias("_text"))
+    rows = docs.select(*keep, judged.alias(letters)) if text_kept else docs.select(*keep, F.when(judged, F.col("text")).alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t if ok else None for t, ok in zip(b["text"], b.pop("_letters"))] if text_kept else b.pop("_text").to_list()
+            texts = [t if ok else None for t, ok in zip(b["text"], b.pop(letters))] if text_kept else b.pop("_text").to_list()
             pred, score = [UNKNOWN] * len(b), np.zeros(len(b))
             start = 0
             while net is not None and start < len(texts):
@@ -191,7 +195,7 @@ def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str
                     for i, row in enumerate(owner):
                         pred[row], score[row] = langs[best[i]], float(p[i, best[i]])
                 start = stop
-            yield b.assign(lang_pred=pred, score=score)
+            yield b.assign(**{names[0]: pred, names[1]: score})
 
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return rows.mapInPandas(run, schema)
