@@ -28,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     langs, net = language.fit(docs)
     if net is None:
         return docs.where(language.has_letter(F.coalesce("text", F.lit(""))))
-    judged = language.predict(docs, langs, net, keep=tuple(docs.columns), text_kept=True)
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = language.predict(docs, langs, net, keep=tuple(docs.columns), text_kept=True, names=("_language", "_share"))
+    return judged.where((F.col("_language") != language.UNKNOWN) & (F.col("_share") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

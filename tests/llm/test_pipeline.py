@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tonelake.llm import language, mixing, packing, queries
@@ -19,6 +20,10 @@ def test_stages(spark):
     odd = docs.limit(1).unionByName(spark.createDataFrame([(10**6, "12 34 !", None, None, 7), (10**6 + 1, None, None, None, 0)], docs.schema))
     assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, odd, SF).collect()} <= clean
 
+    more = docs.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1)).withColumn("key", F.lit(2)).limit(20)
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.near_dedup, corpus_pipeline.mix):
+        assert stage(spark, more, SF).columns == more.columns
+
     one = corpus_pipeline.near_dedup(spark, docs, SF)
     from tests.llm.test_operators import plain_classes
 
