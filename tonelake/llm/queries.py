@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, fingerprints, language, licences, mixing, neardup, oracles, packing, topk, urls, warc
-from .common import table, text_of
+from .common import table
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
