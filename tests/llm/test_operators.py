@@ -414,7 +414,9 @@ def test_probminhash_estimates_probability_jaccard():
     assert 0.6 < (s[0] == 7).mean() < 0.9
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("local", [0, 100])
+def test_components_of_a_path(spark, monkeypatch, local):
+    monkeypatch.setattr(neardup, "LOCAL_LINKS", local)
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(1, 40)] + [(b"x", b"y")], "a binary, b binary")
     got = {bytes(r["node"]): bytes(r["root"]) for r in neardup.components(links).collect()}
     assert got == {bytes([i]): bytes([1]) for i in range(1, 41)} | {b"x": b"x", b"y": b"x"}
