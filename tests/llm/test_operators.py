@@ -393,6 +393,27 @@ def test_neardup_classes(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def families():
+    """Four times 250 copies of a text with two to four words changed: many of them about 0.8 alike."""
+    rng, texts = random.Random(1), []
+    for changed in (2, 3, 3, 4):
+        base = prose(rng, 200).split()
+        for _ in range(250):
+            copy = list(base)
+            for at in rng.sample(range(200), changed):
+                copy[at] = prose(rng, 2).replace(" ", "")
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_neardup_of_large_families(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 100, raising=False)
+    texts = families()
+    want = plain_classes(texts)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    assert len(set(want)) == 330 and [got[i] for i in range(len(texts))] == want
+
+
 def test_neardup_keeps_one_of_each(spark):
     rows = [(5, "a b c d e f", "l", "s"), (3, "A b c d e f", "m", "t"), (3, "A b c d e f", "m", "t"), (9, "other words stand here now", None, None), (None, "other words stand here now", None, None), (7, None, None, None)]
     got = sorted((r["doc_id"], r["text"], r["lang"]) for r in neardup.deduplicated(docs(spark, rows)).collect())

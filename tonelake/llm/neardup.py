@@ -50,6 +50,9 @@ LOCAL_LINKS = 100_000
 #: Up to so many nodes are sorted in one task, in so many orders a round.
 LOCAL_NODES = 200_000
 LOCAL_ORDERS = 12
+#: Rows and bytes of shingles in a block of the last pass.
+BLOCK_ROWS = 2048
+BLOCK_BYTES = 16 << 20
 BATCH_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C55)
@@ -310,6 +313,10 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             discard(roots)
             roots = new
         elif step:
+            discard(links)
+            links = materialize(_across(rest, roots, nodes, texts, least), "found")
+            if not links.isEmpty():
+                roots = materialize(_joined(roots, links), "classes")
             break
         if step == 0:
             # Buckets that are one class by now hold nothing more to find.
@@ -319,8 +326,9 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
                 break
         discard(links)
         step += 1
-        left = rest.join(roots, "node")
-        if rest.count() <= LOCAL_NODES:
+        open_nodes = rest.select("node").distinct()
+        left = open_nodes.join(roots, "node")
+        if open_nodes.count() <= LOCAL_NODES:
             asked = _local_neighbours(left, LOCAL_ORDERS * step, least)
         else:
             asked = close(reduce(DataFrame.unionByName, [_neighbours(left, ORDERS * step + k) for k in range(ORDERS)]), least)
@@ -417,7 +425,74 @@ def _neighbours(rows: DataFrame, step: int) -> DataFrame:
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes of the large buckets that still hold several classes."""
+    """``(node, hub)`` of the large buckets that still hold several classes, ``hub`` a bucket's least node."""
     rows = members.where(F.col("n") > ALL_PAIRS).join(roots.select("node", "root"), "node")
-    several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    return rows.join(several, "bucket").select("node").distinct()
+    several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("hub")).where("x <> y").select("bucket", "hub")
+    return rows.join(several, "bucket").select("node", "hub").distinct()
+
+
+def _across(rest: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b)`` that join all classes of ``rest (node, hub)`` with similar texts in a common bucket.
+
+    Nodes joined by buckets, directly or through others, are a group.  A group
+    is cut into blocks, and any two blocks meet in one task, so that every pair
+    of a group is looked at and no task grows with it.
+    """
+    groups = components(rest.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "group")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "elements": [np.unique(shingles(normalised(t))).tobytes() for t in b["text"]]})
+
+    elements = texts.join(groups.select("node"), "node").mapInPandas(cut, "node binary, elements binary")
+    rows = groups.join(roots.select("node", "root"), "node").join(nodes.select("node", "bands"), "node").join(elements, "node")
+    rows = materialize(rows, "rest")
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.length("elements")).alias("size"), F.min("root").alias("x"), F.max("root").alias("y"))
+    blocks = sizes.where("x <> y").select("group", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    tasks = int(blocks.agg(F.sum(F.expr("blocks * (blocks + 1) div 2"))).first()[0] or 1)
+    rows = rows.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "bands", "elements")
+    keys = ["group", "low", "high"]
+    return rows.repartition(min(tasks, 1000), *keys).groupBy(*keys).applyInPandas(lambda p: _block_links(p, least), "a binary, b binary")
+
+
+class _Lists:
+    """Lists of numbers, and how many of them one row's list shares with others'."""
+
+    def __init__(self, lists: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in lists], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        known, self.ids = np.unique(np.concatenate(lists), return_inverse=True)
+        self.flag = np.zeros(len(known), np.int32)
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        mine = self.ids[self.starts[i] : self.starts[i] + self.sizes[i]]
+        self.flag[mine] = 1
+        sizes = self.sizes[others]
+        starts = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) + np.repeat(self.starts[others] - starts, sizes)
+        counts = np.add.reduceat(self.flag[self.ids[at]], starts)
+        self.flag[mine] = 0
+        return counts
+
+
+def _block_links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links between similar texts of different classes that share a band, one for each class met; those of two blocks where there are two."""
+    rows = rows.sort_values("block", kind="stable", ignore_index=True)
+    across = rows["low"].iloc[0] != rows["high"].iloc[0]
+    first = int((rows["block"] == rows["low"]).sum())
+    node, label = rows["node"].to_list(), pd.factorize(rows["root"].map(bytes))[0]
+    bands, texts = _Lists([np.asarray(b) for b in rows["bands"]]), _Lists([np.frombuffer(e, np.uint64) for e in rows["elements"]])
+    n, links = texts.sizes, []
+    for i in range(first):
+        j = np.arange(first if across else i + 1, len(rows))
+        j = j[(label[j] != label[i]) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]) - 1e-9)]
+        j = j[bands.shared(i, j) > 0] if len(j) else j
+        if len(j):
+            both = texts.shared(i, j)
+            j = j[both >= least * (n[i] + n[j] - both) - 1e-9]
+            met, at = np.unique(label[j], return_index=True)
+            links += [(node[i], node[k]) for k in j[at]]
+            label[np.isin(label, met)] = label[i]
+    return pd.DataFrame(links, columns=["a", "b"])
