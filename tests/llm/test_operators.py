@@ -414,6 +414,16 @@ def test_neardup_of_large_families(spark, monkeypatch):
     assert len(set(want)) == 330 and [got[i] for i in range(len(texts))] == want
 
 
+def test_neardup_classes_do_not_depend_on_sizes(spark, monkeypatch):
+    texts = families()
+    table = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    once = sorted(tuple(r) for r in neardup.classes(table).select("doc_id", "class_id").collect())
+    # As if there were more rows than one task takes, in this form and in the earlier one that had a switch.
+    for name, value in {"LOCAL_NODES": 0, "CHAIN_ROWS": 64, "LOCAL_LINKS": 0, "BLOCK_ROWS": 150}.items():
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    assert sorted(tuple(r) for r in neardup.classes(table).select("doc_id", "class_id").collect()) == once
+
+
 def test_neardup_keeps_one_of_each(spark):
     rows = [(5, "a b c d e f", "l", "s"), (3, "A b c d e f", "m", "t"), (3, "A b c d e f", "m", "t"), (9, "other words stand here now", None, None), (None, "other words stand here now", None, None), (7, None, None, None)]
     got = sorted((r["doc_id"], r["text"], r["lang"]) for r in neardup.deduplicated(docs(spark, rows)).collect())

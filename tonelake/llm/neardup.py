@@ -9,25 +9,23 @@ component with the texts' probability Jaccard similarity.
 
 Texts of equal words are one node.  Nodes that agree in a whole band meet in a
 bucket.  In buckets of up to ``ALL_PAIRS`` nodes all pairs are compared, in a
-larger one every node with a hub.  Nodes of buckets that still hold several
-classes are then sorted by their signatures, from another component on in each
-round, so that those that agree longest stand together, and compared with
-their neighbours; links join classes, members of one class are not compared
-again, and rounds go on until one finds no link.  A round costs a few
-comparisons a node, however large the bucket.  Pairs whose signatures rule the
-similarity out go before any text is read; for all others the exact Jaccard
-similarity of the texts' shingle sets decides.
+larger one every node with a hub.  Large buckets that still hold several
+classes are then searched in full: nodes joined by them are a group, groups
+are cut into blocks, and any two blocks meet in one task, which compares all
+pairs that share a band and are not of one class yet.  In the first pass pairs
+whose signatures rule the similarity out go before any text is read; for all
+others, and in the second pass for all, the exact Jaccard similarity of the
+texts' shingle sets decides.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, release, text_of
@@ -41,16 +39,9 @@ COMPONENTS = 256
 #: A pair is left out where its signatures agree so many standard deviations less than similar ones do.
 SIGMAS = 3.0
 ALL_PAIRS = 8
-#: Orders looked at in a round, and neighbours in each.
-ORDERS = 3
-NEIGHBOURS = 3
-CHAIN_ROWS = 4096
 #: Up to so many links are joined to components in one task.
 LOCAL_LINKS = 100_000
-#: Up to so many nodes are sorted in one task, in so many orders a round.
-LOCAL_NODES = 200_000
-LOCAL_ORDERS = 12
-#: Rows and bytes of shingles in a block of the last pass.
+#: Rows and bytes of shingles in a block of the second pass.
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 16 << 20
 BATCH_BYTES = 1 << 20
@@ -303,36 +294,15 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     texts = materialize(texts if again.isEmpty() else texts.dropDuplicates(["node"]), "texts")
 
     roots = materialize(wanted.select("node", F.col("node").alias("root"), "sig"), "classes")
-    asked, step = close(_bucket_pairs(members, roots), least), 0
-    while True:
-        pairs = materialize(asked, "pairs")
-        links = materialize(verified(pairs, texts, least), "found")
-        discard(pairs)
-        if not links.isEmpty():
-            new = materialize(_joined(roots, links), "classes")
-            discard(roots)
-            roots = new
-        elif step:
-            discard(links)
-            links = materialize(_across(rest, roots, nodes, texts, least), "found")
-            if not links.isEmpty():
-                roots = materialize(_joined(roots, links), "classes")
-            break
-        if step == 0:
-            # Buckets that are one class by now hold nothing more to find.
-            rest = materialize(_open(members, roots), "open")
-            discard(members)
-            if rest.isEmpty():
-                break
-        discard(links)
-        step += 1
-        open_nodes = rest.select("node").distinct()
-        left = open_nodes.join(roots, "node")
-        if open_nodes.count() <= LOCAL_NODES:
-            asked = _local_neighbours(left, LOCAL_ORDERS * step, least)
-        else:
-            asked = close(reduce(DataFrame.unionByName, [_neighbours(left, ORDERS * step + k) for k in range(ORDERS)]), least)
+    pairs = materialize(close(_bucket_pairs(members, roots), least), "pairs")
+    roots = _joined(roots, materialize(verified(pairs, texts, least), "found"))
+    discard(pairs)
+    # Buckets that are one class by now hold nothing more to find.
+    rest = materialize(_open(members, roots), "open")
+    discard(members)
+    if not rest.isEmpty():
         release(docs.sparkSession)
+        roots = _joined(roots, materialize(_across(rest, roots, nodes, texts, least), "found"))
 
     per = nodes.select("node", "top", "docs").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = per.groupBy("root").agg(F.min("top").alias("first"), F.sum("docs").alias("class_docs"))
@@ -354,10 +324,14 @@ def deduplicated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` after the classes of linked nodes became one."""
+    if links.isEmpty():
+        return roots
     named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     between = links.join(named("a"), "a").join(named("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     to = components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"), "sig")
+    new = materialize(roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"), "sig"), "classes")
+    discard(roots)
+    return new
 
 
 def _bucket_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -376,54 +350,6 @@ def _bucket_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     return both.join(code("node", "ca"), "node").join(code("other", "cb"), "other")
 
 
-def _local_neighbours(rows: DataFrame, step: int, least: float) -> DataFrame:
-    """The close ``(a, b)`` of ``LOCAL_ORDERS`` orders from ``step`` on, made in one task."""
-    bound = _bound(least)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = pd.concat(list(batches), ignore_index=True)
-        if not len(p):
-            return
-        codes = np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(len(p), COMPONENTS)
-        root = pd.factorize(p["root"].map(bytes))[0]
-        node = p["node"].to_numpy()
-        pairs = set()
-        for k in range(LOCAL_ORDERS):
-            start = 23 * (step + k) % COMPONENTS
-            turned = np.roll(codes, -start, axis=1)[:, :16]
-            order = np.lexsort(turned[:, ::-1].T)
-            for gap in range(1, NEIGHBOURS + 1):
-                a, b = order[:-gap], order[gap:]
-                apart = root[a] != root[b]
-                pairs |= set(zip(np.minimum(a, b)[apart].tolist(), np.maximum(a, b)[apart].tolist()))
-        at = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        for i in range(0, len(at), 10_000):
-            a, b = at[i : i + 10_000].T
-            near = (codes[a] == codes[b]).sum(1) >= bound
-            x, y = node[a[near]], node[b[near]]
-            less = np.array([bytes(u) < bytes(v) for u, v in zip(x, y)], bool)
-            yield pd.DataFrame({"a": np.where(less, x, y), "b": np.where(less, y, x)})
-
-    return rows.coalesce(1).mapInPandas(run, "a binary, b binary")
-
-
-def _neighbours(rows: DataFrame, step: int) -> DataFrame:
-    """``(node, other, ca, cb)``: each node with those of other classes that follow it in the signatures' order from component ``23 * step`` on.
-
-    Nodes are parted by the order's first two components, and parts of more
-    than ``CHAIN_ROWS`` nodes by a hash that changes each round.
-    """
-    me, start = F.struct("node", "root", "sig"), 23 * step % COMPONENTS
-    rows = rows.withColumn("order", F.concat(F.substring("sig", start + 1, COMPONENTS), F.substring("sig", 1, start)))
-    rows = rows.withColumn("part", F.hex(F.substring("order", 1, 2)))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, "part").withColumn("salt", F.pmod(F.xxhash64(F.lit(step), "node"), F.ceil(F.col("n") / CHAIN_ROWS).cast("long")))
-    near = Window.partitionBy("part", "salt").orderBy("order", "node")
-    rows = rows.withColumns({f"next{k}": F.lead(me, k).over(near) for k in range(1, NEIGHBOURS + 1)})
-    rows = rows.select(me.alias("x"), F.explode(F.filter(F.array(*[f"next{k}" for k in range(1, NEIGHBOURS + 1)]), lambda y: y.isNotNull() & (y["root"] != F.col("root")))).alias("y"))
-    return rows.select(F.col("x.node").alias("node"), F.col("y.node").alias("other"), F.col("x.sig").alias("ca"), F.col("y.sig").alias("cb"))
-
-
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``(node, hub)`` of the large buckets that still hold several classes, ``hub`` a bucket's least node."""
     rows = members.where(F.col("n") > ALL_PAIRS).join(roots.select("node", "root"), "node")
