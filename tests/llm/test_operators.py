@@ -424,6 +424,16 @@ def test_neardup_classes_do_not_depend_on_sizes(spark, monkeypatch):
     assert sorted(tuple(r) for r in neardup.classes(table).select("doc_id", "class_id").collect()) == once
 
 
+def test_neardup_of_repeated_lines(spark):
+    rng, texts = random.Random(3), []
+    for times in (5, 10, 30, 30, 30, 100):
+        words = prose(rng, 104).split()
+        texts += [" ".join(words), " ".join(words[:40] + words[40:52] * times + words[52:])]
+    want = plain_classes(texts)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    assert len(set(want)) == 6 and [got[i] for i in range(len(texts))] == want
+
+
 def test_neardup_keeps_one_of_each(spark):
     rows = [(5, "a b c d e f", "l", "s"), (3, "A b c d e f", "m", "t"), (3, "A b c d e f", "m", "t"), (9, "other words stand here now", None, None), (None, "other words stand here now", None, None), (7, None, None, None)]
     got = sorted((r["doc_id"], r["text"], r["lang"]) for r in neardup.deduplicated(docs(spark, rows)).collect())

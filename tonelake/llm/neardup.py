@@ -5,7 +5,9 @@ weighted by how often it occurs.  Every element sends out arrivals of a
 Poisson process of its weight over the signature's components; a component
 keeps the element that arrives first, and an element stops as soon as its next
 arrival is later than the slowest component.  Two signatures agree in a
-component with the texts' probability Jaccard similarity.
+component with the texts' probability Jaccard similarity.  As the sets of
+shingles decide, whatever their counts, a text with repeats has a second
+signature with all weights 1; its bands are added, and it alone is the estimate.
 
 Texts of equal words are one node.  Nodes that agree in a whole band meet in a
 bucket.  In buckets of up to ``ALL_PAIRS`` nodes all pairs are compared, in a
@@ -34,7 +36,7 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS = 32
 ROWS = 4
-#: Signature components; the first BANDS * ROWS make the bands, all of them the estimate.
+#: Signature components; the first BANDS * ROWS make the bands, all of those without weights the estimate.
 COMPONENTS = 256
 #: A pair is left out where its signatures agree so many standard deviations less than similar ones do.
 SIGMAS = 3.0
@@ -137,11 +139,27 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def weightless(lists: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Signatures of the shingle lists as sets, and the bands of both: by weight and as sets.
+
+    Without repeats the two are the same.
+    """
+    sig, sets = signatures(lists), [np.unique(e) for e in lists]
+    plain, bands = sig.copy(), list(bands_of(sig))
+    again = [i for i, e in enumerate(lists) if len(sets[i]) < len(e)]
+    if again:
+        plain[again] = signatures([sets[i] for i in again])
+        for i, row in zip(again, bands_of(plain[again])):
+            bands[i] = np.unique(np.concatenate([bands[i], row]))
+    return plain, bands
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """``(doc_id, key, node, bands, sig)``; ``node`` is a digest of the text's words.
 
     A text without words is its own bytes' digest and has no bands; ``key`` is
-    a hash of the text as it is, ``sig`` one byte of each component, mixed.
+    a hash of the text as it is, ``bands`` those by weight and those of the
+    shingles as a set, ``sig`` one byte of each of the set's components, mixed.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,9 +179,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 bands: list = [[] for _ in nodes]
                 sigs: list = [b"" for _ in nodes]
                 if lists:
-                    sig = signatures(lists)
-                    small = (sig >> np.uint64(17)).astype(np.uint8)
-                    for i, row, code in zip(have, bands_of(sig), small):
+                    plain, rows = weightless(lists)
+                    small = (plain >> np.uint64(17)).astype(np.uint8)
+                    for i, row, code in zip(have, rows, small):
                         bands[i], sigs[i] = row, code.tobytes()
                 ids = pd.array(b["doc_id"].iloc[start:stop].astype("Int64"))
                 yield pd.DataFrame({"doc_id": ids, "key": b["key"].iloc[start:stop].to_numpy(), "node": nodes, "bands": bands, "sig": sigs})
