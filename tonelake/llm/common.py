@@ -82,6 +82,54 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def id_bounds(df: DataFrame, name: str, n: int, cells: int) -> list[float]:
+    """At most ``cells - 1`` ascending bounds that part the ids of ``n`` rows about evenly.
+
+    Quantiles of the distinct ids in a share of their hashes, about 64 a cell,
+    so the same ids always give the same bounds.
+    """
+    if cells < 2:
+        return []
+    share = max(1, n // (64 * cells))
+    ids = df.select(F.col(name).cast("long").alias("x")).where(F.col("x").isNotNull() & (F.pmod(F.xxhash64("x"), F.lit(share)) == 0)).distinct()
+    seen = sorted({float(r["x"]) for r in ids.collect()})
+    return sorted({seen[i * len(seen) // cells] for i in range(1, cells)} - {seen[0]}) if seen else []
+
+
+def cell_of(df: DataFrame, name: str, bounds: list[float], out: str) -> DataFrame:
+    """Adds ``out``: which of the spans between ``bounds`` an id lies in, from 0; null ids lie behind the last."""
+    last = len(bounds) + 1
+    if not bounds:
+        return df.withColumn(out, F.when(F.col(name).isNull(), F.lit(last)).otherwise(F.lit(0)).cast("int"))
+    from pyspark.ml.feature import Bucketizer
+
+    cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_at", outputCol="_cell")
+    placed = cut.transform(df.withColumn("_at", F.coalesce(F.col(name).cast("double"), F.lit(0.0))))
+    return placed.withColumn(out, F.when(F.col(name).isNull(), F.lit(last)).otherwise(F.col("_cell")).cast("int")).drop("_at", "_cell")
+
+
+def hot_keys(sizes: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``(*keys, salts)`` of the keys of ``sizes (*keys, n)`` with more than ``most`` rows.
+
+    A table, at most one row for ``most`` rows of the input, so Spark knows its
+    size and broadcasts it only below its threshold.
+    """
+    hot = sizes.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    return materialize(hot, "hot-keys")
+
+
+def salted(rows: DataFrame, hot: DataFrame, keys: list[str], by: Column) -> DataFrame:
+    """``rows`` with ``salt``: rows of a hot key are dealt over its salts by a hash of ``by``."""
+    rows = rows.join(hot, keys, "left")
+    return rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+
+
+def spread(table: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` with ``salt``: the row of a hot key once for each of its salts, to join with :func:`salted` rows."""
+    table = table.join(hot, keys, "left")
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -1,13 +1,13 @@
 """Document fingerprints: a homomorphic multiset hash, DataFrame functions only.
 
-A fingerprint is a wide vector of sums: every paragraph (line) adds ``LANES``
-32-bit hashes, lane by lane, modulo ``2**32``; every sentence of a paragraph
-adds 63 random bits, three to a word, modulo ``2**63``; and the number of
-sentences is kept.  Sums do not depend on order, so equal multisets of
-paragraphs have equal fingerprints, and adding or taking away paragraphs is
-adding or subtracting their vectors (:func:`combine`, :func:`remove`).  The
-63 bit sums, centred, are a random projection of the sentence counts, whose
-cosine estimates how alike two texts are.
+A fingerprint has two parts.  Its lanes are sums: every paragraph (line) adds
+``LANES`` 32-bit hashes, lane by lane, modulo ``2**32``.  Sums do not depend on
+order, so equal multisets of paragraphs have equal lanes, and adding or taking
+away paragraphs is adding or subtracting theirs (:func:`combine`,
+:func:`remove`).  Its sketch is the ``SKETCH`` least of the 32-bit hashes of the
+text's word pairs; it estimates how alike two texts are, as the Jaccard
+similarity of their pairs, exactly where both texts have few.  Pairs do not
+reach over a paragraph's end, so sketches of parts are merged likewise.
 """
 
 from __future__ import annotations
@@ -17,135 +17,125 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import cell_of, id_bounds, materialize, text_of
 
 LANES = 16
-WORDS = 21
+SKETCH = 64
 _MASK32 = (1 << 32) - 1
-_MASK63 = (1 << 63) - 1
-_TRIPLE = 1 | 1 << 21 | 1 << 42
-_FIELD = (1 << 21) - 1
+#: A word, at most 16 characters of it, and the next one of the line; longer runs without spaces are taken in such steps.
+PAIR = r"(?=(\S{1,16}[^\S\n]*\S{0,16}))\S{1,16}\s*"
 
 
-def _sum(items: Column, of, mask: int) -> Column:
-    return F.aggregate(items, F.lit(0).cast("long"), lambda a, p: (a + of(p)).bitwiseAND(F.lit(mask)))
+def _sum(items: Column, of) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda a, p: (a + of(p)).bitwiseAND(F.lit(_MASK32)))
 
 
 def _lane(i: int, paragraph: Column) -> Column:
-    return F.xxhash64(F.lit(i), paragraph).bitwiseAND(F.lit(_MASK32))
+    return F.xxhash64(F.lit(i), paragraph["a"], paragraph["b"]).bitwiseAND(F.lit(_MASK32))
 
 
-def _bits(j: int, sentence: Column) -> Column:
-    return F.shiftright(sentence, j).bitwiseAND(F.lit(_TRIPLE))
+def _least(hashes: Column) -> Column:
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
 
 
 def with_vector(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds column ``name``: the fingerprint's numbers of column ``text``.
+    """Adds column ``name``, ``struct<lanes, sketch>``: the fingerprint of column ``text``.
 
-    ``array<long>`` of lanes, bit sums and the number of sentences.  The empty
-    text is one empty paragraph without sentences; null is read as empty.
+    The empty text is one empty paragraph without words; null is read as empty.
     """
     whole = text_of(text)
     df = df.withColumns({
-        "_paragraphs": F.split(whole, "\n", -1),
-        "_sentences": F.transform(F.filter(F.split(whole, r"[.!?\n]+\s*"), lambda s: s != ""), lambda s: F.xxhash64(F.lit(71), s)),
+        "_paragraphs": F.transform(F.split(whole, "\n", -1), lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit(71), p).alias("b"))),
+        "_pairs": F.transform(F.regexp_extract_all(whole, F.lit(PAIR), F.lit(1)), lambda p: F.xxhash64(p).bitwiseAND(F.lit(_MASK32))),
     })
-    lanes = [_sum(F.col("_paragraphs"), partial(_lane, i), _MASK32) for i in range(LANES)]
-    bits = [_sum(F.col("_sentences"), partial(_bits, j), _MASK63) for j in range(WORDS)]
-    return df.withColumn(name, F.array(*lanes, *bits, F.size("_sentences").cast("long"))).drop("_paragraphs", "_sentences")
+    lanes = [_sum(F.col("_paragraphs"), partial(_lane, i)) for i in range(LANES)]
+    return df.withColumn(name, F.struct(F.array(*lanes).alias("lanes"), _least(F.col("_pairs")).alias("sketch"))).drop("_paragraphs", "_pairs")
+
+
+def _lanewise(a: Column, b: Column, sign: int) -> Column:
+    return F.zip_with(a["lanes"], b["lanes"], lambda x, y: F.pmod(x + sign * y, F.lit(1 << 32)))
 
 
 def combine(a: Column, b: Column) -> Column:
-    """Fingerprint numbers of both texts' paragraphs together (insertion)."""
-    return _lanewise(a, b, 1)
+    """Fingerprint of both texts' paragraphs together (insertion)."""
+    return F.struct(_lanewise(a, b, 1).alias("lanes"), _least(F.concat(a["sketch"], b["sketch"])).alias("sketch"))
 
 
 def remove(a: Column, b: Column) -> Column:
-    """Fingerprint numbers of ``a`` without the paragraphs of ``b`` (deletion)."""
+    """Lanes of ``a`` without the paragraphs of ``b`` (deletion); a sketch cannot be taken back, it is made anew from what is left."""
     return _lanewise(a, b, -1)
 
 
-def _lanewise(a: Column, b: Column, sign: int) -> Column:
-    out = []
-    for i in range(LANES + WORDS + 1):
-        modulus = 1 << 32 if i < LANES else 1 << 63
-        x, y = F.element_at(a, i + 1).cast("decimal(20,0)"), F.element_at(b, i + 1).cast("decimal(20,0)")
-        out.append(F.pmod(x + y if sign > 0 else x - y, F.lit(str(modulus)).cast("decimal(20,0)")).cast("long"))
-    return F.array(*out)
-
-
 def to_string(v: Column) -> Column:
-    """Fixed-width lower-case hexadecimal of all numbers."""
-    parts = [F.lower(F.lpad(F.hex(F.element_at(v, i + 1)), 8 if i < LANES else 16, "0")) for i in range(LANES + WORDS + 1)]
-    return F.concat(*parts)
-
-
-def _centred(v: Column) -> list[Column]:
-    n = F.element_at(v, LANES + WORDS + 1)
-    return [(2 * F.shiftright(F.element_at(v, LANES + 1 + j), at).bitwiseAND(F.lit(_FIELD)) - n).cast("double") for j in range(WORDS) for at in (0, 21, 42)]
+    """Lower-case hexadecimal, eight digits a number: the lanes, then the sketch."""
+    return F.array_join(F.transform(F.concat(v["lanes"], v["sketch"]), lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Cosine of the projected sentence counts, cut to 0..1; 1 if equal."""
-    x, y = F.array(*_centred(a)), F.array(*_centred(b))
-
-    def dot(p: Column, q: Column) -> Column:
-        return F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
-
-    size = F.sqrt(dot(x, x) * dot(y, y))
-    cosine = F.when(size > 0, dot(x, y) / size).otherwise(0.0)
-    return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
-
-
-def _chained(level: DataFrame, top: int, fan: int) -> DataFrame:
-    """``(key, head, next_head)`` for rows ``(key, head)`` with ``0 <= key <= top``.
-
-    ``next_head`` is the head of the next larger key, the first head after the
-    last.  No window partition holds more than ``fan`` rows.
-    """
-    if top < fan:
-        whole = Window.partitionBy(F.lit(0)).orderBy("key")
-        first = F.first("head").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        more = F.lead(F.lit(True)).over(whole)
-        return level.select("key", "head", F.when(more, F.lead("head").over(whole)).otherwise(first).alias("next_head"))
-    group = F.expr(f"key div {fan}")
-    inside = Window.partitionBy("group").orderBy("key")
-    mine = level.withColumn("group", group).select("*", F.lead("head").over(inside).alias("near"), F.lead(F.lit(True)).over(inside).alias("more"))
-    above = level.groupBy(group.alias("key")).agg(F.min_by("head", "key").alias("head"))
-    above = _chained(above, top // fan, fan).select(F.col("key").alias("group"), F.col("next_head").alias("far"))
-    return mine.join(above, "group").select("key", "head", F.when(F.col("more"), F.col("near")).otherwise(F.col("far")).alias("next_head"))
-
-
-def with_next_text(docs: DataFrame, rows_per_block: int = 512) -> DataFrame:
-    """``(doc_id, text, next_text)``: the text that follows by ``doc_id``.
-
-    Documents go to blocks of equal id ranges, about ``rows_per_block`` rows
-    each, so that one shuffle of the texts and a window in each block finds
-    every neighbour but that of a block's last row.  Those get the first text
-    of the next block that has rows; blocks are chained over their first ids,
-    level by level, so that no task sees more than a block.  Rows of one id
-    are ordered by text, null ids come last, and the first row follows the
-    last one.
+    """Jaccard similarity of the word pairs as the sketches show it; 1 where the lanes are equal."""
+    least = _least(F.concat(a["sketch"], b["sketch"]))
+    both = F.size(F.array_intersect(least, F.array_intersect(a["sketch"], b["sketch"])))
+    return F.when(a["lanes"] == b["lanes"], 1.0).when(F.size(least) == 0, 0.0).otherwise(both / F.size(least))
+
+
+def with_next_text(docs: DataFrame, rows_per_block: int = 512, vectors: bool = False) -> DataFrame:
+    """``(doc_id, text, next_text)``: the text that follows by ``doc_id``; with ``vectors`` also both texts' ``own`` and ``next``.
+
+    Documents go to blocks of near-equal numbers of rows: cells between
+    quantiles of a sample of ids, parted evenly inside, so an outlying id
+    costs its own cell only.  One shuffle of the texts and a window in each
+    block finds every neighbour but that of a block's last row, which gets the
+    first text of the next block.  Rows of one id are in one block, ordered by
+    text; null ids come last, ordered by a hash of the text; the first row
+    follows the last one.  An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    lo, hi, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    text = text_of()
+    # Rows are ordered by z, k and text.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("doc_id").isNull().alias("z"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("k"))
+    n = docs.count()
     if not n:
-        return rows.withColumn("next_text", F.lit(""))
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = max(1, (hi - lo + 1) * rows_per_block // n)
-    low, high = int(lo / width) if abs(lo) < 1 << 50 else abs(lo) // width * (1 if lo > 0 else -1), abs(hi) // width * (1 if hi >= 0 else -1)
-    top = high - low + 1
-    block = F.coalesce(F.expr(f"doc_id div {width}L - {low}L"), F.lit(top)).cast("long")
-    inside = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    near = rows.withColumn("block", block).withColumn("near", F.lead("text").over(inside))
-
-    ids = rows.select(block.alias("key"), "doc_id")
-    heads = _chained(ids.groupBy("key").agg(F.min("doc_id").alias("head")), top, 4096)
-    heads = materialize(heads.select(F.col("key").alias("block"), F.col("next_head").alias("next_id")), "next-heads")
+        return _named(rows.withColumn("next_text", F.lit("")), vectors)
+    share = max(rows_per_block, n // 100_000)  # so the heads of blocks are few
+    bounds = id_bounds(docs, "doc_id", n, min(4096, -(-n // share)))
+    rows = cell_of(rows, "doc_id", bounds, "a")
+    # One row a cell, 4,097 at most.
+    cells = rows.groupBy("a").agg(F.count("*").alias("n"), F.min(F.when(~F.col("z"), F.col("k"))).alias("lo"), F.max(F.when(~F.col("z"), F.col("k"))).alias("hi")).collect()
+    parts = []
+    for c in cells:
+        lo, hi = (-float(1 << 63), float(1 << 63)) if c["lo"] is None else (float(c["lo"]), float(c["hi"]))
+        m = max(1, -(-c["n"] // share))
+        parts.append((c["a"], lo, max(1.0, (hi - lo) / m), m))
+    table = F.broadcast(docs.sparkSession.createDataFrame(parts, "a int, lo double, width double, m int"))
+    within = F.greatest(F.lit(0), F.least(F.col("m") - 1, F.floor((F.col("k").cast("double") - F.col("lo")) / F.col("width")).cast("int")))
+    rows = rows.join(table, "a").select("doc_id", "text", "z", "k", "a", within.alias("b"))
+    inside = Window.partitionBy("a", "b").orderBy("z", "k", "text")
+    near = rows.withColumn("near", F.lead("text").over(inside))
+    if vectors:
+        near = with_vector(near, "text", "own")
+        near = near.withColumn("near_fp", F.lead("own").over(inside))
+
+    head = F.min(F.struct("z", "k")).alias("head")
+    heads = rows.groupBy("a", "b").agg(head)
+    whole = Window.partitionBy(F.lit(0)).orderBy("a")  # one row a cell, 4,097 at most
+    first = F.first("head").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    above = heads.groupBy("a").agg(F.min("head").alias("head")).select("a", F.coalesce(F.lead("head").over(whole), first).alias("far"))
+    chained = heads.select("a", "b", F.lead("head").over(Window.partitionBy("a").orderBy("b")).alias("here")).join(above, "a")
+    chained = materialize(chained.select("a", "b", F.coalesce("here", "far").alias("at")).select("a", "b", F.col("at.z").alias("nz"), F.col("at.k").alias("nk")), "next-heads")
     # The heads are read from a table, so their size is known and Spark broadcasts them only below its threshold.
-    wanted = heads.join(rows, heads["next_id"].eqNullSafe(rows["doc_id"]))
-    far = materialize(wanted.groupBy("block").agg(F.min("text").alias("far")), "next-texts")
-    return near.join(far, "block", "left").select("doc_id", "text", F.coalesce("near", "far", F.lit("")).alias("next_text"))
+    wanted = chained.join(rows.select("z", "k", "text"), (F.col("nz") == F.col("z")) & (F.col("nk") == F.col("k")))
+    far = wanted.groupBy("a", "b").agg(F.min("text").alias("far"))
+    far = materialize(with_vector(far, "far", "far_fp") if vectors else far, "next-texts")
+    near = near.join(far, ["a", "b"], "left").withColumn("next_text", F.coalesce("near", "far", F.lit("")))
+    return _named(near, vectors, F.coalesce("near_fp", "far_fp") if vectors else None)
+
+
+def _named(rows: DataFrame, vectors: bool, following: Column | None = None) -> DataFrame:
+    if not vectors:
+        return rows.select("doc_id", "text", "next_text")
+    if following is None:
+        rows = with_vector(rows, "text", "own")
+        following = F.col("own")
+    return rows.select("doc_id", "text", "next_text", "own", following.alias("next"))
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -27,10 +27,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fingerprints.with_next_text(table(spark, sf_dir, "documents"))
+    rows = fingerprints.with_next_text(table(spark, sf_dir, "documents"), vectors=True)
     rows = rows.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text")))
-    for text, name in (("text", "own"), ("edited", "new"), ("next_text", "next")):
-        rows = fingerprints.with_vector(rows, text, name)
+    rows = fingerprints.with_vector(rows, "edited", "new")
     return rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprints.to_string(F.col("own")).alias("fingerprint"), fingerprints.to_string(F.col("new")).alias("edited_fingerprint"),
