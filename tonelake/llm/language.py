@@ -16,15 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import materialize, text_of
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-#: The training sample: so many documents of each language and windows of each document at most, and so many languages.
+#: The training sample: so many texts of each language, of all languages together (one of each at least), and windows of each text at most.
 SAMPLE_DOCS = 400
+SAMPLE_ALL = 40_000
 SAMPLE_WINDOWS = 3
-MAX_LANGS = 200
+#: Slots by hash, of which each gives its least hash to the sample.
+SLOTS = 2048
 UNKNOWN = "und"
 BATCH_BYTES = 4 << 20
 
@@ -116,34 +118,33 @@ def log_probs(net: dict, x: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame) -> tuple[list[str], dict | None]:
     """Train on ``(doc_id, text, lang)``: languages in order, frozen network.
 
-    Rows without text or language are not used.  The sample is the
-    at most ``SAMPLE_DOCS`` documents of each language with the smallest hashes of
-    id and text, ``SAMPLE_WINDOWS`` evenly spaced windows of each; its size
-    does not depend on the input's.
+    Rows without text or language are not used; every language of the others
+    is learned.  The hashes of id and text are dealt into ``SLOTS`` slots a
+    language; of each slot's least hash those are taken that are least when
+    hashed once more, ``SAMPLE_DOCS`` a language at most, so the sample's size
+    does not depend on the input's.  Equal rows have one hash and count once,
+    however many there are; other columns do not matter; a table without
+    labelled texts, as an empty one, gives ``([], None)``.
     """
-    rows = labelled.where("text is not null and lang is not null and text <> ''")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    langs = sorted(counts)
+    rows = labelled.where("text is not null and lang is not null and text <> ''").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    least = rows.groupBy("lang", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h")
+    ranked = materialize(least.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS).select("lang", "h", "r"), "language-sample")
+    langs = sorted(r["lang"] for r in ranked.select("lang").distinct().collect())
     if not langs:
         return [], None
     spread = F.greatest(F.length("text") - F.lit(WINDOW), F.lit(0))
     cuts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: (i * spread / F.lit(max(1, SAMPLE_WINDOWS - 1))).cast("int")))
     taken = F.transform(cuts, lambda at: F.substring(F.col("text"), at + 1, F.lit(WINDOW)))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    # Only hashes in a share of their range are ranked, about four times as many as are taken, however many rows a language has.
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * SAMPLE_DOCS / n))])
-    hashed = rows.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("h")).where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.element_at(share, F.col("lang")))
-    picked = hashed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS).select("h")
-    # At most SAMPLE_DOCS * MAX_LANGS hashes are broadcast.
-    chosen = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(picked.distinct()), "h", "left_semi")
-    got = chosen.select("lang", "h", taken.alias("cuts")).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
+    # At most SAMPLE_ALL hashes, or one a language, are broadcast.
+    picked = ranked.where(F.col("r") <= max(1, SAMPLE_ALL // len(langs))).select("lang", "h")
+    got = rows.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", taken.alias("cuts")).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
     known = {lang: i for i, lang in enumerate(langs)}
     x, y = [], []
     for r in got:
         for cut in r["cuts"]:
-            if r["lang"] in known:
-                x.append(windows_of(cut.encode()[:WINDOW])[0])
-                y.append(known[r["lang"]])
+            x.append(windows_of(cut.encode("utf-8", "replace")[:WINDOW])[0])
+            y.append(known[r["lang"]])
     net = Net(len(langs))
     net.train(np.stack(x), np.array(y))
     return langs, net.freeze()
@@ -159,7 +160,9 @@ def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str
     A null text and one without letters is ``und`` with score 0, as is every
     text where nothing was labelled.  Other texts get the most probable
     learned language and its share of the geometric mean of their windows'
-    probabilities.
+    probabilities.  Repeated rows are judged each for itself and alike, ids are
+    not looked at, a very long text is judged by all its windows, an empty
+    table gives no rows, and columns not in ``keep`` are left out.
     """
     fields = [f for f in docs.schema.fields if f.name in keep]
     # Where the text itself is kept it goes to the workers once.
