@@ -31,14 +31,14 @@ MAX_AXIS = 256
 def quantize(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
     """``(vec_id, v)`` with ``v = floor(scale * x)``; unusable vectors go.
 
-    Rows with a null id, a null or empty vector, or null or non-finite
-    components take no part.
+    Rows with a null id, a null vector, or null or non-finite components take
+    no part; a vector without components does.
     """
     x = F.transform(F.col(vec_col), lambda e: e.cast("double"))
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     return (
         df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"), finite.alias("ok"))
-        .where(F.col("vec_id").isNotNull() & F.col("ok") & (F.size("x") > 0))
+        .where(F.col("vec_id").isNotNull() & F.col("ok"))
         .select("vec_id", F.transform("x", lambda e: F.floor(e * F.lit(scale)).cast("long")).alias("v"))
     )
 
@@ -123,18 +123,22 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk_rows: int =
     """``(query_id, rank, vec_id, score)``: each query's ``k`` largest products.
 
     ``vectors`` has ``(vec_id, v)``, ``queries`` ``(query_id, v)``, both from
-    :func:`quantize`.  A query's own id is no candidate, equal scores go to the
-    smaller ``vec_id``, repeated equal rows count once, and vectors whose
-    length is not the most common one take no part.  Fewer than ``k``
-    candidates give fewer rows; empty tables give none.
+    :func:`quantize`.  A query's own id is no candidate and equal scores go to
+    the smaller ``vec_id``.  Every row is a candidate, so equal rows count as
+    often as they occur; equal queries are asked once.  Vectors shorter than
+    the longest are read as filled up with zeros.  Fewer than ``k`` candidates
+    give fewer rows; empty tables give none; other columns are left out.
     """
     spark = vectors.sparkSession
-    stats = vectors.select(F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e).alias("n2")).groupBy("dim").agg(F.count("*").alias("n"), F.max("n2").alias("m2")).orderBy(F.desc("n"), F.desc("dim")).first()
-    schema_out = "query_id long, rank int, vec_id long, score long"
-    if stats is None:
-        return spark.createDataFrame([], schema_out)
-    dim, n, m2 = stats["dim"], stats["n"], float(stats["m2"])
-    vectors, queries = vectors.where(F.size("v") == dim), queries.where(F.size("v") == dim)
+    stats = vectors.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("short"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e)).alias("m2")).first()
+    asked_dim = queries.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if not stats["n"] or asked_dim[0] is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    n, m2, dim = stats["n"], float(stats["m2"]), max(1, stats["dim"], asked_dim[1])
+    if min(stats["short"], asked_dim[0]) < dim:
+        filled = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))).alias("v")
+        vectors, queries = vectors.select("vec_id", filled), queries.select("query_id", filled)
+    queries = queries.select("query_id", "v").dropDuplicates()
 
     sample = np.array([r["v"] for r in vectors.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(PIVOT_SAMPLE).collect()], float)
     lifted = _lift(sample, m2)
@@ -150,43 +154,39 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk_rows: int =
                 cell, dist = index.place(_matrix(b["v"]))
                 yield b.assign(cell=cell, dist=dist)
 
-    placed = materialize(vectors.mapInPandas(place, "vec_id long, v array<long>, cell long, dist double"), "topk-index")
+    placed = vectors.select("vec_id", "v").mapInPandas(place, "vec_id long, v array<long>, cell long, dist double")
+    placed = materialize(placed.withColumn("row", F.monotonically_increasing_id()), "topk-index")
     index.directory(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect())
-    chunks = {int(c): int(-(-m // chunk_rows)) for c, m in zip(index.cells, index.count)}
-    blocks = max(1, -(-queries.count() // query_block))
+    chunks = -(-index.count // chunk_rows)
 
-    def expand(batches: Iterator[pd.DataFrame], seeded: bool) -> Iterator[pd.DataFrame]:
+    def admitted(b: pd.DataFrame, seeded: bool) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        for start in range(0, len(b), 512):
+            part = b.iloc[start : start + 512]
+            yield part, index.admitted(_matrix(part["v"]), part["tau"].to_numpy(float) if seeded else None, k)
+
+    def tally(batches: Iterator[pd.DataFrame], seeded: bool) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, keep in admitted(b, seeded):
+                n_of = keep.sum(0)
+                yield pd.DataFrame({"cell": index.cells[n_of > 0], "n": n_of[n_of > 0].astype(np.int64)})
+
+    def expand(batches: Iterator[pd.DataFrame], seeded: bool, blocks: np.ndarray) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            tau = b["tau"].to_numpy(float) if seeded else None
-            for start in range(0, len(b), 512):
-                part = b.iloc[start : start + 512]
-                keep = index.admitted(_matrix(part["v"]), None if tau is None else tau[start : start + 512], k)
+            for part, keep in admitted(b, seeded):
+                ids = part["query_id"].to_numpy(np.int64)
                 qi, ci = np.nonzero(keep)
-                cells = index.cells[ci]
-                times = np.array([chunks[int(c)] for c in cells], np.int64)
-                qi, cells = np.repeat(qi, times), np.repeat(cells, times)
-                chunk = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, np.int64)
-                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[qi], "q": part["v"].to_numpy()[qi], "tau": part["tau"].to_numpy(float)[qi], "cell": cells, "chunk": chunk.astype(np.int64)})
-
-    size_of = F.create_map(*[F.lit(x) for c, m in chunks.items() if m > 1 for x in (c, m)]) if any(m > 1 for m in chunks.values()) else None
-    parts = F.coalesce(F.element_at(size_of, F.col("cell")), F.lit(1)) if size_of is not None else F.lit(1)
-    store = placed.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), parts.cast("long")).alias("chunk"))
-    if blocks > 1:
-        store = store.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    else:
-        store = store.withColumn("block", F.lit(0))
+                mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                block = (mixed[qi] % blocks[ci].astype(np.uint64)).astype(np.int64)
+                times = chunks[ci]
+                chunk = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                qi, ci, block = np.repeat(qi, times), np.repeat(ci, times), np.repeat(block, times)
+                yield pd.DataFrame({"query_id": ids[qi], "q": part["v"].to_numpy()[qi], "tau": part["tau"].to_numpy(float)[qi], "cell": index.cells[ci], "chunk": chunk.astype(np.int64), "block": block})
 
     def evaluate(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(left) and len(right):
             x = _matrix(left["v"])
             ids = left["vec_id"].to_numpy()
-            order = np.lexsort((*x.T[::-1], ids))
-            x, ids = x[order], ids[order]
-            fresh = np.r_[True, (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1)]
-            x, ids = x[fresh], ids[fresh]
             for start in range(0, len(right), 512):
                 part = right.iloc[start : start + 512]
                 s = _products(_matrix(part["q"]), x)
@@ -202,15 +202,20 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk_rows: int =
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     def found(asked: DataFrame, seeded: bool) -> DataFrame:
-        plan = asked.mapInPandas(lambda b: expand(b, seeded), "query_id long, q array<long>, tau double, cell long, chunk long")
-        plan = plan.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        """A cell's vectors meet its queries, both in parts of bounded size: only cells that are asked travel, once for each block of queries."""
+        tallied = {r["cell"]: r["n"] for r in asked.mapInPandas(lambda b: tally(b, seeded), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # one row a cell
+        blocks = np.array([-(-tallied.get(int(c), 0) // query_block) for c in index.cells], np.int64)
+        parts = [(int(c), int(m), int(q)) for c, m, q in zip(index.cells, chunks, blocks) if q]
+        table = F.broadcast(spark.createDataFrame(parts, "cell long, chunks long, blocks long"))  # one row a cell
+        store = placed.join(table, "cell").select("vec_id", "v", "cell", F.pmod(F.xxhash64("row"), F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        plan = asked.mapInPandas(lambda b: expand(b, seeded, blocks), "query_id long, q array<long>, tau double, cell long, chunk long, block long")
         keys = ["cell", "chunk", "block"]
         return store.groupBy(*keys).cogroup(plan.groupBy(*keys)).applyInPandas(evaluate, "query_id long, vec_id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     low = F.lit(float("-inf"))
-    seed = materialize(found(queries.select("query_id", "v", low.alias("tau")), False).dropDuplicates(), "topk-seed")
+    seed = materialize(found(queries.select("query_id", "v", low.alias("tau")), False), "topk-seed")
     ranked = seed.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("tau"))
     asked = queries.select("query_id", "v").join(ranked, "query_id", "left").select("query_id", "v", F.coalesce("tau", low).alias("tau"))
-    every = seed.unionByName(found(asked, True)).dropDuplicates()
+    every = seed.unionByName(found(asked, True))  # no cell is expanded to twice
     return every.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
