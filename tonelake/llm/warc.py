@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer, and a reader for what it wrote.
 
-Pages are cut into shards of consecutive ``page_id`` with near-equal bytes,
-from an exact histogram, so that the same table always gives the same files.
+Pages are cut into shards of consecutive ``page_id`` with near-equal bytes:
+cells between quantiles of the ids, each parted evenly by the exact bytes in
+it, so that the same table always gives the same files.
 Each shard is sorted, written as one gzip member per record, and rolled to a
 new file at a compressed size.  Headers and digests are made from the page
 itself.  Files are written under temporary names and renamed; the manifest,
@@ -20,11 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_of
+from .common import cell_of, fresh_path, hot_keys, id_bounds, materialize, salted, spread, text_of
 
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 ROLL_BYTES = 16 << 20
-HISTOGRAM = 1 << 14
+CELLS = 4096
+#: Payloads that occur more often are dealt over tasks by salts.
+COPIES = 4096
 EPOCH = "2000-01-01T00:00:00Z"
 _MANIFEST = "shard long, file string, records long, bytes long, sha256 string"
 _RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long"
@@ -38,15 +41,19 @@ def _clean(value: str) -> str:
     return " ".join(value.split()) if value else ""
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record_id(page_id: int | None, url: str | None, payload: bytes) -> str:
+    name = hashlib.sha1(f"{page_id}\n{url}\n".encode("utf-8", "replace") + payload).hexdigest()
+    return f"<urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:32]}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, refers_url: str | None = None) -> bytes:
     """One WARC record; a revisit keeps the HTTP header and leaves out the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    name = hashlib.sha1(f"{page_id}\n{url}\n".encode("utf-8", "replace") + payload).hexdigest()
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:32]}>",
+        f"WARC-Record-ID: {record_id(page_id, url, payload)}",
         f"WARC-Date: {EPOCH}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"WARC-Block-Digest: sha1:{digest(block)}",
@@ -58,7 +65,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
-        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_url, payload)}", f"WARC-Refers-To-Date: {EPOCH}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_clean(refers_url)}")
         if refers_to is not None:
             head.append(f"X-Refers-To-Page-ID: {refers_to}")
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -76,43 +85,49 @@ def payloads_of(pages: DataFrame) -> DataFrame:
     return rows.withColumn("sum", F.sha1("payload"))
 
 
-def revisits(rows: DataFrame, least_bytes: int = 0, salts: int = 16) -> DataFrame:
-    """``(page_id, url, sum, revisit, refers_to)`` of the pages that share a payload.
+def revisits(rows: DataFrame, least_bytes: int = 0, copies: int = COPIES) -> DataFrame:
+    """``(page_id, url, sum, revisit, refers_to, refers_url)`` of the pages that share a payload.
 
     Payloads are compared by SHA-1.  Of equal ones, the largest
     ``(page_id, url)`` is stored, once, and rows equal to it in both refer to
     it as well.  Payloads of fewer than ``least_bytes`` bytes are all stored.
-    Only digests are shuffled; those that occur more than once are joined back
-    under ``salts`` salts, so that a common payload is spread over tasks.
+    Only digests are shuffled; those that occur more than ``copies`` times are
+    joined back under salts, so that a common payload is spread over tasks.
     """
-    rows = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", "url", "sum", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).alias("salt"))
+    rows = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", "url", "sum")
     keys = rows.groupBy("sum").agg(F.count("*").alias("n"), F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "url")).alias("top"))
-    twice = keys.where("n > 1").select(F.col("sum").alias("s"), "top", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("t"))
-    rows = rows.join(twice, (rows["sum"] == twice["s"]) & (rows["salt"] == twice["t"]))
+    twice = materialize(keys.where("n > 1"), "warc-copies")
+    hot = hot_keys(twice, ["sum"], copies)
+    rows = salted(rows, hot, ["sum"], F.xxhash64("page_id", "url")).join(spread(twice.select("sum", "top"), hot, ["sum"]), ["sum", "salt"])
     is_top = F.col("top.page_id").eqNullSafe(F.col("page_id")) & F.col("top.url").eqNullSafe(F.col("url"))
-    return rows.select("page_id", "url", "sum", (~is_top).alias("revisit"), F.when(~is_top, F.col("top.page_id")).alias("refers_to"))
+    return rows.select("page_id", "url", "sum", (~is_top).alias("revisit"), F.when(~is_top, F.col("top.page_id")).alias("refers_to"), F.when(~is_top, F.col("top.url")).alias("refers_url"))
 
 
 def sharded(rows: DataFrame, shard_bytes: int = SHARD_BYTES):
-    """A function that adds ``shard``: consecutive page ids with near-equal payload bytes.
+    """``(shards, place)``; ``place`` adds ``shard``: consecutive page ids with near-equal payload bytes.
 
-    From the exact bytes in ``HISTOGRAM`` equal id ranges, so always the same
-    for the same table.  Null ids make up a shard of their own.
+    An outlying id costs its own cell only.  A cell of one id, and the null
+    ids, which come last, are parted by a hash of url and payload.
     """
-    lo, hi = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    if lo is None:
-        return lambda df: df.withColumn("shard", F.lit(-1).cast("long"))
-    width = max(1, -(-(hi - lo + 1) // HISTOGRAM))
-    cell = F.expr(f"page_id div {width}L").cast("long")
-    mass = rows.where("page_id is not null").groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("payload")).alias("bytes"))
-    line = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most HISTOGRAM + 1 rows
-    mass = mass.select("cell", F.floor(F.coalesce(F.sum("bytes").over(line), F.lit(0)) / shard_bytes).cast("long").alias("shard"))
-    # At most HISTOGRAM + 1 rows are broadcast.
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("payload"))).first()
+    bounds = id_bounds(rows, "page_id", n, max(1, min(CELLS, (size or 0) // shard_bytes)))
+    cells = cell_of(rows, "page_id", bounds, "cell").groupBy("cell").agg(F.sum(F.octet_length("payload")).alias("bytes"), F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).orderBy("cell").collect()  # at most CELLS + 1 rows
+    table, shards = [], 0
+    for c in cells:
+        parts = max(1, -(-c["bytes"] // shard_bytes))
+        even = c["lo"] is not None and c["lo"] < c["hi"]
+        table.append((c["cell"], shards, parts, float(c["lo"]) if even else None, max(1.0, (c["hi"] - c["lo"] + 1) / parts) if even else None))
+        shards += parts
+    known = rows.sparkSession.createDataFrame(table, "cell int, base long, parts long, lo double, width double")
+
     def place(df: DataFrame) -> DataFrame:
-        placed = df.withColumn("cell", cell).join(F.broadcast(mass), "cell", "left")
-        return placed.withColumn("shard", F.coalesce("shard", F.lit(-1).cast("long"))).drop("cell")
+        # At most CELLS + 1 rows are broadcast.
+        placed = cell_of(df, "page_id", bounds, "cell").join(F.broadcast(known), "cell")
+        even = F.greatest(F.lit(0), F.least(F.col("parts") - 1, F.floor((F.col("page_id").cast("double") - F.col("lo")) / F.col("width"))))
+        within = F.when(F.col("lo").isNull(), F.pmod(F.xxhash64("url", "sum"), F.col("parts"))).otherwise(even)
+        return placed.withColumn("shard", F.col("base") + within).drop("cell", "base", "parts", "lo", "width")
 
-    return place
+    return shards, place
 
 
 def write(pages: DataFrame, out: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -123,12 +138,12 @@ def write(pages: DataFrame, out: str, least_bytes: int = 0, shard_bytes: int = S
     """
     spark = pages.sparkSession
     rows = payloads_of(pages)
-    place = sharded(rows, shard_bytes)
-    n = place(rows).select("shard").distinct().count()
+    shards, place = sharded(rows, shard_bytes)
     # Payloads are shuffled once: what is known of a page's copies travels beside it, as a row without payload that sorts first.
     marks = revisits(rows, least_bytes).withColumn("payload", F.lit(None).cast("binary"))
-    both = rows.withColumns({"revisit": F.lit(None).cast("boolean"), "refers_to": F.lit(None).cast("long")}).unionByName(marks)
-    rows = place(both).repartition(max(1, n), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("payload").asc_nulls_first())
+    both = rows.withColumns({"revisit": F.lit(None).cast("boolean"), "refers_to": F.lit(None).cast("long"), "refers_url": F.lit(None).cast("string")}).unionByName(marks)
+    # One task a shard.
+    rows = place(both).repartitionById(max(1, shards), F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("payload").asc_nulls_first())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
@@ -159,7 +174,7 @@ def write(pages: DataFrame, out: str, least_bytes: int = 0, shard_bytes: int = S
                 if (page_id, r.url) != state["page"]:
                     state.update(page=(page_id, r.url), marks={})
                 if r.payload is None:
-                    state["marks"][r.sum] = (bool(r.revisit), None if pd.isna(r.refers_to) else int(r.refers_to))
+                    state["marks"][r.sum] = (bool(r.revisit), None if pd.isna(r.refers_to) else int(r.refers_to), r.refers_url)
                     continue
                 if state.get("file") is None:
                     temp = f"{base}/.tmp-{uuid.uuid4().hex}"
@@ -169,8 +184,8 @@ def write(pages: DataFrame, out: str, least_bytes: int = 0, shard_bytes: int = S
                 mark = state["marks"].get(r.sum)
                 again = mark is not None and not mark[0] and here == state["last"]
                 state["last"] = here
-                revisit, refers = (True, page_id) if again else mark or (False, None)
-                data = gzip_member(record(page_id, r.url, bytes(r.payload), refers, revisit))
+                revisit, refers, refers_url = (True, page_id, r.url) if again else mark or (False, None, None)
+                data = gzip_member(record(page_id, r.url, bytes(r.payload), refers, revisit, refers_url))
                 state["file"].write(data)
                 state["sum"].update(data)
                 state["records"] += 1
@@ -181,7 +196,7 @@ def write(pages: DataFrame, out: str, least_bytes: int = 0, shard_bytes: int = S
         yield pd.DataFrame(close(), columns=["shard", "file", "records", "bytes", "sha256"])
 
     manifest = f"{out}/manifest"
-    rows.select("shard", "page_id", "url", "sum", "payload", "revisit", "refers_to").mapInPandas(run, _MANIFEST).write.parquet(manifest)
+    rows.select("shard", "page_id", "url", "sum", "payload", "revisit", "refers_to", "refers_url").mapInPandas(run, _MANIFEST).write.parquet(manifest)
     return spark.read.schema(_MANIFEST).parquet(manifest)
 
 
