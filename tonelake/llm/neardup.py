@@ -14,7 +14,8 @@ bucket.  In buckets of up to ``ALL_PAIRS`` nodes all pairs are compared, in a
 larger one every node with a hub.  Large buckets that still hold several
 classes are then searched in full: nodes joined by them are a group, groups
 are cut into blocks, and any two blocks meet in one task, which compares all
-pairs that share a band and are not of one class yet.  In the first pass pairs
+pairs that share a band and are not of one class yet.  Rows of a hot bucket are
+dealt over several tasks wherever buckets are joined.  In the first pass pairs
 whose signatures rule the similarity out go before any text is read; for all
 others, and in the second pass for all, the exact Jaccard similarity of the
 texts' shingle sets decides.
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release, text_of
+from .common import discard, hot_keys, materialize, release, salted, spread, text_of
 
 WORDS = 5
 SIMILAR = 0.8
@@ -39,10 +40,12 @@ ROWS = 4
 #: Signature components; the first BANDS * ROWS make the bands, all of those without weights the estimate.
 COMPONENTS = 256
 #: A pair is left out where its signatures agree so many standard deviations less than similar ones do.
-SIGMAS = 3.0
+SIGMAS = 4.5
 ALL_PAIRS = 8
-#: Up to so many links are joined to components in one task.
-LOCAL_LINKS = 100_000
+#: Buckets of more rows are dealt over tasks by salts.
+BUCKET_ROWS = 512
+#: So many links at once are shortened to stars inside a task.
+LINK_CHUNK = 100_000
 #: Rows and bytes of shingles in a block of the second pass.
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 16 << 20
@@ -240,8 +243,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> Data
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary")
 
 
-def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over all links of one task, the least node as root."""
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links with the same components: union-find over ``LINK_CHUNK`` links at a time, every node to its least."""
     up: dict[bytes, bytes] = {}
 
     def find(x: bytes) -> bytes:
@@ -250,26 +253,35 @@ def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = up[x]
         return x
 
+    def stars() -> pd.DataFrame:
+        links = [(x, find(x)) for x in up]
+        up.clear()
+        return pd.DataFrame([(x, r) for x, r in links if x != r], columns=["a", "b"])
+
+    seen = 0
     for p in batches:
         for a, b in zip(p["a"], p["b"]):
             low, high = sorted((find(bytes(a)), find(bytes(b))))
             up[high] = low
-    yield pd.DataFrame({"node": list(up), "root": [find(x) for x in up]})
+            seen += 1
+            if seen % LINK_CHUNK == 0:
+                yield stars()
+    yield stars()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links (a, b)``: its component's least node.
 
-    Alternates linking each node's larger neighbours to its least neighbour
-    and its smaller ones likewise, until nothing changes; hubs lose all but
-    one of their links in a round, and each round is cut off by a table.
+    Tasks first shorten their own links to stars.  Then rounds link each
+    node's larger neighbours to its least neighbour and its smaller ones
+    likewise, until nothing changes; hubs lose all but one of their links in a
+    round, and each round is cut off by a table.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = materialize(links.where("a <> b").distinct(), "links")
-    if edges.count() <= LOCAL_LINKS:
-        return edges.coalesce(1).mapInPandas(_united, "node binary, root binary")
-    mark = None
-    while True:
+    mark_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    edges = materialize(links.where("a <> b").distinct().mapInPandas(_stars, "a binary, b binary"), "links", 100_000)
+    mark = mark_of(edges)
+    while mark[0]:
         near = both(edges)
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -278,7 +290,7 @@ def components(links: DataFrame) -> DataFrame:
         low = small.groupBy("a").agg(F.min("b").alias("m"))
         small = small.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         new = materialize(small, "links")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        now = mark_of(new)
         discard(edges)
         edges = new
         if now == mark:
@@ -302,8 +314,11 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     top = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     nodes = materialize(seen.groupBy("node").agg(top.alias("top"), F.count("*").alias("docs"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(members.join(crowded, "bucket").select("bucket", "node", "n"), "buckets")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"))).alias("y")).where("n > 1")
+    sizes = materialize(sizes.select("bucket", "n", "y.hub"), "bucket-sizes")
+    hot = hot_keys(sizes, ["bucket"], BUCKET_ROWS)
+    members = salted(members, hot, ["bucket"], F.col("node")).join(spread(sizes, hot, ["bucket"]), ["bucket", "salt"])
+    members = materialize(members.select("bucket", "salt", "node", "n", "hub"), "buckets")
 
     wanted = materialize(members.select("node").distinct().join(nodes.select("node", "top", "sig"), "node").select("node", F.col("top.doc_id").alias("_id"), F.col("top.key").alias("_key"), "sig"), "wanted")
     rows = keyed(docs)
@@ -316,11 +331,15 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     roots = _joined(roots, materialize(verified(pairs, texts, least), "found"))
     discard(pairs)
     # Buckets that are one class by now hold nothing more to find.
-    rest = materialize(_open(members, roots), "open")
+    rest = materialize(_open(members, roots, hot), "open")
     discard(members)
+    discard(sizes)
+    discard(wanted)
     if not rest.isEmpty():
         release(docs.sparkSession)
         roots = _joined(roots, materialize(_across(rest, roots, nodes, texts, least), "found"))
+    for used in (rest, texts, hot):
+        discard(used)
 
     per = nodes.select("node", "top", "docs").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = per.groupBy("root").agg(F.min("top").alias("first"), F.sum("docs").alias("class_docs"))
@@ -358,9 +377,7 @@ def _bucket_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     Pairs that meet in several buckets are made one before the signatures are
     joined to them.
     """
-    many = members.where(F.col("n") > ALL_PAIRS)
-    hubs = many.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"))).alias("y")).select("bucket", "y.hub")
-    star = many.join(hubs, "bucket").where("node <> hub").select("node", F.col("hub").alias("other"))
+    star = members.where((F.col("n") > ALL_PAIRS) & (F.col("node") != F.col("hub"))).select("node", F.col("hub").alias("other"))
     few = members.where(F.col("n") <= ALL_PAIRS).groupBy("bucket").agg(F.collect_list("node").alias("all"))  # at most ALL_PAIRS each
     few = few.select(F.explode("all").alias("node"), "all").select("node", F.explode("all").alias("other")).where("node < other")
     both = star.unionByName(few).select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
@@ -368,11 +385,11 @@ def _bucket_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     return both.join(code("node", "ca"), "node").join(code("other", "cb"), "other")
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _open(members: DataFrame, roots: DataFrame, hot: DataFrame) -> DataFrame:
     """``(node, hub)`` of the large buckets that still hold several classes, ``hub`` a bucket's least node."""
-    rows = members.where(F.col("n") > ALL_PAIRS).join(roots.select("node", "root"), "node")
-    several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("hub")).where("x <> y").select("bucket", "hub")
-    return rows.join(several, "bucket").select("node", "hub").distinct()
+    rows = members.where(F.col("n") > ALL_PAIRS).select("bucket", "salt", "node").join(roots.select("node", "root"), "node")
+    several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("least")).where("x <> y").select("bucket", F.col("least").alias("hub"))
+    return rows.join(spread(several, hot, ["bucket"]), ["bucket", "salt"]).select("node", "hub").distinct()
 
 
 def _across(rest: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
