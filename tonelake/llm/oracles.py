@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from .urls import RULES
+from . import licences
+from .urls import DAMPING, RULES, rounds_for
 
 OP1 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) t WHERE r <= 20"""
@@ -34,9 +35,9 @@ def _rules(column: str) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
-def op5(rounds: int = 8, damping: float = 0.85) -> str:
+def op5(rounds: int = rounds_for(), damping: float = DAMPING) -> str:
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    steps = ["r0 AS (SELECT * FROM seed)"]
+    steps = [f"r0 AS (SELECT kind, host, rank * {1 - damping} AS rank FROM seed)"]
     for i in range(rounds):
         steps.append(
             f"r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (SELECT w.kind, w.b AS host, w.w * r.rank * {damping} AS rank FROM walk w JOIN r{i} r ON w.kind = r.kind AND w.a = r.host"
@@ -51,10 +52,49 @@ e AS (SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM l UNION ALL SELE
 b AS (SELECT 'trust' AS kind, src AS a, dst AS b, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e),
 walk AS MATERIALIZED (SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a) AS w FROM b),
 sd AS (SELECT CASE WHEN by_rule = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS mass FROM j WHERE by_rule IS NOT NULL GROUP BY 1, 2),
-seed AS MATERIALIZED (SELECT kind, host, mass / sum(mass) OVER (PARTITION BY kind) AS rank FROM sd),
+seed AS MATERIALIZED (SELECT kind, host, mass / avg(mass) OVER (PARTITION BY kind) AS rank FROM sd),
 {", ".join(steps)},
 sc AS (SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'distrust'), 0) - coalesce(sum(rank) FILTER (WHERE kind = 'trust'), 0) AS bad FROM r{rounds} GROUP BY 1)
-SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.by_rule, CASE WHEN round(coalesce(sc.bad, 0), 12) > 1e-9 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN sc ON j.host = sc.host"""
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.by_rule, CASE WHEN round(coalesce(sc.bad, 0), 9) > 1e-6 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN sc ON j.host = sc.host"""
+
+
+def _quoted(x: object) -> str:
+    return f"'{x}'" if isinstance(x, str) else str(x)
+
+
+def op2() -> str:
+    """All places where any template's words stand, then those with the whole key phrase."""
+    listed = licences.postings(licences.BASE, licences.LICENCES)
+    values = ", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in listed)
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p(t, label, base, word, off, key) AS (VALUES {values}),
+h AS MATERIALIZED (SELECT * FROM (SELECT uid, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d) x WHERE word IN (SELECT word FROM p)),
+f AS (SELECT word, count(DISTINCT uid) AS f FROM h GROUP BY 1),
+i AS MATERIALIZED (SELECT p.*, CAST(round((ln(((SELECT count(*) FROM d) + 1) / (coalesce(f.f, 0) + 1)) + 1) * 1000000) AS BIGINT) AS idf FROM p LEFT JOIN f USING (word)),
+a AS (SELECT t, CAST(sum(idf) AS BIGINT) AS total, sum(CAST(key AS INT)) AS need FROM i GROUP BY 1),
+m AS (SELECT uid, t, any_value(label) AS label, any_value(base) AS base, pos - off AS start, CAST(sum(idf) AS BIGINT) AS weight, sum(CAST(key AS INT)) AS k FROM h JOIN i USING (word) GROUP BY uid, t, pos - off),
+g AS (SELECT m.*, weight / total AS share FROM m JOIN a USING (t) WHERE k = need),
+r AS (SELECT uid, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+  list_sort(list_distinct(list(label) FILTER (WHERE base))) AS b, list_sort(list_distinct(list(label))) AS l, max(share) AS score FROM g GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(l, ','), '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN r USING (uid)"""
+
+
+#: Targets by water filling, then one order of all copies by finish time up to the budget.
+OP8 = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS uid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5('17' || chr(10) || coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 15) AS BIGINT) AS key FROM documents),
+n AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY 1),
+f AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total, coalesce(sum(3 * source_size) OVER w, 0) AS used, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS rest
+  FROM n WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, CAST(total - used AS DOUBLE) / rest AS share, cap <= CAST(total - used AS DOUBLE) / rest * weight AS capped FROM f),
+t AS MATERIALIZED (SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE arg_min(share, used) FILTER (WHERE NOT capped) OVER () * weight END AS target FROM c),
+o AS MATERIALIZED (SELECT d.*, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS LAST, size, uid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT uid, size, source, key, doc_id, (upto + source_size * k) / target AS finish FROM o, range(3) r(k) WHERE size > 0 AND target > 0),
+s AS (SELECT uid, sum(size) OVER (ORDER BY finish, source NULLS LAST, key, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS spent FROM e),
+g AS (SELECT uid, count(*) AS copies FROM s WHERE spent <= (SELECT sum(size) FROM d) GROUP BY 1)
+SELECT doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken FROM o LEFT JOIN g USING (uid)"""
 
 
 OP9 = """
@@ -81,4 +121,4 @@ SELECT doc_id, class_id, CAST(count(*) OVER (PARTITION BY class_id) AS BIGINT) A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1, "op4_chat_perspectives": OP4, "op5_url_filter": op5(), "op9_warc": OP9, "op10_probminhash": OP10}
+    return {"op1_exact_topk": OP1, "op2_license_scan": op2(), "op4_chat_perspectives": OP4, "op5_url_filter": op5(), "op8_fair_mixing": OP8, "op9_warc": OP9, "op10_probminhash": OP10}
