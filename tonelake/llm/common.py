@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import json
 import shutil
 import tempfile
 import uuid
@@ -82,6 +83,13 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows from a literal, made in the JVM alone; ``schema`` as ``name type, ...``."""
+    names = [f.split()[0] for f in schema.split(",")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(':'.join(f.split()) for f in schema.split(','))}>>")))
+
+
 def id_bounds(df: DataFrame, name: str, n: int, cells: int) -> list[float]:
     """At most ``cells - 1`` ascending bounds that part the ids of ``n`` rows about evenly.
 

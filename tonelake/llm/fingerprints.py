@@ -17,7 +17,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cell_of, id_bounds, materialize, text_of
+from .common import cell_of, id_bounds, materialize, small_table, text_of
 
 LANES = 16
 SKETCH = 64
@@ -105,7 +105,7 @@ def with_next_text(docs: DataFrame, rows_per_block: int = 512, vectors: bool = F
         lo, hi = (-float(1 << 63), float(1 << 63)) if c["lo"] is None else (float(c["lo"]), float(c["hi"]))
         m = max(1, -(-c["n"] // share))
         parts.append((c["a"], lo, max(1.0, (hi - lo) / m), m))
-    table = F.broadcast(docs.sparkSession.createDataFrame(parts, "a int, lo double, width double, m int"))
+    table = F.broadcast(small_table(docs.sparkSession, parts, "a int, lo double, width double, m int"))
     within = F.greatest(F.lit(0), F.least(F.col("m") - 1, F.floor((F.col("k").cast("double") - F.col("lo")) / F.col("width")).cast("int")))
     rows = rows.join(table, "a").select("doc_id", "text", "z", "k", "a", within.alias("b"))
     inside = Window.partitionBy("a", "b").orderBy("z", "k", "text")

@@ -20,7 +20,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, text_of
+from .common import ascii_lower, materialize, small_table, text_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SLOTS = 4096
@@ -195,15 +195,15 @@ def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, licences: tuple[Tem
 
     # Tables of the templates' words; their size is that of the templates.
     rows = [(ids[w], t, off, key, idf[w]) for t, _, _, w, off, key in listed]
-    index = F.broadcast(spark.createDataFrame(rows, "word int, t int, off int, key boolean, idf long"))
+    index = F.broadcast(small_table(spark, rows, "word int, t int, off int, key boolean, idf long"))
     rare = []
     for t in range(len(base + licences)):
         of = sorted({(-idf[w], w) for n, _, _, w, _, key in listed if n == t and key})[:2]
         rare += [(ids[w], t, off, 1 << bit) for bit, (_, w) in enumerate(of) for n, _, _, x, off, key in listed if n == t and key and x == w]
     needs = {t: sum(1 for n, _, _, w, _, key in listed if n == t and key) for t in range(len(base + licences))}
     both = {t: max(b for _, n, _, b in rare if n == t) * 2 - 1 for t in needs}
-    facts = F.broadcast(spark.createDataFrame([(t, x.label, t < len(base), needs[t], both[t], sum(idf[w] for n, _, _, w, _, _ in listed if n == t)) for t, x in enumerate(base + licences)], "t int, label string, base boolean, need int, both int, total long"))
-    lookups = F.broadcast(spark.createDataFrame(rare, "word int, t int, off int, bit int"))
+    facts = F.broadcast(small_table(spark, [(t, x.label, t < len(base), needs[t], both[t], sum(idf[w] for n, _, _, w, _, _ in listed if n == t)) for t, x in enumerate(base + licences)], "t int, label string, base boolean, need int, both int, total long"))
+    lookups = F.broadcast(small_table(spark, rare, "word int, t int, off int, bit int"))
 
     def places(table: DataFrame) -> DataFrame:
         codes = table.select("uid", F.explode("codes").alias("c"))
