@@ -283,15 +283,17 @@ def components(links: DataFrame) -> DataFrame:
     mark = mark_of(edges)
     while mark[0]:
         near = both(edges)
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Least neighbours are read from a table: Spark knows its size, broadcasts it below its threshold and splits hubs in the join otherwise.
+        least = materialize(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        small = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = small.groupBy("a").agg(F.min("b").alias("m"))
-        small = small.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        new = materialize(small, "links")
+        small = materialize(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "stars")
+        low = materialize(small.groupBy("a").agg(F.min("b").alias("m")), "least")
+        linked = small.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        new = materialize(linked, "links")
         now = mark_of(new)
-        discard(edges)
+        for used in (edges, least, small, low):
+            discard(used)
         edges = new
         if now == mark:
             break
