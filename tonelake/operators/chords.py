@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chord_names import TEMPLATES, chord_name
@@ -52,110 +54,138 @@ def together(spans: Column) -> Column:
     return F.aggregate(F.sort_array(marks), F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("t"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
 
 
-def candidates(spark: SparkSession) -> DataFrame:
-    """The 204 (root, quality) candidates in order, one bit mask of tones each."""
-    rows = [(r * len(QUALITIES) + i, r, q, [(r + t) % 12 for t in TEMPLATES[q]], list(TEMPLATES[q])) for r in range(12) for i, q in enumerate(QUALITIES)]
-    return spark.createDataFrame(rows, "cand_ord int, root int, quality string, tones array<int>, ivs array<int>")
-
-
-def score_matrix(hist: np.ndarray, bass: np.ndarray) -> np.ndarray:
-    """``(windows, 204)`` scores of normalised histograms; ``bass`` -1 if none.
-
-    Bins are added in pitch-class order for all windows at once, so sums are
-    the same whatever the batch.
-    """
-    n = len(hist)
-    out = np.empty((n, 12 * len(QUALITIES)))
-    for root in range(12):
-        for i, q in enumerate(QUALITIES):
-            ivs = TEMPLATES[q]
-            tones = {(root + t) % 12 for t in ivs}
-            match, non = np.zeros(n), np.zeros(n)
-            for pc in range(12):
-                if pc in tones:
-                    match = match + hist[:, pc]
-                else:
-                    non = non + hist[:, pc]
-            s = match - 0.5 * non
-            for iv in ivs:
-                lost = 0.45 if iv == 0 else (0.3 if q in WEAK_FIFTH else 0.1) if iv == 7 else 0.3 if q in ("sus2", "sus4") or iv in (3, 4) else 0.35
-                s = np.where(hist[:, (root + iv) % 12] > PRESENT, s, s - lost)
-            if q in CHARACTERISTIC:
-                s = np.where(hist[:, (root + CHARACTERISTIC[q]) % 12] < 0.6 * hist[:, root], s - 0.3, s)
-            s = s - 0.01 * len(ivs)
-            s = np.where(bass < 0, s, np.where(bass == root, s + 0.15, np.where(np.isin(bass, list(tones)), s + 0.04, s - 0.05)))
-            out[:, root * len(QUALITIES) + i] = s
-    return out
-
-
-def _concentrated(hist: np.ndarray, root: int, quality: str) -> bool:
-    ivs = TEMPLATES[quality]
-    tones = {(root + i) % 12 for i in ivs}
-    match = non = 0.0
-    for pc in range(12):
-        if pc in tones:
-            match += hist[pc]
-        else:
-            non += hist[pc]
-    has = {i: hist[(root + i) % 12] > PRESENT for i in (0, *ivs)}
-    if match < 0.75 or non > 0.25 or sum(hist[t] > PRESENT for t in tones) < 3:
-        return False
-    thirds = {3, 4} | ({2} if quality == "sus2" else set()) | ({5} if quality == "sus4" else set())
-    return bool(has[0] and any(has[i] for i in ivs if i in thirds) and any(has[i] for i in ivs if i in (6, 7, 8)))
-
-
-def _choose(p: pd.DataFrame) -> pd.DataFrame:
-    """The ordered pass over one score's windows: argmax, preference for triads, hysteresis, merging."""
-    p = p.sort_values("w_start", kind="stable")
+class _Candidates:
+    """The 204 candidates (root, quality) in order, as arrays a batch of windows is judged with."""
+
+    def __init__(self) -> None:
+        pairs = [(root, q) for root in range(12) for q in QUALITIES]
+        most = max(map(len, TEMPLATES.values()))
+        self.tones = np.array([[(pc - root) % 12 in {t % 12 for t in TEMPLATES[q]} for pc in range(12)] for root, q in pairs], float)
+        self.at, self.lost = np.zeros((most, len(pairs)), int), np.zeros((most, len(pairs)))
+        for c, (root, q) in enumerate(pairs):
+            for k, iv in enumerate(TEMPLATES[q]):
+                self.at[k, c] = (root + iv) % 12
+                self.lost[k, c] = 0.45 if iv == 0 else (0.3 if q in WEAK_FIFTH else 0.1) if iv == 7 else 0.3 if q in ("sus2", "sus4") or iv in (3, 4) else 0.35
+        self.root = np.array([root for root, _ in pairs])
+        self.marked = np.array([q in CHARACTERISTIC for _, q in pairs])
+        self.mark = np.array([(root + CHARACTERISTIC.get(q, 0)) % 12 for root, q in pairs])
+        self.size = np.array([0.01 * len(TEMPLATES[q]) for _, q in pairs])
+        self.low = np.zeros((13, len(pairs)))  # by bass, the last row without one
+        for bass in range(12):
+            self.low[bass] = np.where(self.root == bass, 0.15, np.where(self.tones[:, bass] > 0, 0.04, -0.05))
+        # Thirds (or what stands for them) and fifths, as masks of pitch classes.
+        thirds = [{3, 4} | ({2} if q == "sus2" else {5} if q == "sus4" else set()) for _, q in pairs]
+        masked = lambda wanted: np.array([[(pc - root) % 12 in w & {t % 12 for t in TEMPLATES[q]} for pc in range(12)] for (root, q), w in zip(pairs, wanted)])
+        self.third, self.fifth = masked(thirds), masked([{6, 7, 8}] * len(pairs))
+
+    def _sums(self, hist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sound inside and outside each candidate; bins are added in order, so sums are the same whatever the batch."""
+        match, non = np.zeros((len(hist), len(self.root))), np.zeros((len(hist), len(self.root)))
+        for pc in range(12):
+            match += hist[:, pc, None] * self.tones[:, pc]
+            non += hist[:, pc, None] * (1 - self.tones[:, pc])
+        return match, non
+
+    def scores(self, hist: np.ndarray, bass: np.ndarray) -> np.ndarray:
+        """``(windows, 204)`` scores of normalised histograms; ``bass`` -1 if none."""
+        match, non = self._sums(hist)
+        s, there = match - 0.5 * non, hist > PRESENT
+        for at, lost in zip(self.at, self.lost):
+            s -= np.where(there[:, at], 0.0, lost)
+        s -= np.where(self.marked & (hist[:, self.mark] < 0.6 * hist[:, self.root]), 0.3, 0.0)
+        return s - self.size + self.low[bass]
+
+    def concentrated(self, hist: np.ndarray) -> np.ndarray:
+        """``(windows, 204)``: nearly all sound is the candidate's, with its root, third and fifth."""
+        match, non = self._sums(hist)
+        there = hist > PRESENT
+        count = lambda mask: there.astype(int) @ mask.T.astype(int)
+        return (match >= 0.75) & (non <= 0.25) & (count(self.tones > 0) >= 3) & there[:, self.root] & (count(self.third) > 0) & (count(self.fifth) > 0)
+
+
+_ALL = _Candidates()
+_TRIADS = np.array([c for c in range(len(_ALL.root)) if QUALITIES[c % len(QUALITIES)] in ("", "m")])
+
+
+def _shares(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised histograms, their totals, the lowest firm pitch (-1 if none) and its class, of a batch of windows."""
     hist = np.stack(p["hist"].to_numpy()).astype(float)
     total = np.zeros(len(p))
     for pc in range(12):
         total = total + hist[:, pc]
-    length = (p["w_end"] - p["w_start"]).to_numpy(float)
-    usable = ~((total < length * 0.3) | ((hist > 0).sum(1) < 2) | (length <= 0))
-    share = hist / np.where(total > 0, total, 1.0)[:, None]
     bass = p["bass"].fillna(-1).to_numpy(float).astype(int)
-    bass_pc = np.where(bass < 0, -1, bass % 12)
-    scores = score_matrix(share, bass_pc)
-    q_of = lambda c: QUALITIES[c % len(QUALITIES)]
-    triads = np.array([c for c in range(scores.shape[1]) if q_of(c) in ("", "m")])
-    events: list[dict] = []
-    before, last_w = None, None
-    for k, r in enumerate(p.itertuples(index=False)):
-        gap = last_w is not None and r.w_start != last_w  # windows without notes are rejected windows
-        last_w = r.w_end
-        if gap:
-            before = None
-        if not usable[k]:
-            before = None
-            continue
-        s = scores[k]
-        best = int(s.argmax())
-        if s[best] < LEAST_SCORE:
-            before = None
-            continue
-        if q_of(best) in EXTENDED:
-            tri = int(triads[s[triads].argmax()])
-            if s[tri] >= s[best] - 0.15 * abs(s[best]):
-                best = tri
-        if before is not None and before != best and s[before] >= s[best] - 0.1 * abs(s[best]):
-            best = before
-        root, quality = best // len(QUALITIES), q_of(best)
-        if r.together < length[k] * 0.1 and not _concentrated(share[k], root, quality):
-            before = None
+    return hist / np.where(total > 0, total, 1.0)[:, None], total, bass, np.where(bass < 0, -1, bass % 12)
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """``(score_id, measure, w, scores, concentrated)`` of :func:`profiles`: one number and one flag for each of the 204 candidates."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            if len(p):
+                share, _, _, bass = _shares(p)
+                yield p[["score_id", "measure", "w"]].assign(scores=list(_ALL.scores(share, bass)), concentrated=list(_ALL.concentrated(share)))
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.select("score_id", "measure", "w", "hist", "bass").mapInPandas(run, f"score_id {kinds['score_id']}, measure {kinds['measure']}, w {kinds['w']}, scores array<double>, concentrated array<boolean>")
+
+
+def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The ordered pass over windows, score by score: argmax, preference for triads, hysteresis, merging.
+
+    A batch is judged at once; from one window to the next only the last
+    choice and the event that may go on are kept.
+    """
+    quality_of = lambda c: QUALITIES[c % len(QUALITIES)]
+    score, before, last_w, event = None, None, None, None
+    columns = ["score_id", "tick", "duration", "name", "root", "quality", "bass", "pitches"]
+    for p in batches:
+        if not len(p):
             continue
-        before = best
-        slash = None
-        pitches, held = list(r.pitches), list(r.held)
-        if bass[k] >= 0 and held[pitches.index(bass[k])] >= length[k] * 0.5 and all(x - bass[k] >= 3 for x in pitches if x != bass[k]):
-            slash = int(bass_pc[k])
-        name = chord_name(root, quality, slash, bool(r.flats))
-        if events and events[-1]["name"] == name and events[-1]["tick"] + events[-1]["duration"] == r.w_start:
-            events[-1]["duration"] += length[k]
-            events[-1]["pitches"] = sorted({*events[-1]["pitches"], *pitches})
-        else:
-            events.append({"score_id": r.score_id, "tick": r.w_start, "duration": length[k], "name": name, "root": root, "quality": quality, "bass": slash if "/" in name else None, "pitches": pitches})
-    out = pd.DataFrame(events, columns=["score_id", "tick", "duration", "name", "root", "quality", "bass", "pitches"])
+        share, total, bass, bass_pc = _shares(p)
+        start, end = p["w_start"].to_numpy(float), p["w_end"].to_numpy(float)
+        length, sounding = end - start, p["together"].to_numpy(float)
+        usable = ~((total < length * 0.3) | ((share > 0).sum(1) < 2) | (length <= 0))
+        scores, firm = _ALL.scores(share, bass_pc), _ALL.concentrated(share)
+        best, triad = scores.argmax(1), _TRIADS[scores[:, _TRIADS].argmax(1)]
+        ids, flats, pitches_of, held_of = p["score_id"].to_list(), p["flats"].to_list(), p["pitches"].to_list(), p["held"].to_list()
+        done = []
+        for k in range(len(p)):
+            if ids[k] != score:
+                done += [event] if event else []
+                score, before, last_w, event = ids[k], None, None, None
+            if last_w is not None and start[k] != last_w:  # windows without notes are rejected windows
+                before = None
+            last_w = end[k]
+            s, choice = scores[k], int(best[k])
+            if not usable[k] or s[choice] < LEAST_SCORE:
+                before = None
+                continue
+            if quality_of(choice) in EXTENDED and s[triad[k]] >= s[choice] - 0.15 * abs(s[choice]):
+                choice = int(triad[k])
+            if before is not None and before != choice and s[before] >= s[choice] - 0.1 * abs(s[choice]):
+                choice = before
+            if sounding[k] < length[k] * 0.1 and not firm[k, choice]:
+                before = None
+                continue
+            before = choice
+            root, quality = choice // len(QUALITIES), quality_of(choice)
+            pitches, held, low = list(pitches_of[k]), list(held_of[k]), int(bass[k])
+            deep = low >= 0 and held[pitches.index(low)] >= length[k] * 0.5 and all(x - low >= 3 for x in pitches if x != low)
+            slash = int(bass_pc[k]) if deep else None
+            name = chord_name(root, quality, slash, bool(flats[k]))
+            if event and event[3] == name and event[1] + event[2] == start[k]:
+                event[2] += length[k]
+                event[7] = sorted({*event[7], *pitches})
+            else:
+                done += [event] if event else []
+                event = [score, start[k], length[k], name, root, quality, slash if "/" in name else None, pitches]
+        yield _events(done, columns)
+    yield _events([event] if event else [], columns)
+
+
+def _events(rows: list, columns: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
     return out.assign(bass=out["bass"].astype("Int64"))
 
 
@@ -166,12 +196,12 @@ def detect(notes: DataFrame, bars: DataFrame, keys: DataFrame, resolution: str =
     """Chords inferred from notes.
 
     Windows, overlaps and histograms are joins and sums; only the ordered pass
-    over a score's windows, one row each, runs per score.
+    over the windows, one row each, reads a partition in order.
     """
     rows = profiles(notes, tl.windows(bars, resolution, ppq))
     rows = rows.join(tl.change_lists(keys, ["fifths"], "keys"), "score_id", "left")
     rows = rows.withColumn("flats", F.coalesce(tl.as_of(F.col("keys"), F.col("w_start"))["fifths"] < 0, F.lit(False))).drop("keys")
-    return rows.groupBy("score_id").applyInPandas(_choose, CHORDS)
+    return rows.repartition("score_id").sortWithinPartitions("score_id", "w_start").mapInPandas(_choose, CHORDS)
 
 
 def printed_events(printed: DataFrame, bars: DataFrame) -> DataFrame:

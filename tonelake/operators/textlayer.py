@@ -7,6 +7,8 @@ band's items in order, and a band holds a few dozen.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,17 +55,23 @@ def bands(found: DataFrame, systems: DataFrame) -> DataFrame:
     return found.join(s, ["score_id", "page"]).where("x1 >= s_left and x0 <= s_right")
 
 
-def _merge(p: pd.DataFrame) -> pd.DataFrame:
-    p = p.sort_values(["x0", "ord"], kind="stable")
-    out: list[dict] = []
-    for r in p.itertuples(index=False):
-        reach = [o for o in out if -0.6 * r.ss <= r.x0 - o["x1"] <= 0.3 * r.ss and abs(r.y - o["y"]) <= 0.7 * r.ss]
-        if reach:
-            o = reach[-1]
-            o.update(text=o["text"] + r.text, x1=max(o["x1"], r.x1), y=max(o["y"], r.y), h=max(o["h"], r.h), font=o["font"] or r.font)
-        else:
-            out.append({"score_id": r.score_id, "page": r.page, "system": r.system, "text": r.text, "x0": r.x0, "x1": r.x1, "y": r.y, "h": r.h, "font": r.font})
-    return pd.DataFrame(out, columns=["score_id", "page", "system", "text", "x0", "x1", "y", "h", "font"])
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of one symbol joined; rows come band by band from left to right, and only the band at hand is held."""
+    columns = ["score_id", "page", "system", "text", "x0", "x1", "y", "h", "font"]
+    band, held, done = None, [], []
+    for p in batches:
+        for score, page, system, text, x0, x1, y, h, font, ss in zip(*(p[c].to_list() for c in (*columns, "ss"))):
+            if (score, page, system) != band:
+                done += held
+                band, held = (score, page, system), []
+            near = next((o for o in reversed(held) if -0.6 * ss <= x0 - o[5] <= 0.3 * ss and abs(y - o[6]) <= 0.7 * ss), None)
+            if near is None:
+                held.append([score, page, system, text, x0, x1, y, h, font])
+            else:
+                near[3:] = near[3] + text, near[4], max(near[5], x1), max(near[6], y), max(near[7], h), near[8] or font
+        yield pd.DataFrame(done, columns=columns)
+        done = []
+    yield pd.DataFrame(held, columns=columns)
 
 
 def chords(items: DataFrame, systems: DataFrame) -> DataFrame:
@@ -73,7 +81,8 @@ def chords(items: DataFrame, systems: DataFrame) -> DataFrame:
     rehearsal marks.
     """
     band = bands(tokens(runs(items)), systems).where("y >= band_top and y <= s_top + 0.5 * ss and h <= 3 * ss")
-    joined = band.groupBy("score_id", "page", "system").applyInPandas(_merge, _RUN)
+    key = ["score_id", "page", "system"]
+    joined = band.repartition(*key).sortWithinPartitions(*key, "x0", "ord").mapInPandas(_merge, _RUN)
     read = over_distinct(joined, "text", exact_symbol, SYMBOL.replace("text string", "shown string")).where("text_x is not null")
     whole = Window.partitionBy("score_id", "page", "system")
     sizes = F.sort_array(F.collect_list(F.when(F.length("text") > 1, F.col("h"))).over(whole))

@@ -70,37 +70,29 @@ _SCORED = f""" , hh AS (SELECT score_id, measure, w, pitch % 12 AS pc, sum(b - a
    - CASE WHEN i.quality IN ('sus2','sus4','add9','6','m6','9','m9') AND max(CASE WHEN i.i = CASE i.quality WHEN 'sus4' THEN 5 WHEN '6' THEN 9 WHEN 'm6' THEN 9 ELSE 2 END THEN coalesce(h.v, 0) ELSE 0 END) < 0.6 * max(CASE WHEN i.i = 0 THEN coalesce(h.v, 0) ELSE 0 END) THEN 0.3 ELSE 0 END
    + CASE WHEN bs.bass IS NULL THEN 0 WHEN bs.bass = i.root THEN 0.15 WHEN max(CASE WHEN (i.root + i.i) % 12 = bs.bass THEN 1 ELSE 0 END) = 1 THEN 0.04 ELSE -0.05 END AS score
    FROM tt t JOIN bs USING (score_id, measure, w) CROSS JOIN iv i LEFT JOIN hs h ON h.score_id = t.score_id AND h.measure = t.measure AND h.w = t.w AND h.pc = (i.root + i.i) % 12
-   WHERE t.score_id % 10 = 0
    GROUP BY t.score_id, t.measure, t.w, i.cand_ord, i.root, i.quality, bs.bass)"""
 
 
-def _scored(spark, sf):
-    """Every window's 204 candidates: a join with a fixed table of 204 rows."""
-    p = ch.profiles(d.notes(spark, sf), d.beats(spark, sf))
-    total = F.aggregate("hist", F.lit(0.0), lambda a, x: a + x)
-    p = p.select("score_id", "measure", "w", F.transform("hist", lambda x: x / total).alias("h"), F.pmod("bass", F.lit(12)).alias("bass"))
-    c = F.broadcast(ch.candidates(spark))  # always 204 rows
-    rows = p.join(c)
-    at = lambda pc: F.get("h", pc)
-    match = F.aggregate("tones", F.lit(0.0), lambda a, t: a + at(t))
-    weak = F.when(F.col("quality").isin(*ch.WEAK_FIFTH), 0.3).otherwise(0.1)
-    lost = lambda i: F.when(at(F.pmod(F.col("root") + i, F.lit(12))) > ch.PRESENT, 0.0).when(i == 0, 0.45).when(i == 7, weak).when(F.col("quality").isin("sus2", "sus4") | i.isin(3, 4), 0.3).otherwise(0.35)
-    mark = F.element_at(F.create_map(*[F.lit(x) for kv in ch.CHARACTERISTIC.items() for x in kv]), F.col("quality"))
-    thin = F.when(mark.isNotNull() & (at(F.pmod(F.col("root") + mark, F.lit(12))) < 0.6 * at(F.col("root"))), 0.3).otherwise(0.0)
-    low = F.when(F.col("bass").isNull(), 0.0).when(F.col("bass") == F.col("root"), 0.15).when(F.array_contains("tones", F.col("bass").cast("int")), 0.04).otherwise(-0.05)
-    score = 1.5 * match - 0.5 - F.aggregate("ivs", F.lit(0.0), lambda a, i: a + lost(i)) - thin - 0.01 * F.size("ivs") + low
-    return rows.select("score_id", "measure", "w", "cand_ord", "root", "quality", score.alias("score"))
-
-
-@query("a05_candidate_scores", _sql(_SCORED.replace("WHERE t.score_id % 10 = 0", "") + " SELECT score_id, measure, w, cand_ord, round(score, 6) AS score FROM sc WHERE round(score, 6) >= 0.9"))
+def _judged(spark, sf):
+    return ch.judged(ch.profiles(d.notes(spark, sf), d.beats(spark, sf)))
+
+
+# The shift keeps scores that are round numbers away from the edges of the steps.
+@query("a05_candidate_scores", _sql(_SCORED + " SELECT score_id, measure, w, CAST(count(*) AS BIGINT) AS candidates, CAST(sum(CAST(floor(score * 1000000 + 0.37) AS BIGINT) * (cand_ord + 1)) AS BIGINT) AS checksum, max(CAST(floor(score * 1000000 + 0.37) AS BIGINT)) AS best FROM sc GROUP BY 1, 2, 3"))
 def a05(spark, sf):
-    return _scored(spark, sf).where("round(score, 6) >= 0.9").select("score_id", "measure", "w", "cand_ord", F.round("score", 6).alias("score"))
+    """All 204 scores of each window, in millionths, summed up by candidate."""
+    steps = F.transform("scores", lambda x: F.floor(x * 1000000 + 0.37))
+    rows = _judged(spark, sf).select("score_id", "measure", "w", steps.alias("steps"))
+    return rows.select("score_id", "measure", "w", F.size("steps").cast("long").alias("candidates"), F.aggregate(F.transform("steps", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"), F.array_max("steps").alias("best"))
 
 
-@query("a06_best_candidate", _sql(_SCORED.replace("WHERE t.score_id % 10 = 0", "") + " SELECT score_id, measure, w, root, quality FROM sc QUALIFY row_number() OVER (PARTITION BY score_id, measure, w ORDER BY round(score, 9) DESC, cand_ord) = 1"))
+@query("a06_best_candidate", _sql(_SCORED + " SELECT score_id, measure, w, root, quality FROM sc QUALIFY row_number() OVER (PARTITION BY score_id, measure, w ORDER BY round(score, 9) DESC, cand_ord) = 1"))
 def a06(spark, sf):
-    best = _scored(spark, sf).groupBy("score_id", "measure", "w").agg(F.max_by(F.struct("root", "quality"), F.struct(F.round("score", 9), -F.col("cand_ord"))).alias("x"))
-    return best.select("score_id", "measure", "w", "x.root", "x.quality")
+    near = F.transform("scores", lambda x: F.round(x, 9))
+    rows = _judged(spark, sf).select("score_id", "measure", "w", near.alias("s"))
+    at = (F.array_position("s", F.array_max("s")) - 1).cast("int")
+    names = F.array(*[F.lit(q) for q in ch.QUALITIES])
+    return rows.select("score_id", "measure", "w", F.floor(at / len(ch.QUALITIES)).cast("int").alias("root"), F.get(names, F.pmod(at, F.lit(len(ch.QUALITIES)))).alias("quality"))
 
 
 @query("c02_detect_chords")
@@ -194,12 +186,9 @@ def f13(spark, sf):
  hs AS (SELECT *, v / sum(v) OVER (PARTITION BY score_id, measure, w) AS s FROM hh)
  SELECT score_id, measure, w FROM hs GROUP BY 1, 2, 3 HAVING sum(CASE WHEN pc IN (0, 4, 7) THEN s ELSE 0 END) >= 0.75 AND count(*) FILTER (WHERE pc IN (0, 4, 7) AND s > 0.02) = 3"""))
 def a08(spark, sf):
-    """Windows whose sound is nearly all one major triad on C, with each of its tones."""
-    p = ch.profiles(d.notes(spark, sf), d.beats(spark, sf))
-    total = F.aggregate("hist", F.lit(0.0), lambda a, x: a + x)
-    p = p.withColumn("s", F.transform("hist", lambda x: x / total))
-    tone = lambda i: F.get("s", i)
-    return p.where((tone(0) + tone(4) + tone(7) >= 0.75) & (F.least(tone(0), tone(4), tone(7)) > 0.02)).select("score_id", "measure", "w")
+    """Windows whose sound is nearly all one major triad on C, the first candidate but for its quality's place."""
+    major = ch.QUALITIES.index("")
+    return _judged(spark, sf).where(F.get("concentrated", F.lit(major))).select("score_id", "measure", "w")
 
 
 @query("f14_shape_details")
