@@ -6,8 +6,10 @@ positions are few (strings) and eight fingerings are kept per onset.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -103,10 +105,10 @@ class _Layer:
     best: list = field(default_factory=list)  # (total, back, position reached)
 
 
-def _tie_source(n: Item, notes: list[Item]) -> Item | None:
-    same = [m for m in notes if m is not n and m.pitch == n.pitch]
-    exact = (m for m in same if m.start + m.duration == n.start and m.voice == n.voice)
-    loose = (m for m in same if m.start < n.start <= m.start + m.duration)
+def _tie_source(n: Item, same: list[Item]) -> Item | None:
+    """What ``n`` goes on from, among the notes of its pitch: the one of its voice that ends where it starts, else any still sounding."""
+    exact = (m for m in same if m is not n and m.start + m.duration == n.start and m.voice == n.voice)
+    loose = (m for m in same if m is not n and m.start < n.start <= m.start + m.duration)
     return next(exact, None) or next(loose, None)
 
 
@@ -136,34 +138,34 @@ def _layer(notes: list[Item], guitar: Guitar, warn) -> _Layer:
             n.spot = None
         warn(f"{len(gone)} note{'s' if len(gone) > 1 else ''} dropped", notes[0].start, f" (more than {len(guitar.tuning)} simultaneous notes)")
         free = kept
-    at = [n.spot for n in held]
-
-    def tried(list_: list[Item]) -> list[list[Spot]]:
-        for span in SPANS:
-            found = []
-            for f in fingerings([guitar.spots(n.pitch) for n in list_], at, guitar, span):
-                found.append(f)
-                if len(found) >= ENOUGH:
-                    break
-            if found:
-                return found
-        return []
-
-    found = tried(free) if free else [[]]
-    while not found and len(free) > 1:
+    at = tuple(n.spot for n in held)
+    options = _options(tuple(n.pitch for n in free), at, guitar)
+    while not options and len(free) > 1:
         middle = sorted(free, key=lambda n: n.pitch)[len(free) // 2]
         free = [n for n in free if n is not middle]
         middle.spot = None
         warn("1 note dropped", notes[0].start, " (no playable fingering)")
-        found = tried(free)
-    if not found:
+        options = _options(tuple(n.pitch for n in free), at, guitar)
+    if not options:
         for n in free:
             n.spot = None
-        free, found = [], [[]]
-    layer = _Layer(free, held)
+        free, options = [], _options((), at, guitar)
+    return _Layer(free, held, list(options))
+
+
+@lru_cache(maxsize=1 << 15)
+def _options(pitches: tuple[int, ...], at: tuple[Spot, ...], guitar: Guitar) -> tuple:
+    """The ``BEAM`` cheapest ways to sound ``pitches`` beside ``at``: ``(spots, cost, lowest pressed fret, strings)``.
+
+    Onsets repeat, within a score and from score to score, so a worker keeps
+    what it has found.
+    """
+    found: list = [[]]
+    if pitches:
+        choices = [guitar.spots(p) for p in pitches]
+        found = next((f for span in SPANS if (f := list(itertools.islice(fingerings(choices, list(at), guitar, span), ENOUGH)))), [])
     costed = [(f, *cost([*at, *f], guitar)) if at or f else (f, 0.0, None) for f in found]
-    layer.options = [(f, c, low, [s for s, _ in [*at, *f]]) for f, c, low in sorted(costed, key=lambda x: x[1])[:BEAM]]
-    return layer
+    return tuple((f, c, low, [s for s, _ in [*at, *f]]) for f, c, low in sorted(costed, key=lambda x: x[1])[:BEAM])
 
 
 def _lead(layer: _Layer) -> Item | None:
@@ -197,9 +199,12 @@ def assign(notes: list[Item], guitar: Guitar, measure_of) -> list[str]:
         warnings.append(f"{what} at measure {measure_of(tick)}{why}")
 
     ordered = sorted(notes, key=lambda n: (n.start, n.pitch))
+    by_pitch: dict[int, list[Item]] = {}
+    for n in ordered:
+        by_pitch.setdefault(n.pitch, []).append(n)
     for n in ordered:
         if n.tied:
-            n.source = _tie_source(n, ordered)
+            n.source = _tie_source(n, by_pitch[n.pitch])
     for n in ordered:
         if (n.locked and n.spot) or n.source or guitar.spots(n.pitch):
             continue
