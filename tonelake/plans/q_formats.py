@@ -72,14 +72,14 @@ def k04(spark, sf):
     return _back(spark, sf, sk.as_project, lambda b: project.read_project(b.decode())[0])
 
 
-@query("k01_midi_round_trip", d.with_sql("SELECT score_id, track_ord, start_tick, CAST(count(*) AS BIGINT) AS onsets FROM (" + _TRACKS + ") t GROUP BY 1, 2, 3", "notes"))
+@query("k01_midi_round_trip", d.with_sql("SELECT score_id, track_ord, start_tick, pitch, CAST(count(*) AS BIGINT) AS onsets FROM (" + _TRACKS + ") t GROUP BY 1, 2, 3, 4", "notes"))
 def k01(spark, sf):
-    return _back(spark, sf, sk.as_midi, midi.read_midi).groupBy("score_id", "track_ord", "start_tick").agg(F.count("*").alias("onsets"))
+    return _back(spark, sf, sk.as_midi, midi.read_midi).groupBy("score_id", "track_ord", "start_tick", "pitch").agg(F.count("*").alias("onsets"))
 
 
-@query("k02_musicxml_round_trip", d.with_sql("SELECT score_id, track_ord, pitch, CAST(sum(duration) AS BIGINT) AS ticks FROM (" + _TRACKS + ") t GROUP BY 1, 2, 3", "notes"))
+@query("k02_musicxml_round_trip", d.with_sql("SELECT score_id, track_ord, pitch, CAST(sum(duration) AS BIGINT) AS ticks, min(start_tick) AS first_tick, max(start_tick + duration) AS last_tick FROM (" + _TRACKS + ") t GROUP BY 1, 2, 3", "notes"))
 def k02(spark, sf):
-    return _back(spark, sf, sk.as_musicxml, musicxml.read_musicxml).groupBy("score_id", "track_ord", "pitch").agg(F.sum("duration").alias("ticks"))
+    return _back(spark, sf, sk.as_musicxml, musicxml.read_musicxml).groupBy("score_id", "track_ord", "pitch").agg(F.sum("duration").alias("ticks"), F.min("start_tick").alias("first_tick"), F.max(F.col("start_tick") + F.col("duration")).alias("last_tick"))
 
 
 @query("k03_ascii_tab")

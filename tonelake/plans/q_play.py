@@ -27,7 +27,9 @@ def _tied(spark, sf):
     return d.notes(spark, sf).withColumn("tied_from_previous", F.col("note_ord") % 4 == 3)
 
 
-@query("j09_tie_merge")
+@query("j09_tie_merge", d.with_sql(""", f AS (SELECT *, CASE WHEN note_ord % 4 = 3 AND max(start_tick + duration) OVER (PARTITION BY score_id, pitch ORDER BY start_tick, note_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start_tick - 2 THEN 0 ELSE 1 END AS fresh FROM notes),
+ c AS (SELECT *, sum(fresh) OVER (PARTITION BY score_id, pitch ORDER BY start_tick, note_ord) AS chain FROM f)
+ SELECT score_id, pitch, min(start_tick) AS start_tick, max(start_tick + duration) AS end_tick, arg_min(velocity, note_ord) AS velocity FROM c GROUP BY score_id, pitch, chain""", "notes"))
 def j09(spark, sf):
     return pb.sounding(_tied(spark, sf)).select("score_id", "pitch", "start_tick", "end_tick", "velocity")
 
@@ -174,7 +176,12 @@ def c07(spark, sf):
     return audio.transcribe_all(spark.createDataFrame(rows, "score_id long, wav binary")).select("score_id", "note_ord", "pitch")
 
 
-@query("f30_quantize_without_overlap")
+# A start is the largest of the starts so far, each moved on by a sixteenth a note: a running maximum.
+@query("f30_quantize_without_overlap", d.with_sql(""", q AS (SELECT score_id, note_ord, CAST(floor(start_tick / 900.0::DOUBLE * 110 * 480 / 60 / 120 + 0.5) AS BIGINT) * 120 AS spot,
+  greatest(120, CAST(floor(((start_tick + duration) / 900.0::DOUBLE - start_tick / 900.0::DOUBLE) * 110 * 480 / 60 / 120 + 0.5) AS BIGINT) * 120) AS size FROM notes),
+ m AS (SELECT *, max(spot - note_ord * 120) OVER (PARTITION BY score_id ORDER BY note_ord) + note_ord * 120 AS start_tick FROM q),
+ n AS (SELECT *, lead(start_tick) OVER (PARTITION BY score_id ORDER BY note_ord) AS nxt FROM m)
+ SELECT score_id, CAST(note_ord AS INTEGER) AS note_ord, CAST(start_tick AS BIGINT) AS start_tick, CAST(CASE WHEN nxt < start_tick + size THEN greatest(120, nxt - start_tick) ELSE size END AS BIGINT) AS duration FROM n""", "notes"))
 def f30(spark, sf):
     seq = F.sort_array(F.collect_list(F.struct("note_ord", "start_tick", "duration", "pitch")))
     rows = d.notes(spark, sf).groupBy("score_id").agg(seq.alias("n"))

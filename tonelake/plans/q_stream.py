@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import sync
 from .registry import query
 
@@ -34,10 +33,9 @@ def st05_stream(spark, sf):
         F.col("user_id").cast("long").alias("session"), i.cast("long").alias("n"), (i * 0.25).alias("now"), kind.alias("kind"), (i % 100 * 0.7).alias("video"),
         F.when(i % 3 == 0, "playing").otherwise("paused").alias("state"), (i % 90 * 0.7).alias("sec"), (i % 5 < 3).alias("playing"),
     )
-    name = f"sync_{uuid.uuid4().hex}"
-    q = sync.follow(log).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out, at = sync.follow(log), shared_folder(spark)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start(f"{at}/actions").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/actions")
 
 
 @query("st07_transport_clamps", "SELECT event_id, greatest(0, least(CAST(event_id * 37 % 9000 AS BIGINT), 7680)) AS position, CASE WHEN event_id % 3 = 0 AND event_id * 37 % 9000 >= 3840 THEN CAST(1920 AS BIGINT) ELSE greatest(0, least(CAST(event_id * 37 % 9000 AS BIGINT), 7680)) END AS looped FROM events")

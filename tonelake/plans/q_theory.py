@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import notation as nt
 from ..functions import theory as th
+from ..functions.chord_names import TEMPLATES
 from . import derived as d
 from .registry import query
 
@@ -120,9 +121,15 @@ def f37(spark, sf):
     return rows.withColumn("shown", nt.key_pitch(F.col("key")).cast("long"))
 
 
-@query("f12_chord_names")
+_NAMED = ", ".join(f"('{q}', {list(t)})" for q, t in TEMPLATES.items())
+
+
+@query("f12_chord_names", f"""WITH t AS (SELECT * FROM (VALUES {_NAMED}) v(quality, tones)), n AS (SELECT unnest(range(0, 12)) AS root), b AS (SELECT unnest([0, 4, 7]) AS bass),
+ s AS (SELECT ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'] AS sharps, ['C', 'Db', 'D', 'Eb', 'E', 'F', 'Gb', 'G', 'Ab', 'A', 'Bb', 'B'] AS flats),
+ r AS (SELECT root, quality, bass, tones, CASE WHEN bass % 2 = 1 THEN flats ELSE sharps END AS names FROM t, n, b, s)
+ SELECT CAST(root AS INTEGER) AS root, quality, CAST(bass AS INTEGER) AS bass, names[root + 1] || quality || CASE WHEN bass <> root AND quality <> '5' AND list_contains(tones, (bass - root + 12) % 12) THEN '/' || names[bass + 1] ELSE '' END AS name FROM r""")
 def f12(spark, sf):
-    from ..functions.chord_names import TEMPLATES, chord_name
+    from ..functions.chord_names import chord_name
 
     return spark.createDataFrame([(r, q, b, chord_name(r, q, b, b % 2 == 1)) for r in range(12) for q in TEMPLATES for b in (0, 4, 7)], "root int, quality string, bass int, name string")
 
@@ -135,7 +142,10 @@ def f11(spark, sf):
     return over_distinct(rows, "name", lambda n: None if (s := simplify(n)) is None else (s,), "plain string").select("name", "name_x.plain")
 
 
-@query("f10_chord_intervals")
+# Semitones over the root, and those a voicing cannot leave out, as written down from chord theory.
+@query("f10_chord_intervals", """SELECT * FROM (VALUES ('', '0,4,7', '0,4,7'), ('m', '0,3,7', '0,3,7'), ('7', '0,4,7,10', '0,4,10'), ('maj9', '0,2,4,7,11', '0,2,4,11'), ('m7b5', '0,3,6,10', '0,3,6,10'),
+ ('13', '0,2,4,7,9,10', '0,4,9,10'), ('9sus4', '0,2,5,7,10', '0,2,5,10'), ('7alt', '0,3,4,8,10', '0,3,4,8,10'), ('7#9', '0,3,4,7,10', '0,3,4,10'), ('m6', '0,3,7,9', '0,3,9'),
+ ('5', '0,7', '0,7'), ('add9', '0,2,4,7', '0,2,4'), ('xyz', NULL, NULL)) v(quality, tones, required)""")
 def f10(spark, sf):
     from ..functions.chord_names import Quality, over_distinct
 

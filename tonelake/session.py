@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +23,16 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local session that names none, as in tests, gets a temporary one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='tonelake-')}"
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
