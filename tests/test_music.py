@@ -290,3 +290,20 @@ def test_transcription():
     assert [n["pitch"] for n in got] == [57, 61, 64, 69]
     assert audio.transcribe(np.zeros(rate), rate) == ([], 120.0) and audio.transcribe(np.zeros(10), rate)[0] == []
     assert audio.upper_median([1, 2, 3, 4]) == 3 and audio.estimate_bpm([i * 0.5 for i in range(20)]) == 120
+
+
+def test_a_score_that_cannot_be_fingered_stays_as_it_is(spark):
+    from tonelake.operators import tab
+
+    notes = spark.createDataFrame([(1, 0, 0, 60, 0, 480, 1, 3)], "score_id long, track_ord int, note_ord int, pitch int, start_tick long, duration long, string int, fret int")
+    bars_of = spark.createDataFrame([(1, 1920)], "score_id long, end_tick long")
+    r = tab.assign_tab(notes, bars_of, tab.Guitar(tuning=())).first()
+    assert (r["pitch"], r["string"], r["fret"]) == (60, 1, 3) and r["warnings"][0].startswith("Fingering failed")
+
+
+def test_clicks_on_a_page(spark):
+    from tonelake.operators import layout
+
+    boxes = spark.createDataFrame([(1, 0, 0, 0, 0.1, 0.1, 0.1, 0.1), (1, 0, 1, 480, 0.15, 0.1, 0.1, 0.1), (1, 0, 2, 960, 0.8, 0.12, 0.1, 0.1), (1, 0, 3, 1440, 0.1, 0.6, 0.1, 0.1)], "score_id long, page int, ord int, start long, x double, y double, w double, h double")
+    clicks = spark.createDataFrame([(1, 0, 0, 0.16, 0.15), (1, 1, 0, 0.9, 0.3), (1, 2, 0, 0.9, 0.9), (1, 3, 7, 0.1, 0.1)], "score_id long, click int, page int, fx double, fy double")
+    assert {r["click"]: r["tick"] for r in layout.tick_at_point(boxes, clicks).collect()} == {0: 0, 1: 960, 2: 1440}

@@ -83,3 +83,22 @@ def active_at(entries: DataFrame, points: DataFrame) -> DataFrame:
     spans = entries.select("score_id", F.col("start").alias("start_tick"), (F.col("end") - F.col("start")).alias("duration"), F.struct(*[c for c in entries.columns if c != "score_id"]).alias("entry"))
     at = points.select("score_id", "tick", F.col("tick").cast("double").alias("w_start"), (F.col("tick") + 0.000001).alias("w_end"))
     return overlaps(spans, at).select("score_id", "tick", "entry.*")
+
+
+def tick_at_point(boxes: DataFrame, clicks: DataFrame) -> DataFrame:
+    """``(score_id, click, tick)`` of clicks ``(score_id, click, page, fx, fy)`` on a source page.
+
+    ``boxes`` has ``(score_id, page, ord, start, x, y, w, h)`` of notes.  A
+    click in a box is that note, the earliest of several; any other is the
+    note nearest by x among those of the row nearest by y.  A click on a page
+    without boxes gives no row.
+    """
+    rows = clicks.join(boxes, ["score_id", "page"])
+    mid, dy = F.col("y") + F.col("h") / 2, F.abs(F.col("y") + F.col("h") / 2 - F.col("fy"))
+    own = Window.partitionBy("score_id", "click")
+    rows = rows.withColumn("row", F.min(F.struct(dy.alias("dy"), "start", "ord", mid.alias("mid"), "h")).over(own))
+    inside = F.col("fx").between(F.col("x"), F.col("x") + F.col("w")) & F.col("fy").between(F.col("y"), F.col("y") + F.col("h"))
+    beside = F.abs(mid - F.col("row.mid")) <= F.greatest(F.col("row.h"), F.lit(0.02)) * 1.5
+    hit = F.min(F.when(inside, F.struct("start", "ord")))["start"]
+    near = F.min(F.when(beside, F.struct(F.abs(F.col("x") + F.col("w") / 2 - F.col("fx")).alias("dx"), "start", "ord")))["start"]
+    return rows.groupBy("score_id", "click").agg(F.coalesce(hit, near).alias("tick"))

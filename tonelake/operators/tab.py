@@ -244,7 +244,8 @@ def assign_tab(notes: DataFrame, bars: DataFrame, guitar: Guitar = Guitar()) ->
     Optional columns ``string``, ``fret``, ``tab_locked`` and
     ``tied_from_previous`` hold earlier fingerings and ties.  Notes out of
     range move by octaves, locked ones never move, and tied ones take the spot
-    of the note they go on from.  ``warnings`` stands on a score's first row.
+    of the note they go on from.  ``warnings`` stands on a score's first row;
+    a score that cannot be fingered is returned as it came, with a warning.
     """
     have = set(notes.columns)
     rows = notes.select(
@@ -264,7 +265,13 @@ def assign_tab(notes: DataFrame, bars: DataFrame, guitar: Guitar = Guitar()) ->
         for r in p.itertuples():
             spot = None if pd.isna(r.string) or pd.isna(r.fret) else (int(r.string), int(r.fret))
             items.append(Item(r.Index, int(r.pitch), int(r.start_tick), int(r.duration), int(r.voice), spot, bool(r.tab_locked), bool(r.tied_from_previous)))
-        warnings = assign(items, guitar, measure_of)
+        before = [(n.pitch, n.spot) for n in items]
+        try:
+            warnings = assign(items, guitar, measure_of)
+        except Exception as e:  # a score that cannot be fingered keeps what it has; the job goes on
+            for n, (pitch, spot) in zip(items, before):
+                n.pitch, n.spot, n.transposed = pitch, spot, False
+            warnings = [f"Fingering failed: {e or type(e).__name__}"]
         out = p[["score_id", "track_ord", "note_ord"]].copy()
         out["pitch"] = [n.pitch for n in items]
         out["string"] = pd.array([n.spot[0] if n.spot else None for n in items], "Int64")

@@ -197,3 +197,24 @@ def f30(spark, sf):
             yield pd.DataFrame(out, columns=["score_id", "note_ord", "start_tick", "duration"])
 
     return rows.mapInPandas(run, "score_id long, note_ord int, start_tick long, duration long")
+
+
+_BOXES = """, bx AS (SELECT score_id, note_ord // 128 AS page, note_ord AS ord, start_tick AS start, note_ord % 16 / 16.0::DOUBLE AS x, note_ord // 16 % 8 / 8.0::DOUBLE AS y, 0.03125::DOUBLE AS w, 0.03125::DOUBLE AS h FROM notes),
+ ck AS (SELECT score_id, i AS click, i % 2 AS page, i * 37 % 64 / 64.0::DOUBLE AS fx, i * 23 % 64 / 64.0::DOUBLE AS fy FROM len, (SELECT unnest(range(0, 12)) i) z),
+ pr AS (SELECT ck.score_id, click, start, ord, x, y, w, h, fx, fy, abs(y + h / 2 - fy) AS dy, abs(x + w / 2 - fx) AS dx FROM ck JOIN bx USING (score_id, page)),
+ rw AS (SELECT *, first_value(y + h / 2) OVER o AS mid, first_value(h) OVER o AS rh FROM pr WINDOW o AS (PARTITION BY score_id, click ORDER BY dy, start, ord)),
+ hit AS (SELECT score_id, click, min(start) AS tick FROM rw WHERE fx BETWEEN x AND x + w AND fy BETWEEN y AND y + h GROUP BY 1, 2),
+ nr AS (SELECT score_id, click, start AS tick FROM rw WHERE abs(y + h / 2 - mid) <= greatest(rh, 0.02) * 1.5 QUALIFY row_number() OVER (PARTITION BY score_id, click ORDER BY dx, start, ord) = 1)"""
+
+
+@query("c08_tick_at_click", d.with_sql(_BOXES + " SELECT nr.score_id, nr.click, coalesce(hit.tick, nr.tick) AS tick FROM nr LEFT JOIN hit USING (score_id, click)", "notes", "len"))
+def c08_clicks(spark, sf):
+    """Notes laid out sixteen to a row and eight rows to a page, and twelve clicks a score."""
+    n = F.col("note_ord")
+    boxes = d.notes(spark, sf).select(
+        "score_id", F.expr("note_ord div 128").alias("page"), n.alias("ord"), F.col("start_tick").alias("start"), (n % 16 / 16.0).alias("x"), (F.expr("note_ord div 16") % 8 / 8.0).alias("y"), F.lit(0.03125).alias("w"), F.lit(0.03125).alias("h"),
+    )
+    i = F.col("click")
+    clicks = boxes.select("score_id").distinct().select("score_id", F.explode(F.sequence(F.lit(0), F.lit(11)).cast("array<bigint>")).alias("click"))
+    clicks = clicks.select("score_id", "click", (i % 2).alias("page"), (i * 37 % 64 / 64.0).alias("fx"), (i * 23 % 64 / 64.0).alias("fy"))
+    return layout.tick_at_point(boxes, clicks)
