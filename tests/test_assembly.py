@@ -95,3 +95,18 @@ def test_bars_as_rows(spark):
     got = sorted(tuple(r) for r in a.fit_bars(spark.createDataFrame(rows, schema)).collect())
     assert got == [(1, 0, 0, i, 480 * i, 480, "fits") for i in range(4)] + [(1, 0, 1, 0, 0, 1440, "rests")]
     assert a.fit_bars(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_query_of_bars(spark):
+    from tonelake.plans import derived as d
+    from tonelake.plans import registry
+
+    want, bars = [], {}
+    for n in d.notes(spark, "/root/testdata/sf0.001").orderBy("score_id", "note_ord").collect():
+        bars.setdefault((n["score_id"], n["note_ord"] // 4), []).append(n)
+    for (sid, measure), ns in bars.items():
+        rest, triplet = [n["voice"] == 2 and n["note_ord"] % 3 == 0 for n in ns], [n["note_ord"] % 16 < 3 for n in ns]
+        how, placed = a.fit_bar([n["duration"] for n in ns], [n["velocity"] / 128 for n in ns], rest, triplet, 1920, short_ok=measure == 0)
+        want += [(sid, 0, measure, n["note_ord"], *p, how) for n, p in zip(ns, placed)]
+    got = [tuple(r) for r in registry.queries()["c17_fit_bars"](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(want) and len({g[-1] for g in got}) >= 4

@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import omr
+from ..operators import assembly, omr
+from . import derived as d
 from .registry import query
 
 
@@ -53,3 +54,44 @@ def c10(spark, sf):
             yield pd.DataFrame(rows, columns=["score_id", "line", "y"])
 
     return _pages(spark).mapInPandas(run, "score_id long, line int, y long").select("score_id", F.col("line"), "y")
+
+
+_HEADS = """heads AS (SELECT score_id, CAST(track_ord AS INTEGER) part, start_tick // 960 AS measure, CAST(start_tick AS DOUBLE) x, CAST(note_ord AS INTEGER) head_ord,
+ CAST(28 + pitch % 5 AS INTEGER) degree, CASE WHEN note_ord % 7 = 0 THEN CAST(pitch % 3 - 1 AS INTEGER) END accidental, velocity % 3 > 0 AS tied, CAST(score_id % 15 - 7 AS INTEGER) fifths FROM notes)"""
+
+
+def with_tables(tables: str) -> str:
+    return d.with_sql("", "notes").rstrip() + ",\n" + tables
+
+
+def _heads(spark, sf):
+    return d.notes(spark, sf).selectExpr(
+        "score_id", "CAST(track_ord AS INT) AS part", "start_tick DIV 960 AS measure", "CAST(start_tick AS DOUBLE) AS x", "CAST(note_ord AS INT) AS head_ord",
+        "CAST(28 + pitch % 5 AS INT) AS degree", "CASE WHEN note_ord % 7 = 0 THEN CAST(pitch % 3 - 1 AS INT) END AS accidental", "velocity % 3 > 0 AS tied", "CAST(score_id % 15 - 7 AS INT) AS fifths",
+    )
+
+
+# The oracle walks every line of a part head by head and remembers what was set in the measure and what the one before ended with.
+@query("c16_pitches_of_heads", with_tables(_HEADS + """, keyed AS (SELECT *, row_number() OVER (PARTITION BY score_id, part, degree ORDER BY measure, x, head_ord) AS r, degree % 7 AS letter,
+  CASE WHEN list_position([3, 0, 4, 1, 5, 2, 6], degree % 7) <= fifths THEN 1 WHEN list_position([6, 2, 5, 1, 4, 0, 3], degree % 7) <= -fifths THEN -1 ELSE 0 END AS signed FROM heads),
+walk AS (
+ SELECT k.score_id, k.part, k.degree, k.r, k.measure, k.head_ord, k.letter, accidental AS held, CAST(NULL AS INTEGER) AS carried, coalesce(accidental, signed) AS alter FROM keyed k WHERE r = 1
+ UNION ALL
+ SELECT n.score_id, n.part, n.degree, n.r, n.measure, n.head_ord, n.letter, n.held, n.carried, coalesce(n.held, n.signed) FROM (
+  SELECT k.*, CASE WHEN k.measure = w.measure THEN w.carried WHEN k.measure = w.measure + 1 THEN w.alter END AS carried,
+   coalesce(k.accidental, CASE WHEN k.measure = w.measure THEN w.held END, CASE WHEN k.tied THEN CASE WHEN k.measure = w.measure THEN w.carried WHEN k.measure = w.measure + 1 THEN w.alter END END) AS held
+  FROM walk w JOIN keyed k ON k.score_id = w.score_id AND k.part = w.part AND k.degree = w.degree AND k.r = w.r + 1) n)
+SELECT score_id, part, head_ord, CAST(alter AS INTEGER) AS alter, CAST((degree // 7 + 1) * 12 + [0, 2, 4, 5, 7, 9, 11][letter + 1] + alter AS INTEGER) AS pitch FROM walk"""))
+def c16_heads(spark, sf):
+    """Sounding pitches of printed heads: key, accidentals until the barline, ties over barlines."""
+    return assembly.resolve_pitches(_heads(spark, sf)).select("score_id", "part", "head_ord", "alter", "pitch")
+
+
+@query("c17_fit_bars")
+def c17(spark, sf):
+    """Bars of four events made to fill a measure of 4/4."""
+    events = d.notes(spark, sf).selectExpr(
+        "score_id", "0 AS part", "note_ord DIV 4 AS measure", "CAST(note_ord AS INT) AS event_ord", "CAST(duration AS INT) AS ticks", "velocity / 128D AS confidence",
+        "voice = 2 AND note_ord % 3 = 0 AS rest", "false AS whole_rest", "note_ord % 16 < 3 AS triplet", "1920 AS bar", "note_ord < 4 AS short_ok",
+    )
+    return assembly.fit_bars(events)
