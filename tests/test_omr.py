@@ -83,3 +83,21 @@ def test_recognise(spark):
     rows = [(7, 0, p.a.shape[1], p.a.shape[0], bytearray(p.a.tobytes()))]
     got = omr.recognise(spark.createDataFrame(rows, "score_id long, page int, width int, height int, rgba binary")).collect()
     assert [(r["score_id"], r["pitch"], r["duration"]) for r in got] == [(7, 71, 480)]
+
+
+def test_onsets():
+    head = lambda x, y, stem=None: {"x": x, "y": y, "stem": stem}
+    shown = lambda found, d=10: [[(h["x"], h["y"]) for h in g] for g in omr.onsets(found, d)]
+    assert shown([head(60, 100), head(75, 95), head(90, 90)]) == [[(60, 100)], [(75, 95)], [(90, 90)]]
+    assert shown([head(60, 100), head(64, 120), head(61, 101)]) == [[(60, 100), (64, 120)]]
+    assert shown([head(60, 100), head(71, 95)]) == [[(71, 95), (60, 100)]]  # a displaced second
+    assert shown([head(60, 100, (66, 70)), head(80, 130, (66, 70)), head(110, 90)]) == [[(60, 100), (80, 130)], [(110, 90)]]
+    assert shown([]) == []
+
+
+def test_a_bar_that_is_too_long_is_filled():
+    p = Page().staff()
+    for x in (80, 125, 170, 215):
+        p.note(x, 0, hollow=x == 125)
+    got = [(n["start"], n["duration"]) for n in omr.read_page(p.a) if n["measure"] == 0]
+    assert got == [(0, 480), (480, 480), (960, 480), (1440, 480)]

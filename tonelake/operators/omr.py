@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .assembly import fit_bar
+
 # Fixed values.
 LETTERS = (0, 2, 4, 5, 7, 9, 11)
 TREBLE, BASS = 4 * 7 + 6, 3 * 7 + 1  # diatonic numbers of the middle lines
@@ -272,8 +274,38 @@ def pitch_of(step: int, middle: int, fifths: int = 0) -> int:
     return (n // 7 + 1) * 12 + LETTERS[n % 7] + alter
 
 
+def onsets(found: list[dict], d: float) -> list[list[dict]]:
+    """Heads in groups that sound together, from left to right, one head a staff position.
+
+    Two heads belong together if they share a stem, stand over each other
+    (0.6 spaces apart) or would touch (1.3 by 1.05 spaces); groups that are
+    linked so by a third head are one.  Of heads at one position (0.4 spaces)
+    the topmost stays.
+    """
+    def meet(p: dict, q: dict) -> bool:
+        dx, dy = abs(p["x"] - q["x"]), abs(p["y"] - q["y"])
+        return dx <= 2.2 * d and (dx <= 0.6 * d or (dx <= 1.3 * d and dy <= 1.05 * d) or (p["stem"] is not None and p["stem"] == q["stem"]))
+
+    groups: list[list[dict]] = []
+    for h in found:
+        mine = [g for g in groups if any(meet(h, other) for other in g)]
+        groups = [g for g in groups if not any(g is m for m in mine)] + [[h, *(x for g in mine for x in g)]]
+    out = []
+    for g in groups:
+        kept: list[dict] = []
+        for h in sorted(g, key=lambda h: (h["y"], h["x"])):
+            if all(abs(h["y"] - k["y"]) >= 0.4 * d for k in kept):
+                kept.append(h)
+        out.append(kept)
+    return sorted(out, key=lambda g: sum(h["x"] for h in g) / len(g))
+
+
 def read_page(rgba: np.ndarray, clef: str = "treble", fifths: int = 0, numerator: int = 4, denominator: int = 4, ppq: int = 480, octave_down: bool = False) -> list[dict]:
-    """Notes of a page in order: measures follow each other staff by staff."""
+    """Notes of a page in order: measures follow each other staff by staff.
+
+    A bar whose lengths are too long is repaired or moved to lengths that fill
+    it (:func:`~tonelake.operators.assembly.fit_bar`); a short one stays.
+    """
     ink = binary(grey(rgba))
     ink = rotated(ink, skew(ink))
     middle = (TREBLE if clef == "treble" else BASS) - (7 if octave_down else 0)
@@ -285,6 +317,7 @@ def read_page(rgba: np.ndarray, clef: str = "treble", fifths: int = 0, numerator
         seen = heads(clean, staff, ink)
         for h in seen:
             s = stem(clean, h, staff.space)
+            h["stem"] = None if s is None else (round(s[0]), s[1])
             h["step"] = int(np.floor((staff.middle - h["y"]) / (staff.space / 2) + 0.5))
             base = ppq * 4 if h["hollow"] else ppq
             if s is not None:
@@ -292,16 +325,13 @@ def read_page(rgba: np.ndarray, clef: str = "treble", fifths: int = 0, numerator
             h["ticks"] = base
         edges = [staff.left - 1.0, *[x for x in inner if x > staff.left + staff.space], float(staff.right)]
         for a, b in zip(edges, edges[1:]):
-            at, columns = 0, []
-            for h in [h for h in seen if a < h["x"] <= b]:
-                if columns and h["x"] - columns[-1][0]["x"] <= 0.8 * staff.space:
-                    columns[-1].append(h)
-                else:
-                    columns.append([h])
-            for group in columns:
+            columns = onsets([h for h in seen if a < h["x"] <= b], staff.space)
+            sizes = [min(h["ticks"] for h in group) for group in columns]
+            none = [False] * len(columns)
+            _, placed = fit_bar(sizes, [1.0] * len(columns), none, none, bar, ppq)
+            for group, size, (start, length) in zip(columns, sizes, placed):
                 for h in group:
-                    out.append({"measure": number, "pitch": pitch_of(h["step"], middle, fifths), "start": number * bar + min(at, bar - 1), "duration": h["ticks"], "x": h["x"], "y": h["y"]})
-                at += min(h["ticks"] for h in group)
+                    out.append({"measure": number, "pitch": pitch_of(h["step"], middle, fifths), "start": number * bar + start, "duration": h["ticks"] * length // size, "x": h["x"], "y": h["y"]})
             number += 1
     return out
 
