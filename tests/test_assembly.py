@@ -110,3 +110,64 @@ def test_query_of_bars(spark):
         want += [(sid, 0, measure, n["note_ord"], *p, how) for n, p in zip(ns, placed)]
     got = [tuple(r) for r in registry.queries()["c17_fit_bars"](spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted(want) and len({g[-1] for g in got}) >= 4
+
+
+BARS = "score_id long, system int, part int, bar int, ticks long, slashes int"
+SYSTEMS = "score_id long, system int, printed boolean, nominal long, unsigned boolean"
+LOW = {960: (2, 4), 1440: (3, 4), 1920: (4, 4), 720: (3, 8), 2160: (9, 8), 2880: (12, 8)}
+
+
+def looped_meters(bars, systems):
+    out = []
+    scores = sorted({s[0] for s in systems})
+    for sid in scores:
+        own = sorted(s for s in systems if s[0] == sid)
+        for _, first, _, nominal, unsigned in own:
+            sizes, marks = [], []
+            for _, k, printed, _, _ in own:
+                if k < first or k > first + 3:
+                    continue
+                if max(len(sizes), len(marks)) >= 3 or (k > first and printed):
+                    break
+                rows = sorted(b for b in bars if b[0] == sid and b[1] == k)
+                for _, _, part, bar, ticks, slashes in rows:
+                    final = k == own[-1][1] and bar == max(b[3] for b in rows if b[2] == part)
+                    if ticks is None and slashes is not None and 2 <= slashes <= 7:
+                        marks.append(480 * slashes)
+                    elif ticks is not None and not final and not (k == own[0][1] and bar == 0):
+                        sizes.append(ticks)
+            if len(sizes) < 3 <= len(marks):
+                sizes = marks
+            if not sizes:
+                continue
+            best = max(sizes, key=sizes.count)
+            n, total = sizes.count(best), len(sizes)
+            rival = max([sizes.count(x) for x in sizes if x != best], default=0)
+            if best == nominal:
+                continue
+            if total >= 3 and n >= 3 and n >= 0.6 * total:
+                if best % 480 == 0 and 2 <= best // 480 <= 7:
+                    out.append((sid, first, best // 480, 4, n, total, False))
+                elif best % 240 == 0 and 5 <= best // 240 <= 13:
+                    out.append((sid, first, best // 240, 8, n, total, False))
+            elif unsigned and best in LOW:
+                if (total == 2 and n == 2) if total < 3 else (total <= 4 and n >= 2 and n >= 0.6 * total) or (n >= 4 and n >= 2 * rival and n >= 0.4 * total):
+                    out.append((sid, first, *LOW[best], n, total, True))
+    return sorted(out)
+
+
+def test_meters_that_bars_add_up_to(spark):
+    rng = random.Random(3)
+    bars, systems = [], []
+    for sid in range(60):
+        usual = rng.choice([1440, 1680, 1920, 960, 2160, 3600, 700, 720])
+        for k in range(rng.randint(1, 5)):
+            systems.append((sid, k, rng.choice([True, False, False, None]), rng.choice([1920, 1440]), rng.choice([True, False, None])))
+            for part in range(rng.randint(0, 2)):
+                for bar in range(rng.randint(1, 4)):
+                    slash = rng.random() < 0.25
+                    bars.append((sid, k, part, bar, None if slash else usual if rng.random() < 0.75 else rng.choice([1920, 480]), rng.randint(1, 4) if slash else None))
+    got = a.infer_meters(spark.createDataFrame(bars, BARS), spark.createDataFrame(systems, SYSTEMS))
+    want = looped_meters(bars, systems)
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 10 and {w[-1] for w in want} == {True, False}
+    assert a.infer_meters(spark.createDataFrame([], BARS), spark.createDataFrame([], SYSTEMS)).count() == 0

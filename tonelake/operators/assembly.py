@@ -192,3 +192,62 @@ def fit_bars(events: DataFrame, ppq: int = 480) -> DataFrame:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FITTED.split(", ")])
 
     return bars.mapInPandas(run, FITTED)
+
+
+# Meters a short piece may be given, by quarters a bar.
+SIMPLE = ((2.0, 2, 4), (3.0, 3, 4), (4.0, 4, 4), (1.5, 3, 8), (4.5, 9, 8), (6.0, 12, 8))
+
+
+def infer_meters(bars: DataFrame, systems: DataFrame, ppq: int = 480) -> DataFrame:
+    """Meters that the bars of a system and those after it add up to, where they differ from the one in force.
+
+    ``bars``: score_id, system, part, bar (from 0 in the system), ticks (null
+    without notes), slashes (in a bar of slashes alone).  ``systems``: score_id,
+    system (gapless), printed (shows a signature), nominal (ticks of the meter
+    in force), unsigned (no signature to trust, so less proof will do).
+
+    A system asks its own bars and, while fewer than three are at hand, up to
+    three more systems without a printed signature.  The first bar of a score
+    and the last of every part may be short and do not count.  Bars of slashes
+    count a quarter a slash, where notes tell too little.  Returns score_id,
+    system, numerator, denominator, bars (that agree), total, low_confidence.
+    """
+    key = ["score_id", "system"]
+    last = systems.groupBy("score_id").agg(F.max("system").alias("_last"), F.min("system").alias("_first"))
+    part = Window.partitionBy(*key, "part")
+    ends = (F.col("system") == F.col("_last")) & (F.col("bar") == F.max("bar").over(part))
+    slashes = F.col("ticks").isNull() & F.col("slashes").between(2, 7)
+    counted = (
+        bars.join(last, "score_id")
+        .withColumn("_ends", ends)
+        .withColumn("kind", F.when(slashes, 1).when(F.col("ticks").isNotNull() & ~F.col("_ends") & ~((F.col("system") == F.col("_first")) & (F.col("bar") == 0)), 0))
+        .where("kind is not null")
+        .select(*key, "kind", F.when(F.col("kind") == 1, F.col("slashes") * ppq).otherwise(F.col("ticks")).cast("long").alias("size"), F.struct("system", "part", "bar").alias("at"))
+    )
+    # Sizes are counted a system first, so a pool adds up a few rows and not its bars.
+    sizes = counted.groupBy(*key, "kind", "size").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    held = sizes.groupBy(*key).agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("notes"), F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("marks"))
+    member = systems.select(*key, F.coalesce("printed", F.lit(False)).alias("printed")).join(held, key, "left").fillna(0, ["notes", "marks"])
+    member = member.withColumn("pool", F.explode(F.sequence(F.col("system") - 3, F.col("system"))))
+    pool = Window.partitionBy("score_id", "pool").orderBy("system")
+    before = lambda c: F.coalesce(F.sum(c).over(pool.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stopped = F.max(F.col("printed") & (F.col("system") > F.col("pool"))).over(pool.rowsBetween(Window.unboundedPreceding, 0))
+    member = member.withColumn("_had", F.greatest(before("notes"), before("marks"))).withColumn("_stopped", stopped).where("_had < 3 and not _stopped").select(*key, "pool")
+
+    seen = sizes.join(member, key).groupBy("score_id", "pool", "kind", "size").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+    one = Window.partitionBy("score_id", "pool")
+    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).over(one)
+    seen = seen.withColumn("_use", F.when((of(0) < 3) & (of(1) >= 3), 1).otherwise(0)).where("kind = _use")
+    rank = one.orderBy(F.desc("n"), "at")
+    best = seen.withColumn("total", F.sum("n").over(one)).withColumn("_rival", F.coalesce(F.lead("n").over(rank), F.lit(0))).withColumn("_rank", F.row_number().over(rank)).where("_rank = 1")
+    best = best.withColumnRenamed("pool", "system").join(systems.select(*key, "nominal", F.coalesce("unsigned", F.lit(False)).alias("unsigned")), key).where("size <> nominal")
+
+    n, total, size = F.col("n"), F.col("total"), F.col("size")
+    strong = (total >= 3) & (n >= 3) & (n >= 0.6 * total)
+    clear = F.when(total < 3, (total == 2) & (n == 2)).otherwise(((total <= 4) & (n >= 2) & (n >= 0.6 * total)) | ((n >= 4) & (n >= 2 * F.col("_rival")) & (n >= 0.4 * total)))
+    meter = lambda a, b: F.struct(a.cast("int").alias("numerator"), F.lit(b).alias("denominator"))
+    quarters, eighths = F.expr(f"size div {ppq}"), F.expr(f"size div {ppq // 2}")
+    whole = F.when((size % ppq == 0) & quarters.between(2, 7), meter(quarters, 4)).when((size % ppq != 0) | ~quarters.between(2, 7), F.when((size % (ppq // 2) == 0) & eighths.between(5, 13), meter(eighths, 8)))
+    simple = F.coalesce(*[F.when(size == int(q * ppq), meter(F.lit(a), b)) for q, a, b in SIMPLE])
+    found = best.withColumn("_meter", F.when(strong, whole).when(F.col("unsigned") & clear, simple)).where("_meter is not null")
+    return found.select(*key, "_meter.numerator", "_meter.denominator", n.alias("bars"), "total", (~strong).alias("low_confidence"))
