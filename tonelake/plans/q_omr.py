@@ -95,3 +95,38 @@ def c17(spark, sf):
         "voice = 2 AND note_ord % 3 = 0 AS rest", "false AS whole_rest", "note_ord % 16 < 3 AS triplet", "1920 AS bar", "note_ord < 4 AS short_ok",
     )
     return assembly.fit_bars(events)
+
+
+_CELLS = """cells AS (SELECT score_id, CAST(note_ord // 16 AS INTEGER) system, CAST(track_ord AS INTEGER) part, CAST(note_ord // 4 % 4 AS INTEGER) bar, CAST(sum(pitch) AS BIGINT) s FROM notes GROUP BY ALL),
+barrows AS (SELECT score_id, system, part, bar, CASE WHEN s % 6 > 0 THEN CASE WHEN s % 4 = 0 THEN 480 * (score_id % 5 + 2) ELSE 1440 END END ticks, CASE WHEN s % 6 = 0 THEN 2 + s % 3 END slashes FROM cells),
+systems AS (SELECT DISTINCT score_id, system, (score_id + system) % 4 = 0 printed, 1920 nominal, (score_id + system) % 2 = 0 unsigned FROM cells)"""
+
+
+def _barrows(spark, sf):
+    cell = ["score_id", F.expr("CAST(note_ord DIV 16 AS INT)").alias("system"), F.col("track_ord").cast("int").alias("part"), F.expr("CAST(note_ord DIV 4 % 4 AS INT)").alias("bar")]
+    return d.notes(spark, sf).groupBy(*cell).agg(F.sum("pitch").alias("s")).selectExpr(
+        "score_id", "system", "part", "bar", "CASE WHEN s % 6 > 0 THEN CASE WHEN s % 4 = 0 THEN 480 * (score_id % 5 + 2) ELSE 1440 END END AS ticks", "CASE WHEN s % 6 = 0 THEN CAST(2 + s % 3 AS INT) END AS slashes",
+    )
+
+
+# The oracle gives every system its pool by a join of ranges and counts the bars themselves.
+@query("c34_infer_meters", with_tables(_CELLS + """,
+kept AS (SELECT b.*, CASE WHEN ticks IS NULL THEN 1 ELSE 0 END AS kind, CASE WHEN ticks IS NULL THEN slashes * 480 ELSE ticks END AS size FROM barrows b
+ WHERE ticks IS NULL OR NOT ((system = 0 AND bar = 0) OR (system = (SELECT max(system) FROM systems s WHERE s.score_id = b.score_id)
+  AND bar = (SELECT max(bar) FROM barrows o WHERE o.score_id = b.score_id AND o.system = b.system AND o.part = b.part)))),
+member AS (SELECT p.score_id, p.system AS pool, k.system FROM systems p JOIN systems k ON k.score_id = p.score_id AND k.system BETWEEN p.system AND p.system + 3
+ WHERE NOT EXISTS (SELECT 1 FROM systems x WHERE x.score_id = p.score_id AND x.system > p.system AND x.system <= k.system AND x.printed)
+  AND 3 > (SELECT greatest(count(*) FILTER (WHERE kind = 0), count(*) FILTER (WHERE kind = 1)) FROM kept e WHERE e.score_id = p.score_id AND e.system >= p.system AND e.system < k.system)),
+pooled AS (SELECT m.pool, k.*, count(*) FILTER (WHERE kind = 0) OVER w AS notes_n, count(*) FILTER (WHERE kind = 1) OVER w AS marks_n FROM member m JOIN kept k ON k.score_id = m.score_id AND k.system = m.system WINDOW w AS (PARTITION BY m.score_id, m.pool)),
+tally AS (SELECT score_id, pool, size, count(*) AS n, min((system, part, bar)) AS spot FROM pooled WHERE kind = CASE WHEN notes_n < 3 AND marks_n >= 3 THEN 1 ELSE 0 END GROUP BY 1, 2, 3),
+led AS (SELECT *, sum(n) OVER (PARTITION BY score_id, pool) AS total, row_number() OVER w AS r, coalesce(lead(n) OVER w, 0) AS rival FROM tally WINDOW w AS (PARTITION BY score_id, pool ORDER BY n DESC, spot)),
+best AS (SELECT l.*, s.unsigned, n >= 3 AND 5 * n >= 3 * total AS strong FROM led l JOIN systems s ON s.score_id = l.score_id AND s.system = l.pool WHERE r = 1 AND size <> nominal),
+named AS (SELECT *, CASE WHEN strong THEN CASE WHEN size % 480 = 0 AND size // 480 BETWEEN 2 AND 7 THEN size // 480 WHEN size % 240 = 0 AND size // 240 BETWEEN 5 AND 13 THEN size // 240 END
+ WHEN unsigned AND CASE WHEN total < 3 THEN n = 2 ELSE (total <= 4 AND n >= 2 AND 5 * n >= 3 * total) OR (n >= 4 AND n >= 2 * rival AND 5 * n >= 2 * total) END
+ THEN CASE size WHEN 960 THEN 2 WHEN 1440 THEN 3 WHEN 1920 THEN 4 WHEN 720 THEN 3 WHEN 2160 THEN 9 WHEN 2880 THEN 12 END END AS top FROM best)
+SELECT score_id, CAST(pool AS INTEGER) AS system, CAST(top AS INTEGER) AS numerator, CAST(CASE WHEN size = 480 * top THEN 4 ELSE 8 END AS INTEGER) AS denominator, CAST(n AS BIGINT) AS bars, CAST(total AS BIGINT) AS total, NOT strong AS low_confidence FROM named WHERE top IS NOT NULL"""))
+def c34_meters(spark, sf):
+    """Meters that systems without a trusted signature add up to."""
+    rows = _barrows(spark, sf)
+    systems = rows.select("score_id", "system").distinct().selectExpr("*", "(score_id + system) % 4 = 0 AS printed", "1920L AS nominal", "(score_id + system) % 2 = 0 AS unsigned")
+    return assembly.infer_meters(rows, systems)
