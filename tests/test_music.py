@@ -307,3 +307,31 @@ def test_clicks_on_a_page(spark):
     boxes = spark.createDataFrame([(1, 0, 0, 0, 0.1, 0.1, 0.1, 0.1), (1, 0, 1, 480, 0.15, 0.1, 0.1, 0.1), (1, 0, 2, 960, 0.8, 0.12, 0.1, 0.1), (1, 0, 3, 1440, 0.1, 0.6, 0.1, 0.1)], "score_id long, page int, ord int, start long, x double, y double, w double, h double")
     clicks = spark.createDataFrame([(1, 0, 0, 0.16, 0.15), (1, 1, 0, 0.9, 0.3), (1, 2, 0, 0.9, 0.9), (1, 3, 7, 0.1, 0.1)], "score_id long, click int, page int, fx double, fy double")
     assert {r["click"]: r["tick"] for r in layout.tick_at_point(boxes, clicks).collect()} == {0: 0, 1: 960, 2: 1440}
+
+
+def test_tab_layout(spark):
+    notes = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 480, 0), (1, 2, 480, None), (1, 3, 4000, 5)], "score_id long, note_ord int, start_tick long, string int")
+    bars_of = spark.createDataFrame([(1, 0, 0.0, 1920.0, 4, 4), (1, 1, 1920.0, 3840.0, 4, 4), (1, 2, 3840.0, 5280.0, 3, 4)], "score_id long, index long, start_tick double, end_tick double, numerator int, denominator int")
+    page = layout.placed(bars_of, notes, 400)
+    # 354 for measures of 120, 96 and 116: all in one line, stretched by 354 / 332.
+    rows = {r["index"]: r for r in page.collect()}
+    k = 354 / 332
+    assert [rows[i]["line"] for i in range(3)] == [0, 0, 0] and [rows[i]["w"] for i in range(3)] == pytest.approx([120 * k, 96 * k, 116 * k])
+    assert [rows[i]["x"] for i in range(3)] == pytest.approx([36, 36 + 120 * k, 36 + 216 * k])
+    assert [tuple(p) for p in rows[0]["points"]] == [(0, 76), (480, pytest.approx(76 + 27.2)), (1920, pytest.approx(36 + 120 * k - 12))]
+    assert [p["tick"] for p in rows[1]["points"]] == [1920, 3840] and [p["tick"] for p in rows[2]["points"]] == [3840, 4000, 5280]
+    at = {r["note_ord"]: (r["x"], r["y"]) for r in layout.note_positions(page, notes).collect()}
+    inner = 116 * k - 12 - 40
+    assert at == {0: (76, 42 + 32), 1: (pytest.approx(103.2), 42), 3: (pytest.approx(36 + 216 * k + 40 + 160 / 1440 * inner), 42 + 80)}
+    click = page.select("index", layout.click_tick(F.col("points"), F.lit(100.0), F.col("start_tick"), F.col("end_tick")).alias("t"))
+    # 24 of 27.2 pixels into a quarter: tick 423.5, so 480 on the grid; left of the other measures.
+    assert {r["index"]: r["t"] for r in click.collect()} == {0: 480, 1: 1920, 2: 3840}
+
+
+def test_crowded_measures_grow(spark):
+    notes = spark.createDataFrame([(1, i, i * 10, 0) for i in range(16)], "score_id long, note_ord int, start_tick long, string int")
+    bars_of = spark.createDataFrame([(1, 0, 0.0, 1920.0, 4, 4), (1, 1, 1920.0, 3840.0, 4, 4)], "score_id long, index long, start_tick double, end_tick double, numerator int, denominator int")
+    rows = {r["index"]: r for r in layout.placed(bars_of, notes, 300).collect()}
+    # The first line holds 596 squeezed into 254; sixteen onsets need 40 + 15 * 27.2 + 12.
+    assert rows[0]["w"] == pytest.approx(460) and (rows[0]["line"], rows[1]["line"]) == (0, 1) and rows[1]["x"] == 36
+    assert rows[1]["w"] == pytest.approx(120) and rows[1]["staff_top"] - rows[0]["staff_top"] == 186

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Pixels.
-COLUMN, LEAD, TRAIL, METER, LEAST = 26, 18, 14, 24, 110
+COLUMN, LEAD, TRAIL, METER, LEAST = 34, 20, 12, 20, 96
+SIDE, LABEL, LEAST_LINE = 10, 26, 240
+LINE_GAP, TOP, ABOVE_STAFF, CHORD_ROW, DIAGRAM_ROW, STEMS, BELOW, BETWEEN = 16, 8, 12, 22, 92, 44, 6, 22
+#: Least distance of two onsets, and how far the last line may be stretched.
+ONSET_GAP, LAST_STRETCH = COLUMN * 0.8, 1.25
 
 
 def widths(bars: DataFrame, notes: DataFrame) -> DataFrame:
@@ -37,6 +41,68 @@ def lines(measured: DataFrame, available: int) -> DataFrame:
     return measured.join(placed.select("score_id", "x.index", "x.line"), ["score_id", "index"])
 
 
+def placed(bars: DataFrame, notes: DataFrame, width: int, strings: int = 6, chord_row: bool = True, diagrams: bool = False) -> DataFrame:
+    """``(score_id, index, start_tick, end_tick, line, x, w, staff_top, points)`` of measures on a page ``width`` wide.
+
+    Measures stretch to fill their line, the last line by a quarter at most.
+    ``points`` are the ``(tick, x)`` of a measure's start, onsets and end,
+    ascending in both; onsets keep a least distance, and a measure in which
+    they need more room than it has grows and shifts those after it.
+    """
+    from .timeline import locate
+
+    room = max(LEAST_LINE, width - 2 * SIDE - LABEL)
+    rows = lines(widths(bars, notes), room)
+    own = Window.partitionBy("score_id", "line")
+    stretch = room / F.sum("width").over(own)
+    final_line = F.col("line") == F.max("line").over(Window.partitionBy("score_id"))
+    rows = rows.withColumn("lead", F.when(F.col("show_meter"), LEAD + METER).otherwise(LEAD).cast("double"))
+    rows = rows.withColumn("w", F.col("width") * F.when(final_line, F.least(stretch, F.lit(LAST_STRETCH))).otherwise(stretch))
+
+    ticks = notes.select("score_id", F.col("start_tick").cast("double").alias("tick")).distinct()
+    spots = locate(ticks, bars).where("measure is not null").select("score_id", F.col("measure").alias("index"), "tick")
+    in_order = Window.partitionBy("score_id", "index").orderBy("tick")
+    spots = spots.join(rows, ["score_id", "index"]).withColumn("i", F.row_number().over(in_order))
+    ideal = F.col("lead") + (F.col("tick") - F.col("start_tick")) / (F.col("end_tick") - F.col("start_tick")) * (F.col("w") - TRAIL - F.col("lead"))
+    # An onset lies at its share of the measure, or so many gaps behind the onset that pushes it furthest.
+    spots = spots.withColumn("dx", F.max(ideal - F.col("i") * ONSET_GAP).over(in_order) + F.col("i") * ONSET_GAP)
+    onsets = spots.groupBy("score_id", "index").agg(F.max("dx").alias("reach"), F.sort_array(F.collect_list(F.struct("tick", "dx"))).alias("onsets_at"))
+
+    rows = rows.join(onsets, ["score_id", "index"], "left").withColumn("reach", F.coalesce("reach", F.col("lead") - ONSET_GAP))
+    rows = rows.withColumn("w", F.greatest("w", F.col("reach") + TRAIL))
+    before = F.sum("w").over(own.orderBy("index").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("x", SIDE + LABEL + F.coalesce(before, F.lit(0.0)))
+    none = F.array().cast("array<struct<tick:double,dx:double>>")
+    at = lambda tick, dx: F.array(F.struct(tick.alias("tick"), dx.alias("dx")))
+    opens = F.when(F.coalesce(F.get("onsets_at", F.lit(0))["tick"] > F.col("start_tick"), F.lit(True)), at(F.col("start_tick"), F.col("lead"))).otherwise(none)
+    closes = at(F.col("end_tick"), F.greatest(F.col("w") - TRAIL, F.col("reach") + ONSET_GAP / 2))
+    points = F.transform(F.concat(opens, F.coalesce("onsets_at", none), closes), lambda p: F.struct(p["tick"].alias("tick"), (F.col("x") + p["dx"]).alias("x")))
+
+    rows_above = CHORD_ROW * chord_row + DIAGRAM_ROW * diagrams + ABOVE_STAFF
+    height = rows_above + (strings - 1) * LINE_GAP + STEMS + BELOW
+    top = (TOP + F.col("line") * (height + BETWEEN) + rows_above).cast("long")
+    return rows.select("score_id", "index", "start_tick", "end_tick", "line", "x", "w", top.alias("staff_top"), points.alias("points"))
+
+
+def note_positions(measured: DataFrame, notes: DataFrame) -> DataFrame:
+    """``(score_id, note_ord, x, y)`` of fingered notes on the measures of :func:`placed`.
+
+    Notes without a string, and those that no measure holds, give no row.
+    """
+    from .timeline import locate
+
+    at = locate(notes.where("string is not null").select("score_id", "note_ord", "string", F.col("start_tick").cast("double").alias("tick")), measured)
+    page = measured.select("score_id", F.col("index").alias("measure"), "staff_top", "points")
+    y = F.col("staff_top") + F.col("string") * LINE_GAP
+    return at.join(page, ["score_id", "measure"]).select("score_id", "note_ord", interpolate(F.col("points"), F.col("tick"), "tick", "x").alias("x"), y.alias("y"))
+
+
+def click_tick(points: Column, x: Column, start: Column, end: Column, ppq: int = 480) -> Column:
+    """Tick of a click at ``x`` in a measure: on the grid of sixteenths, inside the measure."""
+    grid = ppq / 4
+    return F.greatest(start, F.least(end - grid, F.floor(interpolate(points, x, "x", "tick") / grid + 0.5) * grid))
+
+
 def interpolate(points: Column, at: Column, source: str, target: str) -> Column:
     """Piecewise-linear ``target`` at ``source`` along ``array<struct>``, flat beyond the ends."""
     after = F.filter(points, lambda p: p[source] >= at)

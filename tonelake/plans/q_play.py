@@ -70,11 +70,41 @@ def j19(spark, sf):
     return rows.select("score_id", "note_ord", F.when(F.size(before) > 0, F.element_at(before, -1)["text"]).alias("chord"))
 
 
-@query("c08_measure_widths", d.with_sql("SELECT b.score_id, b.idx AS \"index\", CAST(greatest(110, coalesce(o.n, 0) * 26 + 32) + CASE WHEN lag(numerator) OVER w IS DISTINCT FROM numerator OR lag(denominator) OVER w IS DISTINCT FROM denominator THEN 24 ELSE 0 END AS BIGINT) AS width FROM bars b LEFT JOIN (SELECT b2.score_id, b2.idx, count(DISTINCT start_tick_n) AS n FROM (SELECT score_id, start_tick AS start_tick_n FROM notes) n JOIN bars b2 ON n.score_id = b2.score_id AND start_tick_n >= b2.start_tick AND start_tick_n < b2.end_tick GROUP BY 1, 2) o ON o.score_id = b.score_id AND o.idx = b.idx WINDOW w AS (PARTITION BY b.score_id ORDER BY b.idx)", "bars"))
+@query("c08_measure_widths", d.with_sql("SELECT b.score_id, b.idx AS \"index\", CAST(greatest(96, coalesce(o.n, 0) * 34 + 32) + CASE WHEN lag(numerator) OVER w IS DISTINCT FROM numerator OR lag(denominator) OVER w IS DISTINCT FROM denominator THEN 20 ELSE 0 END AS BIGINT) AS width FROM bars b LEFT JOIN (SELECT b2.score_id, b2.idx, count(DISTINCT start_tick_n) AS n FROM (SELECT score_id, start_tick AS start_tick_n FROM notes) n JOIN bars b2 ON n.score_id = b2.score_id AND start_tick_n >= b2.start_tick AND start_tick_n < b2.end_tick GROUP BY 1, 2) o ON o.score_id = b.score_id AND o.idx = b.idx WINDOW w AS (PARTITION BY b.score_id ORDER BY b.idx)", "bars"))
 def c08(spark, sf):
     return layout.widths(d.bars(spark, sf), d.notes(spark, sf)).select("score_id", "index", "width")
 
 
+#: A page 800 wide: 754 for measures; lines by recursion, then onsets, ends and starts of measures.
+_PAGE = """, ons AS (SELECT DISTINCT b.score_id, b.idx, n.start_tick AS tick FROM notes n JOIN bars b ON n.score_id = b.score_id AND n.start_tick >= b.start_tick AND n.start_tick < b.end_tick),
+ mt AS (SELECT b.*, coalesce(o.n, 0) AS n, lag(numerator) OVER w IS DISTINCT FROM numerator OR lag(denominator) OVER w IS DISTINCT FROM denominator AS fresh
+  FROM bars b LEFT JOIN (SELECT score_id, idx, count(*) AS n FROM ons GROUP BY 1, 2) o ON o.score_id = b.score_id AND o.idx = b.idx WINDOW w AS (PARTITION BY b.score_id ORDER BY b.idx)),
+ wd AS (SELECT *, greatest(96, n * 34 + 32) + CASE WHEN fresh THEN 20 ELSE 0 END AS width, CASE WHEN fresh THEN 40 ELSE 20 END AS inset FROM mt),
+ br AS (SELECT score_id, idx, width AS used, CAST(0 AS BIGINT) AS line FROM wd WHERE idx = 0
+  UNION ALL SELECT w.score_id, w.idx, CASE WHEN b.used + w.width > 754 THEN w.width ELSE b.used + w.width END, CASE WHEN b.used + w.width > 754 THEN b.line + 1 ELSE b.line END FROM br b JOIN wd w ON w.score_id = b.score_id AND w.idx = b.idx + 1),
+ st AS (SELECT wd.*, br.line, CAST(754 AS DOUBLE) / sum(width) OVER (PARTITION BY wd.score_id, line) AS k, line = max(line) OVER (PARTITION BY wd.score_id) AS ends FROM wd JOIN br ON wd.score_id = br.score_id AND wd.idx = br.idx),
+ sw AS (SELECT *, width * CASE WHEN ends THEN least(k, 1.25) ELSE k END AS w0 FROM st),
+ od AS (SELECT o.score_id, o.idx, o.tick, inset + (o.tick - start_tick) / (end_tick - start_tick) * (w0 - 12 - inset) AS ideal, row_number() OVER (PARTITION BY o.score_id, o.idx ORDER BY o.tick) AS i FROM ons o JOIN sw ON o.score_id = sw.score_id AND o.idx = sw.idx),
+ ox AS (SELECT a.score_id, a.idx, a.tick, max(b.ideal + (a.i - b.i) * CAST(27.2 AS DOUBLE)) AS dx FROM od a JOIN od b ON a.score_id = b.score_id AND a.idx = b.idx AND b.i <= a.i GROUP BY 1, 2, 3),
+ fw AS (SELECT sw.*, greatest(w0, coalesce(r.reach + 12, 0)) AS w FROM sw LEFT JOIN (SELECT score_id, idx, max(dx) AS reach FROM ox GROUP BY 1, 2) r ON r.score_id = sw.score_id AND r.idx = sw.idx),
+ pg AS (SELECT *, 36 + coalesce(sum(w) OVER (PARTITION BY score_id, line ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x, CAST(42 + line * 186 AS BIGINT) AS staff_top FROM fw)"""
+
+
+def _page(spark, sf):
+    return layout.placed(d.bars(spark, sf), d.notes(spark, sf), 800)
+
+
+@query("c08_tab_layout", d.with_sql(_PAGE + ' SELECT score_id, idx AS "index", CAST(line AS INTEGER) AS line, round(x, 4) AS x, round(w, 4) AS w, staff_top FROM pg', "bars"))
+def c08_layout(spark, sf):
+    return _page(spark, sf).select("score_id", "index", "line", F.round("x", 4).alias("x"), F.round("w", 4).alias("w"), "staff_top")
+
+
+@query("f38_note_positions", d.with_sql(_PAGE + " SELECT n.score_id, n.note_ord, round(pg.x + ox.dx, 4) AS x, CAST(staff_top + n.note_ord % 6 * 16 AS BIGINT) AS y FROM notes n JOIN ox ON ox.score_id = n.score_id AND ox.tick = n.start_tick JOIN pg ON pg.score_id = ox.score_id AND pg.idx = ox.idx", "bars"))
+def f38(spark, sf):
+    notes = d.notes(spark, sf).withColumn("string", F.col("note_ord") % 6)
+    return layout.note_positions(_page(spark, sf), notes).withColumn("x", F.round("x", 4))
+
+
 @query("o07_line_breaks", d.with_sql(""", wd AS (SELECT score_id, idx, CAST(100 + (idx * 37 + score_id) % 90 AS BIGINT) AS width FROM bars),
  br AS (SELECT score_id, idx, width AS used, 0 AS line FROM wd WHERE idx = 0
   UNION ALL SELECT w.score_id, w.idx, CASE WHEN b.used + w.width > 600 THEN w.width ELSE b.used + w.width END, CASE WHEN b.used + w.width > 600 THEN b.line + 1 ELSE b.line END FROM br b JOIN wd w ON w.score_id = b.score_id AND w.idx = b.idx + 1)
