@@ -335,3 +335,33 @@ def test_crowded_measures_grow(spark):
     # The first line holds 596 squeezed into 254; sixteen onsets need 40 + 15 * 27.2 + 12.
     assert rows[0]["w"] == pytest.approx(460) and (rows[0]["line"], rows[1]["line"]) == (0, 1) and rows[1]["x"] == 36
     assert rows[1]["w"] == pytest.approx(120) and rows[1]["staff_top"] - rows[0]["staff_top"] == 186
+
+
+def test_ties_go_on_from_the_note_struck_last(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(1, i, rng.choice((60, 61)), rng.randrange(60) * 40, rng.choice((40, 120, 900)), 64, rng.random() < 0.6) for i in range(120)]
+    # A long note and a short one over it: the tied note after them does not go on from the long one.
+    rows += [(2, 0, 60, 0, 1920, 64, False), (2, 1, 60, 240, 240, 64, False), (2, 2, 60, 960, 240, 64, True)]
+    n = spark.createDataFrame(rows, "score_id long, note_ord long, pitch int, start_tick long, duration long, velocity int, tied_from_previous boolean")
+    want, last = [], {}
+    for score, _, pitch, start, size, _, tied in sorted(rows, key=lambda r: (r[0], r[3], r[1])):
+        chain = last.get((score, pitch))
+        if tied and chain and chain[3] >= start - 2:
+            chain[3] = max(chain[3], start + size)
+        else:
+            last[score, pitch] = chain = [score, pitch, start, start + size]
+            want.append(chain)
+    got = [[r["score_id"], r["pitch"], r["start_tick"], r["end_tick"]] for r in playback.sounding(n).collect()]
+    assert sorted(got) == sorted(want) and [2, 60, 960, 1200] in got
+
+
+def test_short_notes_are_heard():
+    import numpy as np
+
+    rate = 44100
+    tone = lambda hz, sec: 0.5 * np.sin(2 * np.pi * hz * np.arange(int(rate * sec)) / rate)
+    x = np.concatenate([tone(220, 0.5), tone(392, 0.09), tone(220, 0.5)])
+    got, _ = audio.transcribe(x, rate, 120)
+    assert [n["pitch"] for n in got] == [57, 67, 57]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 # Fixed values.
 FRAME, STEP = 2048, 512
 CLEAR, LOW_HZ, HIGH_HZ = 0.9, 30.0, 4500.0
-LEAST_SEC = 0.08
+LEAST_SEC = 0.04
 PPQ, GRID = 480, 120
 
 

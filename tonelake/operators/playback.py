@@ -20,14 +20,18 @@ EVENT = ["score_id", "t", "dur", "pitch", "gain", "kind"]
 def sounding(notes: DataFrame, slack: int = 2) -> DataFrame:
     """Tied notes joined: a chain of ties is an island of one pitch.
 
-    A tied note goes on from the open note of its pitch if that ended no
-    earlier than ``slack`` ticks before; running ends decide, so a chain is
-    found in one pass over each pitch.
+    A tied note goes on from the note of its pitch that was struck last, if
+    that one's chain ended no earlier than ``slack`` ticks before.  Ends only
+    count from the last note that is not tied on: within such a run starts
+    ascend, so what was too early for one note is too early for all after it,
+    and the running end decides as the chain's own would.
     """
     by_pitch = Window.partitionBy("score_id", "pitch").orderBy("start_tick", "note_ord")
-    before = by_pitch.rowsBetween(Window.unboundedPreceding, -1)
+    tied = F.coalesce("tied_from_previous", F.lit(False))
+    rows = notes.withColumn("struck", F.count_if(~tied).over(by_pitch))
+    before = Window.partitionBy("score_id", "pitch", "struck").orderBy("start_tick", "note_ord").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start_tick") + F.col("duration")
-    rows = notes.withColumn("fresh", F.when(F.col("tied_from_previous") & (F.max(end).over(before) >= F.col("start_tick") - slack), 0).otherwise(1))
+    rows = rows.withColumn("fresh", F.when(tied & (F.max(end).over(before) >= F.col("start_tick") - slack), 0).otherwise(1))
     rows = rows.withColumn("chain", F.sum("fresh").over(by_pitch))
     return rows.groupBy("score_id", "pitch", "chain").agg(F.min("start_tick").alias("start_tick"), F.max(end).alias("end_tick"), F.min_by("velocity", F.struct("start_tick", "note_ord")).alias("velocity")).drop("chain")
 

@@ -27,7 +27,8 @@ def _tied(spark, sf):
     return d.notes(spark, sf).withColumn("tied_from_previous", F.col("note_ord") % 4 == 3)
 
 
-@query("j09_tie_merge", d.with_sql(""", f AS (SELECT *, CASE WHEN note_ord % 4 = 3 AND max(start_tick + duration) OVER (PARTITION BY score_id, pitch ORDER BY start_tick, note_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start_tick - 2 THEN 0 ELSE 1 END AS fresh FROM notes),
+@query("j09_tie_merge", d.with_sql(""", g AS (SELECT *, count(*) FILTER (WHERE note_ord % 4 <> 3) OVER (PARTITION BY score_id, pitch ORDER BY start_tick, note_ord) AS struck FROM notes),
+ f AS (SELECT *, CASE WHEN note_ord % 4 = 3 AND max(start_tick + duration) OVER (PARTITION BY score_id, pitch, struck ORDER BY start_tick, note_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start_tick - 2 THEN 0 ELSE 1 END AS fresh FROM g),
  c AS (SELECT *, sum(fresh) OVER (PARTITION BY score_id, pitch ORDER BY start_tick, note_ord) AS chain FROM f)
  SELECT score_id, pitch, min(start_tick) AS start_tick, max(start_tick + duration) AS end_tick, arg_min(velocity, note_ord) AS velocity FROM c GROUP BY score_id, pitch, chain""", "notes"))
 def j09(spark, sf):
