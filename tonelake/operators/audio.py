@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 FRAME, STEP = 2048, 512
 CLEAR, LOW_HZ, HIGH_HZ = 0.9, 30.0, 4500.0
 LEAST_SEC = 0.04
+RATE = 44100
 PPQ, GRID = 480, 120
 
 
@@ -38,6 +39,13 @@ def wav_samples(data: bytes) -> tuple[np.ndarray, int]:
     return x.reshape(-1, channels).mean(1), rate
 
 
+def resampled(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
+    """Samples at the rate ``to``, along straight lines; frames are that many samples long at one rate only."""
+    if rate == to or not len(x):
+        return x
+    return np.interp(np.arange(len(x) * to // rate) * (rate / to), np.arange(len(x)), x)
+
+
 def pitch(frames: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
     """Hz and clarity of each frame; the first key maximum near the largest decides."""
     n = frames.shape[1]
@@ -163,7 +171,7 @@ def transcribe_all(recordings: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for sid, data in zip(b["score_id"], b["wav"]):
-                notes, bpm = transcribe(*wav_samples(data))
+                notes, bpm = transcribe(resampled(*wav_samples(data)), RATE)
                 rows += [(sid, i, n["pitch"], n["start"], n["duration"], n["confidence"], bpm) for i, n in enumerate(notes)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in NOTES.split(", ")])
 
