@@ -268,7 +268,8 @@ def test_strums_and_voices(spark):
     assert [r["pitch"] for r in first] == [48, 52, 55, 60, 64]
     assert all(0.012 <= b["t"] - a["t"] <= 0.02 and b["gain"] > a["gain"] for a, b in zip(first, first[1:]))
     every = playback.play_events(n.withColumn("tied_from_previous", F.lit(False)), grid, tempos, c, metronome=True)
-    assert every.where("kind = 'accent'").count() == 4 and every.where("kind = 'note'").count() == 2
+    # The click at the end tick is heard too.
+    assert every.where("kind = 'accent'").count() == 5 and every.where("kind = 'note'").count() == 2
 
 
 def test_ties_sound_once(spark):
@@ -365,3 +366,15 @@ def test_short_notes_are_heard():
     x = np.concatenate([tone(220, 0.5), tone(392, 0.09), tone(220, 0.5)])
     got, _ = audio.transcribe(x, rate, 120)
     assert [n["pitch"] for n in got] == [57, 67, 57]
+
+
+def test_clicks_follow_the_signature_in_force(spark):
+    ends = spark.createDataFrame([(1, 4000), (2, 959), (3, 0)], "score_id long, end_tick long")
+    meters = spark.createDataFrame([(1, 0, 0, 3, 4), (1, 1, 1600, 6, 8), (1, 2, 9000, 2, 2), (2, 0, 0, 2, 2)], "score_id long, ord int, tick long, numerator int, denominator int")
+    tempos = spark.createDataFrame([(s, 0, 0, 125.0) for s in (1, 2, 3)], "score_id long, ord int, tick long, bpm double")  # 1,000 ticks a second
+    got = {}
+    for r in playback.clicks(ends, meters, tempos).orderBy("t").collect():
+        got.setdefault(r["score_id"], []).append((round(r["t"] * 1000), r["kind"]))
+    assert got[2] == [(0, "accent"), (480, "click")] and got[3] == [(0, "accent")]
+    # Quarters until the one that finds 6/8 in force, eighths from there; measures of 6/8 count from tick 1600, which no click meets.
+    assert got[1] == [(0, "accent"), (480, "click"), (960, "click"), (1440, "accent")] + [(t, "click") for t in range(1920, 4001, 240)]

@@ -47,10 +47,44 @@ def note_events(notes: DataFrame, tempos: DataFrame, ppq: int = DEFAULT_PPQ) ->
     return rows.select("score_id", t.alias("t"), (at(F.col("end_tick")) - t).alias("dur"), F.col("pitch").cast("int"), gain(F.col("velocity")).alias("gain"), F.lit("note").alias("kind"))
 
 
-def clicks(bars: DataFrame, tempos: DataFrame, ppq: int = DEFAULT_PPQ) -> DataFrame:
-    """A click a pulse, the first of a measure accented."""
-    rows, at = _seconds(tl.windows(bars, "beat", ppq), tempos, ppq)
-    return rows.select("score_id", at(F.col("w_start")).alias("t"), F.lit(0.02).alias("dur"), F.lit(0).alias("pitch"), F.lit(1.0).alias("gain"), F.when(F.col("w") == 0, "accent").otherwise("click").alias("kind"))
+def clicks(ends: DataFrame, time_signatures: DataFrame | None, tempos: DataFrame, ppq: int = DEFAULT_PPQ) -> DataFrame:
+    """A click a pulse from tick 0 up to ``ends (score_id, end_tick)`` and with it.
+
+    A pulse is of the signature in force at the click before, so a change
+    between two clicks counts from the next on.  Accents are counted in whole
+    measures from the signature's own tick.  Without signatures it is 4/4.
+    """
+    rows = ends.select("score_id", F.col("end_tick").cast("double").alias("limit"))
+    plain = F.array(F.struct(F.lit(0.0).alias("tick"), F.lit(4).alias("numerator"), F.lit(4).alias("denominator")))
+    if time_signatures is None:
+        rows = rows.withColumn("items", plain)
+    else:
+        rows = rows.join(tl.change_lists(time_signatures, ["numerator", "denominator"], "items"), "score_id", "left")
+        shaped = F.transform("items", lambda x: F.struct(x["tick"].cast("double").alias("tick"), x["numerator"].cast("int").alias("numerator"), x["denominator"].cast("int").alias("denominator")))
+        rows = rows.withColumn("items", F.coalesce(shaped, plain))
+    # An item that a later one in the list covers from its own tick on never counts.
+    live = F.filter("items", lambda x, i: ~F.exists(F.slice(F.col("items"), i + 2, F.size("items")), lambda y: y["tick"] <= x["tick"]))
+    rows = rows.withColumn("first", tl.as_of(F.col("items"), F.lit(0.0))).withColumn("later", F.filter(live, lambda x: (x["tick"] > 0) & (x["tick"] <= F.col("limit"))))
+
+    def step_of(sig: Column) -> Column:
+        return tl.pulse(F.lit(ppq), sig["denominator"])
+
+    def run(s: Column, count: Column) -> Column:
+        return F.struct(s["at"].alias("at"), count.alias("count"), step_of(s["sig"]).alias("step"), s["sig"].alias("sig"))
+
+    def step(s: Column, x: Column) -> Column:
+        count = F.greatest(F.lit(0).cast("long"), F.ceil((x["tick"] - s["at"]) / step_of(s["sig"])).cast("long"))
+        return F.struct((s["at"] + count * step_of(s["sig"])).alias("at"), x.alias("sig"), F.concat(s["runs"], F.array(run(s, count))).alias("runs"))
+
+    none = F.array().cast("array<struct<at:double,count:bigint,step:double,sig:struct<tick:double,numerator:int,denominator:int>>>")
+    rows = rows.withColumn("fold", F.aggregate("later", F.struct(F.lit(0.0).alias("at"), F.col("first").alias("sig"), none.alias("runs")), step))
+    last = F.floor((F.col("limit") - F.col("fold.at")) / step_of(F.col("fold.sig"))).cast("long") + 1
+    rows = rows.select("score_id", F.explode(F.concat("fold.runs", F.array(run(F.col("fold"), last)))).alias("r")).where("r.count > 0")
+    rows = rows.select("score_id", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r.count") - 1)).alias("k"))
+    rows = rows.withColumn("tick", F.col("r.at") + F.col("k") * F.col("r.step"))
+    whole = (F.col("tick") - F.col("r.sig.tick")) % (ppq * 4.0 * F.col("r.sig.numerator") / F.col("r.sig.denominator")) == 0
+    rows, at = _seconds(rows.select("score_id", "tick", whole.alias("whole")), tempos, ppq)
+    return rows.select("score_id", at(F.col("tick")).alias("t"), F.lit(0.02).alias("dur"), F.lit(0).alias("pitch"), F.lit(1.0).alias("gain"), F.when(F.col("whole"), "accent").otherwise("click").alias("kind"))
 
 
 def strums(notes: DataFrame, bars: DataFrame, chords: DataFrame, slash: DataFrame | None = None, ppq: int = DEFAULT_PPQ, chord_gain: float = 0.45) -> DataFrame:
@@ -92,11 +126,15 @@ def chord_events(strummed: DataFrame, tempos: DataFrame, tuning: tuple[int, ...]
     return rows.select("score_id", (F.col("t0") + off).alias("t"), F.greatest(F.lit(0.05), F.col("len") - off).alias("dur"), "pitch", (F.col("gain") * ramp * VOICE).alias("gain"), F.lit("chord").alias("kind"))
 
 
-def play_events(notes: DataFrame, bars: DataFrame, tempos: DataFrame, chords: DataFrame | None = None, metronome: bool = False, ppq: int = DEFAULT_PPQ) -> DataFrame:
-    """All events of a score, ``(score_id, t, dur, pitch, gain, kind)``."""
+def play_events(notes: DataFrame, bars: DataFrame, tempos: DataFrame, chords: DataFrame | None = None, metronome: bool = False, time_signatures: DataFrame | None = None, ppq: int = DEFAULT_PPQ) -> DataFrame:
+    """All events of a score, ``(score_id, t, dur, pitch, gain, kind)``; the metronome clicks up to the last note's or strum's end."""
     out = note_events(notes, tempos, ppq)
+    ends = bars.select("score_id", F.lit(0.0).alias("end_tick")).unionByName(notes.select("score_id", (F.col("start_tick") + F.col("duration")).cast("double").alias("end_tick")))
     if chords is not None:
-        out = out.unionByName(chord_events(strums(notes, bars, chords, ppq=ppq), tempos, ppq=ppq))
+        strummed = strums(notes, bars, chords, ppq=ppq)
+        out = out.unionByName(chord_events(strummed, tempos, ppq=ppq))
+        heard = over_distinct(strummed, "name", shape(STANDARD), SHAPED).where("name_x is not null")
+        ends = ends.unionByName(heard.select("score_id", F.col("stop").cast("double").alias("end_tick")))
     if metronome:
-        out = out.unionByName(clicks(bars, tempos, ppq))
+        out = out.unionByName(clicks(ends.groupBy("score_id").agg(F.max("end_tick").alias("end_tick")), time_signatures, tempos, ppq))
     return out.select(*EVENT)

@@ -41,9 +41,16 @@ def c06(spark, sf):
     return rows.select("score_id", F.col("pitch").cast("long").alias("pitch"), F.round("t", 6).alias("t"), F.round("dur", 6).alias("dur"), F.round("gain", 6).alias("gain"))
 
 
-@query("c06_metronome", d.with_sql("", "win", "tp").rstrip() + _SEG + f" SELECT w.score_id, round({_sec('w.w_start', 'w.score_id')}, 6) AS t, CASE WHEN w.w = 0 THEN 'accent' ELSE 'click' END AS kind FROM win w")
+_IN_FORCE = "(SELECT arg_max(ts.{0}, ts.ord) FROM ts WHERE ts.score_id = m.score_id AND ts.tick <= m.tick)"
+_CLICKS = f""", mk AS (SELECT score_id, CAST(0 AS DOUBLE) AS tick, length FROM len
+  UNION ALL SELECT score_id, tick + step, length FROM (SELECT m.*, CAST(least(480.0, 1920.0 / {_IN_FORCE.format("denominator")}) AS DOUBLE) AS step FROM mk m) z WHERE tick + step <= length),
+ mm AS (SELECT m.*, {_IN_FORCE.format("tick")} AS origin, CAST(1920.0 * {_IN_FORCE.format("numerator")} / {_IN_FORCE.format("denominator")} AS DOUBLE) AS whole FROM mk m)"""
+
+
+@query("c06_metronome", d.with_sql(_CLICKS + _SEG + f" SELECT w.score_id, round({_sec('w.tick', 'w.score_id')}, 6) AS t, CASE WHEN (w.tick - origin) % whole = 0 THEN 'accent' ELSE 'click' END AS kind FROM mm w", "ts", "tp"))
 def c06_clicks(spark, sf):
-    return pb.clicks(d.bars(spark, sf), d.tempos(spark, sf)).select("score_id", F.round("t", 6).alias("t"), "kind")
+    ends = tl.score_lengths(d.notes(spark, sf)).withColumnRenamed("length", "end_tick")
+    return pb.clicks(ends, d.time_signatures(spark, sf), d.tempos(spark, sf)).select("score_id", F.round("t", 6).alias("t"), "kind")
 
 
 def _chords(spark, sf):
