@@ -120,5 +120,16 @@ o AS (SELECT d.doc_id, m.class_id FROM d JOIN g ON g.words = CASE WHEN len(d.w)
 SELECT doc_id, class_id, CAST(count(*) OVER (PARTITION BY class_id) AS BIGINT) AS class_docs FROM o"""
 
 
+#: Lines as a list; the cuts are counted in it.
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, len(l) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS r FROM d),
+c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS x, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(l[1:x], '') AS pre, array_to_string(l[x + 1:y], '') AS mid, array_to_string(l[y + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1, "op2_license_scan": op2(), "op4_chat_perspectives": OP4, "op5_url_filter": op5(), "op8_fair_mixing": OP8, "op9_warc": OP9, "op10_probminhash": OP10}
+    return {"op1_exact_topk": OP1, "op2_license_scan": op2(), "op4_chat_perspectives": OP4, "op5_url_filter": op5(), "op8_fair_mixing": OP8, "op9_warc": OP9, "op10_probminhash": OP10, "op11_fill_in_middle": OP11}

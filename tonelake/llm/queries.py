@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, language, licences, mixing, neardup, oracles, packing, topk, urls, warc
+from . import chat, fim, fingerprints, language, licences, mixing, neardup, oracles, packing, secrets, topk, urls, warc, whitening
 from .common import table
 
 
@@ -71,8 +71,27 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_docs")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_exact_topk, op2_license_scan, op3_fingerprint, op4_chat_perspectives, op5_url_filter, op6_language_id, op7_harmonic_packing, op8_fair_mixing, op9_warc, op10_probminhash)
+    ops = (op1_exact_topk, op2_license_scan, op3_fingerprint, op4_chat_perspectives, op5_url_filter, op6_language_id, op7_harmonic_packing, op8_fair_mixing, op9_warc, op10_probminhash, op11_fill_in_middle, op12_whitening, op13_secret_scan)
     return {f.__name__: f for f in ops}
 
 
