@@ -8,6 +8,7 @@ their log-probabilities, weighted by the bytes in each, decides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,7 +155,7 @@ def has_letter(text: Column) -> Column:
     return text.rlike(r"\p{L}")
 
 
-def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str, ...] = (), text_kept: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` (or other ``names``) of every whole text.
 
     A null text and one without letters is ``und`` with score 0, as is every
@@ -162,18 +163,14 @@ def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str
     learned language and its share of the geometric mean of their windows'
     probabilities.  Repeated rows are judged each for itself and alike, ids are
     not looked at, a very long text is judged by all its windows, an empty
-    table gives no rows, and columns not in ``keep`` are left out.
+    table gives no rows, and columns not in ``keep`` are left out.  Only texts
+    go to Python: kept columns of whatever type stay as they are.
     """
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    # Where the text itself is kept it goes to the workers once.
-    letters = f"{names[0]}_letters"
-    judged = has_letter(text_of())
-    rows = docs.select(*keep, judged.alias(letters)) if text_kept else docs.select(*keep, F.when(judged, F.col("text")).alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t if ok else None for t, ok in zip(b["text"], b.pop(letters))] if text_kept else b.pop("_text").to_list()
-            pred, score = [UNKNOWN] * len(b), np.zeros(len(b))
+            texts = b.to_list()
+            pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             start = 0
             while net is not None and start < len(texts):
                 xs, owner, size, stop = [], [], 0, start
@@ -198,7 +195,10 @@ def predict(docs: DataFrame, langs: list[str], net: dict | None, keep: tuple[str
                     for i, row in enumerate(owner):
                         pred[row], score[row] = langs[best[i]], float(p[i, best[i]])
                 start = stop
-            yield b.assign(**{names[0]: pred, names[1]: score})
+            yield pd.DataFrame({"lang": pred, "score": score})
 
-    schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return rows.mapInPandas(run, schema)
+    # Not deterministic only for the optimizer, which then runs it once a row and not once a use.
+    judge = F.pandas_udf(run, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])).asNondeterministic()
+    judged = f"_judged_{uuid.uuid4().hex}"
+    rows = docs.withColumn(judged, judge(F.when(has_letter(text_of()), F.col("text"))))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], F.col(judged)["lang"].alias(names[0]), F.col(judged)["score"].alias(names[1]))

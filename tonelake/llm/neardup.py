@@ -24,10 +24,12 @@ texts' shingle sets decides.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,19 +167,20 @@ def sketch(docs: DataFrame) -> DataFrame:
     shingles as a set, ``sig`` one byte of each of the set's components, mixed.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, start = b["_text"].to_list(), 0
+            ids, keys, texts, start = b.column(0), b.column(1), b.column(2), 0
             while start < len(texts):
                 stop, size, nodes, lists, have = start, 0, [], [], []
                 while stop < len(texts) and (size < BATCH_BYTES or stop == start):
-                    norm = normalised(texts[stop])
-                    data = norm.tobytes() if len(norm) else b"\0" + texts[stop].encode("utf-8", "replace")
+                    text = texts[stop].as_py()
+                    norm = normalised(text)
+                    data = norm.tobytes() if len(norm) else b"\0" + text.encode("utf-8", "replace")
                     nodes.append(hashlib.blake2b(data, digest_size=16).digest())
                     if len(norm):
                         have.append(stop - start)
                         lists.append(shingles(norm))
-                    size += len(texts[stop])
+                    size += len(text)
                     stop += 1
                 bands: list = [[] for _ in nodes]
                 sigs: list = [b"" for _ in nodes]
@@ -186,11 +189,12 @@ def sketch(docs: DataFrame) -> DataFrame:
                     small = (plain >> np.uint64(17)).astype(np.uint8)
                     for i, row, code in zip(have, rows, small):
                         bands[i], sigs[i] = row, code.tobytes()
-                ids = pd.array(b["doc_id"].iloc[start:stop].astype("Int64"))
-                yield pd.DataFrame({"doc_id": ids, "key": b["key"].iloc[start:stop].to_numpy(), "node": nodes, "bands": bands, "sig": sigs})
+                # Ids and keys never become Python numbers.
+                made = [ids.slice(start, stop - start), keys.slice(start, stop - start), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "key", "node", "bands", "sig"])
                 start = stop
 
-    return keyed(docs).mapInPandas(run, "doc_id long, key long, node binary, bands array<long>, sig binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, key long, node binary, bands array<long>, sig binary")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -351,14 +355,14 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The first row of each class, with all columns of ``docs``."""
+    """The first row of each class, with all columns of ``docs``, of whatever type or name; they do not pass through Python."""
+    own = {x: f"_{x}_{uuid.uuid4().hex}" for x in ("text", "id", "key", "again")}  # no column of docs is called so
     kept = classes(docs, least).where("doc_id <=> class_id and key = class_key")
-    kept = materialize(kept.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg((F.count("*") > 1).alias("_again")), "kept")
-    rows = docs.withColumn("_text_key", F.xxhash64(text_of()))
-    rows = rows.join(kept, (rows["_text_key"] == kept["_key"]) & rows["doc_id"].cast("long").eqNullSafe(kept["_id"]))
-    once, again = rows.where("not _again"), rows.where("_again").dropDuplicates(["_id", "_key"])
-    columns = docs.columns
-    return once.select(*columns).unionByName(again.select(*columns)) if not kept.where("_again").isEmpty() else once.select(*columns)
+    kept = materialize(kept.groupBy(F.col("doc_id").alias(own["id"]), F.col("key").alias(own["key"])).agg((F.count("*") > 1).alias(own["again"])), "kept")
+    rows = docs.withColumn(own["text"], F.xxhash64(text_of()))
+    rows = rows.join(kept, (F.col(own["text"]) == F.col(own["key"])) & F.col("doc_id").cast("long").eqNullSafe(F.col(own["id"])))
+    once, again = rows.where(~F.col(own["again"])).drop(*own.values()), rows.where(own["again"]).dropDuplicates([own["id"], own["key"]]).drop(*own.values())
+    return once.unionByName(again) if not kept.where(own["again"]).isEmpty() else once
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,11 +200,11 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cla
     id alone.  Repeated rows are packed as often as they occur; null ids stay
     null; a very long text spans many sequences; an empty table gives no rows;
     other columns are left out.  Workers are input partitions, so a task that
-    runs again gives the same rows.
+    runs again gives the same rows.  Ids stay exact 64-bit numbers.
     """
     path = path or tokenizer_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode = encoder(path)
@@ -212,7 +212,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cla
         held: dict[int, list] = {}
         number = 0
 
-        def table(rows: list) -> pd.DataFrame:
+        def table(rows: list) -> pa.RecordBatch:
             cols: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
             for n, start, length, seq, offset in rows:
                 doc_id, ids, left = held[n]
@@ -227,15 +227,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cla
                     del held[n]
                 else:
                     held[n][2] = left - length
-            out = pd.DataFrame(cols)
-            out["doc_id"] = pd.array(cols["doc_id"], "Int64")
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in cols.items()], names=list(cols))
 
         for b in batches:
             rows, size = [], 0
-            for doc_id, text in zip(b["doc_id"].to_list(), b["_text"].to_list()):
-                ids = np.append(encode(text), np.array([end_id], "<u4")).astype("<u4")
-                held[number] = [None if pd.isna(doc_id) else int(doc_id), ids, len(ids)]
+            for doc_id, text in zip(b.column(0), b.column(1)):
+                ids = np.append(encode(text.as_py()), np.array([end_id], "<u4")).astype("<u4")
+                held[number] = [doc_id.as_py(), ids, len(ids)]
                 rows += worker.add(number, len(ids))
                 number += 1
                 size += len(ids)
@@ -246,4 +244,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cla
         yield table(worker.close())
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text"))
-    return rows.mapInPandas(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -17,7 +17,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +29,8 @@ CELLS = 4096
 #: Payloads that occur more often are dealt over tasks by salts.
 COPIES = 4096
 EPOCH = "2000-01-01T00:00:00Z"
+#: Rows that a writer unpacks, and bytes of payloads that a reader holds, at once.
+ROWS, HELD_BYTES = 64, 4 << 20
 _MANIFEST = "shard long, file string, records long, bytes long, sha256 string"
 _RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long"
 
@@ -145,7 +147,7 @@ def write(pages: DataFrame, out: str, least_bytes: int = 0, shard_bytes: int = S
     # One task a shard.
     rows = place(both).repartitionById(max(1, shards), F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("payload").asc_nulls_first())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         from pyarrow import fs
@@ -164,39 +166,43 @@ def write(pages: DataFrame, out: str, least_bytes: int = 0, shard_bytes: int = S
             state.update(file=None, roll=state["roll"] + 1)
             return done
 
-        for b in batches:
+        def table(done: list) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names=["shard", "file", "records", "bytes", "sha256"])
+
+        for b in (part.slice(start, ROWS) for part in batches for start in range(0, len(part), ROWS)):
             done = []
-            for r in b.itertuples(index=False):
-                if r.shard != state["shard"]:
+            # Arrow's own numbers: a column with nulls stays exact.
+            for shard, page_id, url, digest_, payload, revisit_, to, to_url in zip(*(c.to_pylist() for c in b.columns)):
+                if shard != state["shard"]:
                     done += close()
-                    state.update(shard=int(r.shard), roll=0, file=None)
-                page_id = None if pd.isna(r.page_id) else int(r.page_id)
-                if (page_id, r.url) != state["page"]:
-                    state.update(page=(page_id, r.url), marks={})
-                if r.payload is None:
-                    state["marks"][r.sum] = (bool(r.revisit), None if pd.isna(r.refers_to) else int(r.refers_to), r.refers_url)
+                    state.update(shard=shard, roll=0, file=None)
+                if (page_id, url) != state["page"]:
+                    state.update(page=(page_id, url), marks={})
+                if payload is None:
+                    state["marks"][digest_] = (revisit_, to, to_url)
                     continue
                 if state.get("file") is None:
                     temp = f"{base}/.tmp-{uuid.uuid4().hex}"
                     state.update(temp=temp, file=store.open_output_stream(temp, compression=None), records=0, bytes=0, sum=hashlib.sha256())
                 # Rows equal to the stored one in id, url and payload come one after another; only the first is stored.
-                here = (page_id, r.url, r.sum)
-                mark = state["marks"].get(r.sum)
+                here = (page_id, url, digest_)
+                mark = state["marks"].get(digest_)
                 again = mark is not None and not mark[0] and here == state["last"]
                 state["last"] = here
-                revisit, refers, refers_url = (True, page_id, r.url) if again else mark or (False, None, None)
-                data = gzip_member(record(page_id, r.url, bytes(r.payload), refers, revisit, refers_url))
+                revisit, refers, refers_url = (True, page_id, url) if again else mark or (False, None, None)
+                data = gzip_member(record(page_id, url, payload, refers, revisit, refers_url))
                 state["file"].write(data)
                 state["sum"].update(data)
                 state["records"] += 1
                 state["bytes"] += len(data)
                 if state["bytes"] >= roll_bytes:
                     done += close()
-            yield pd.DataFrame(done, columns=["shard", "file", "records", "bytes", "sha256"])
-        yield pd.DataFrame(close(), columns=["shard", "file", "records", "bytes", "sha256"])
+            yield table(done)
+        yield table(close())
 
     manifest = f"{out}/manifest"
-    rows.select("shard", "page_id", "url", "sum", "payload", "revisit", "refers_to", "refers_url").mapInPandas(run, _MANIFEST).write.parquet(manifest)
+    rows.select("shard", "page_id", "url", "sum", "payload", "revisit", "refers_to", "refers_url").mapInArrow(run, _MANIFEST).write.parquet(manifest)
     return spark.read.schema(_MANIFEST).parquet(manifest)
 
 
@@ -235,19 +241,18 @@ def read(manifest: DataFrame, out: str, payloads: bool = True) -> DataFrame:
     Without ``payloads`` that column is null.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(out)
-        columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset"]
+        columns = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "file": pa.string(), "offset": pa.int64()}
 
-        def table(rows: list) -> pd.DataFrame:
-            df = pd.DataFrame(rows, columns=columns)
-            return df.assign(page_id=pd.array(df["page_id"].to_list(), "Int64"), refers_to=pd.array(df["refers_to"].to_list(), "Int64"))
+        def table(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(columns.values())], names=list(columns))
 
         number = lambda x: None if x is None else int(x)
         for b in batches:
-            for name in b["file"]:
+            for name in b.column(0).to_pylist():
                 rows, size = [], 0
                 with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for offset, data in records(stream):
@@ -255,13 +260,13 @@ def read(manifest: DataFrame, out: str, payloads: bool = True) -> DataFrame:
                         full = head["WARC-Type"] == "response"
                         rows.append((number(head.get("X-Page-ID")), head.get("WARC-Target-URI"), payload if full and payloads else None, int(http["Content-Length"]), head["WARC-Payload-Digest"][5:], head["WARC-Type"], number(head.get("X-Refers-To-Page-ID")), name, offset))
                         size += len(payload)
-                        if size > 4 << 20:
+                        if size > HELD_BYTES:
                             yield table(rows)
                             rows, size = [], 0
                 yield table(rows)
 
     n = max(1, min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return manifest.select("file").repartition(n, "file").mapInPandas(run, _RECORD)
+    return manifest.select("file").repartition(n, "file").mapInArrow(run, _RECORD)
 
 
 def archive(pages: DataFrame, least_bytes: int = 0, payloads: bool = True) -> DataFrame:
@@ -270,7 +275,8 @@ def archive(pages: DataFrame, least_bytes: int = 0, payloads: bool = True) -> Da
     Null html is an empty payload; a null url has no target; a null id is
     written without one and read back as null; repeated rows are records of
     their own, the first stored and the rest revisits; an empty table gives
-    no files and no rows; other columns are left out.
+    no files and no rows; other columns are left out.  Ids stay exact 64-bit
+    numbers.
     """
     out = fresh_path(pages.sparkSession, "warc")
     return read(write(pages, out, least_bytes), out, payloads)
