@@ -8,6 +8,8 @@ shared folder and read back as the next one's input.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rejects null texts, texts without letters and those whose best language
     has a share below ``LEAST_SCORE``.  Where no row is labelled, nothing can
-    be rejected for its language, so all texts with letters stay.
+    be rejected for its language, so all texts with letters stay.  Only texts
+    go to Python; all columns stay as they are, whatever their type or name.
     """
     langs, net = language.fit(docs)
     if net is None:
         return docs.where(language.has_letter(F.coalesce("text", F.lit(""))))
-    judged = language.predict(docs, langs, net, keep=tuple(docs.columns), text_kept=True, names=("_language", "_share"))
-    return judged.where((F.col("_language") != language.UNKNOWN) & (F.col("_share") >= LEAST_SCORE)).select(*docs.columns)
+    names = (f"_language_{uuid.uuid4().hex}", f"_share_{uuid.uuid4().hex}")  # no column of the input is called so
+    judged = language.predict(docs, langs, net, keep=tuple(docs.columns), names=names)
+    return judged.where((F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE)).drop(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences of ``documents`` after all stages.
+
+    Rows with null or empty texts go in the first stage, repeated rows and
+    near copies in the second; an empty table gives no rows; ids, null ones
+    among them, stay exact; other columns travel along unread.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
