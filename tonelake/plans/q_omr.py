@@ -110,8 +110,7 @@ def _barrows(spark, sf):
 
 
 # The oracle gives every system its pool by a join of ranges and counts the bars themselves.
-@query("c34_infer_meters", with_tables(_CELLS + """,
-kept AS (SELECT b.*, CASE WHEN ticks IS NULL THEN 1 ELSE 0 END AS kind, CASE WHEN ticks IS NULL THEN slashes * 480 ELSE ticks END AS size FROM barrows b
+METERS = """kept AS (SELECT b.*, CASE WHEN ticks IS NULL THEN 1 ELSE 0 END AS kind, CASE WHEN ticks IS NULL THEN slashes * 480 ELSE ticks END AS size FROM barrows b
  WHERE ticks IS NULL OR NOT ((system = 0 AND bar = 0) OR (system = (SELECT max(system) FROM systems s WHERE s.score_id = b.score_id)
   AND bar = (SELECT max(bar) FROM barrows o WHERE o.score_id = b.score_id AND o.system = b.system AND o.part = b.part)))),
 member AS (SELECT p.score_id, p.system AS pool, k.system FROM systems p JOIN systems k ON k.score_id = p.score_id AND k.system BETWEEN p.system AND p.system + 3
@@ -123,8 +122,11 @@ led AS (SELECT *, sum(n) OVER (PARTITION BY score_id, pool) AS total, row_number
 best AS (SELECT l.*, s.unsigned, n >= 3 AND 5 * n >= 3 * total AS strong FROM led l JOIN systems s ON s.score_id = l.score_id AND s.system = l.pool WHERE r = 1 AND size <> nominal),
 named AS (SELECT *, CASE WHEN strong THEN CASE WHEN size % 480 = 0 AND size // 480 BETWEEN 2 AND 7 THEN size // 480 WHEN size % 240 = 0 AND size // 240 BETWEEN 5 AND 13 THEN size // 240 END
  WHEN unsigned AND CASE WHEN total < 3 THEN n = 2 ELSE (total <= 4 AND n >= 2 AND 5 * n >= 3 * total) OR (n >= 4 AND n >= 2 * rival AND 5 * n >= 2 * total) END
- THEN CASE size WHEN 960 THEN 2 WHEN 1440 THEN 3 WHEN 1920 THEN 4 WHEN 720 THEN 3 WHEN 2160 THEN 9 WHEN 2880 THEN 12 END END AS top FROM best)
-SELECT score_id, CAST(pool AS INTEGER) AS system, CAST(top AS INTEGER) AS numerator, CAST(CASE WHEN size = 480 * top THEN 4 ELSE 8 END AS INTEGER) AS denominator, CAST(n AS BIGINT) AS bars, CAST(total AS BIGINT) AS total, NOT strong AS low_confidence FROM named WHERE top IS NOT NULL"""))
+ THEN CASE size WHEN 960 THEN 2 WHEN 1440 THEN 3 WHEN 1920 THEN 4 WHEN 720 THEN 3 WHEN 2160 THEN 9 WHEN 2880 THEN 12 END END AS top FROM best)"""
+METER_COLUMNS = "CAST(pool AS INTEGER) AS system, CAST(top AS INTEGER) AS numerator, CAST(CASE WHEN size = 480 * top THEN 4 ELSE 8 END AS INTEGER) AS denominator, CAST(n AS BIGINT) AS bars, CAST(total AS BIGINT) AS total, NOT strong AS low_confidence"
+
+
+@query("c34_infer_meters", with_tables(f"{_CELLS},\n{METERS}\nSELECT score_id, {METER_COLUMNS} FROM named WHERE top IS NOT NULL"))
 def c34_meters(spark, sf):
     """Meters that systems without a trusted signature add up to."""
     rows = _barrows(spark, sf)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -34,5 +36,16 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='tonelake-')}"
+        own = getattr(spark.sparkContext, "_tonelake_folder", None)
+        if own is None:
+            own = spark.sparkContext._tonelake_folder = tempfile.mkdtemp(prefix="tonelake-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = f"file://{own}"
     return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, which several later steps read: its plan is run once and ends there."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
