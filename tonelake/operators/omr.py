@@ -185,11 +185,13 @@ def without_lines(ink: np.ndarray, staff: Staff) -> np.ndarray:
     """The page without a staff's lines, where nothing crosses them."""
     out, most = ink.copy(), staff.thick * 1.6 + 1
     for y in staff.lines:
-        top, bottom = int(y - staff.space / 2), int(y + staff.space / 2) + 1
-        for x in range(staff.left, staff.right):
-            for a, b in runs(ink[top:bottom, x]):
-                if b - a <= most and a + top <= y + 1.5 and b + top >= y - 0.5:
-                    out[top + a : top + b, x] = False
+        top, bottom = max(0, int(y - staff.space / 2)), min(len(ink), int(y + staff.space / 2) + 1)
+        part = ink[top:bottom, staff.left : staff.right]
+        rows = np.arange(top, bottom)[:, None]
+        # First and last row of the run of ink that each pixel belongs to.
+        first = np.maximum.accumulate(np.where(part, top, rows + 1), 0)
+        last = np.minimum.accumulate(np.where(part, bottom, rows)[::-1], 0)[::-1]
+        out[top:bottom, staff.left : staff.right][part & (last - first <= most) & (first <= y + 1.5) & (last >= y - 0.5)] = False
     return out
 
 
