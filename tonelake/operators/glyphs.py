@@ -20,6 +20,8 @@ from . import omr
 KINDS = ("sharp", "flat", "natural", "quarter_rest", "eighth_rest", "block_rest", "dot", "treble", "bass")
 # How far an accidental or a dot stands from its head, in staff spaces.
 BEFORE_HEAD, AFTER_HEAD = 2.6, 1.9
+#: Rows above and below a staff that belong to it, in staff spaces.
+BAND = 6.0
 #: A path is an arc if so much of it is ink, and if it bows so far, in staff spaces, between its ends.
 INK, BOW = 0.82, 0.2
 #: So much of it has to be ink that is not a staff line's: of a tie, and of a slur to another place, which crosses lines.
@@ -208,7 +210,7 @@ def path_between(weight: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return path, float(total.min())
 
 
-def arc(clean: np.ndarray, ink: np.ndarray, a: dict, b: dict, space: float) -> tuple[np.ndarray, np.ndarray] | None:
+def arc(clean: np.ndarray, ink: np.ndarray, a: dict, b: dict, space: float, others: list[dict] = ()) -> tuple[np.ndarray, np.ndarray] | None:
     """Columns and rows of an arc from head ``a`` to head ``b``, on the same side of both; none if there is none.
 
     It begins and ends close to the heads, is nearly all ink (a line that was
@@ -227,6 +229,8 @@ def arc(clean: np.ndarray, ink: np.ndarray, a: dict, b: dict, space: float) -> t
             continue
         part, lines = clean[rows, x0 : x1 + 1], ink[rows, x0 : x1 + 1]
         weight = np.where(part, 0.0, np.where(lines, 0.2, 1.0))
+        for h in others:  # no arc runs through a head
+            weight[np.ix_(np.abs(rows - h["y"]) <= 0.5 * d, np.abs(np.arange(x0, x1 + 1) - h["x"]) <= 0.65 * d)] = len(weight[0])
         edge = lambda h, rows=rows, sign=sign: np.where((sign * (rows - h["y"]) >= 0.4 * d) & (sign * (rows - h["y"]) <= 1.4 * d), 0.0, np.inf)
         path, cost = path_between(weight, edge(a), edge(b))
         if not np.isfinite(cost):
@@ -239,15 +243,22 @@ def arc(clean: np.ndarray, ink: np.ndarray, a: dict, b: dict, space: float) -> t
 
 
 def arcs(clean: np.ndarray, ink: np.ndarray, heads: list[dict], space: float) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(head, head, columns, rows)`` of all arcs from a head, by place in ``heads`` (from left to right), to the next one and to the next on its line or space."""
-    out = []
+    """``(head, head, columns, rows)`` of all arcs from a head, by place in ``heads`` (from left to right), to the next one and to the next on its line or space.
+
+    Near heads come first: an arc that runs along ink of one found before is that one.
+    """
+    pairs = set()
     for i, h in enumerate(heads):
         later = [j for j in range(i + 1, len(heads)) if heads[j]["x"] - h["x"] > space]
         same = next((j for j in later if heads[j]["step"] == h["step"]), None)
-        for j in dict.fromkeys(x for x in (same, later[0] if later else None) if x is not None):
-            found = arc(clean, ink, h, heads[j], space)
-            if found is not None:
-                out.append((i, j, *found))
+        pairs |= {(j - i, i, j) for j in (same, later[0] if later else None) if j is not None}
+    out, taken, reach = [], np.zeros(clean.shape, bool), max(1, int(0.3 * space))
+    for _, i, j in sorted(pairs):
+        found = arc(clean, ink, heads[i], heads[j], space, [h for k, h in enumerate(heads[i : j + 1], i) if k not in (i, j)])
+        if found is not None and taken[found[1], found[0]].mean() < 0.3:
+            out.append((i, j, *found))
+            for x, y in zip(*found):
+                taken[max(0, y - reach) : y + reach + 1, x] = True
     return out
 
 
@@ -300,14 +311,19 @@ def read_symbols(rgba: np.ndarray) -> list[tuple]:
     ink = omr.rotated(ink, omr.skew(ink))
     staves = omr.staves(ink)
     out = []
-    for number, (staff, (system, part)) in enumerate(zip(staves, grouped(ink, staves))):
+    page = ink
+    for number, (whole, (system, part)) in enumerate(zip(staves, grouped(page, staves))):
+        # A staff is read in its own band of the page, so the work does not grow with the page's height.
+        above = max(0, int(whole.lines[0] - BAND * whole.space))
+        ink = page[above : int(whole.lines[4] + BAND * whole.space)]
+        staff = omr.Staff([y - above for y in whole.lines], whole.left, whole.right, whole.space, whole.thick)
         clean = omr.without_lines(ink, staff)
         bars = omr.barlines(ink, staff, clean)
         heads = omr.heads(clean, staff, ink)
         key = clef(clean, staff)
         if key is not None:  # its loops are no heads
             heads = [h for h in heads if h["x"] > key["x1"]]
-            out.append((number, system, part, key["kind"], key["x"], key["y"], 0, False))
+            out.append((number, system, part, key["kind"], key["x"], above + key["y"], 0, False))
         step = lambda y, s=staff: int(np.floor((s.middle - y) / (s.space / 2) + 0.5))
         kept = []
         for h in heads:
@@ -317,7 +333,7 @@ def read_symbols(rgba: np.ndarray) -> list[tuple]:
         curves = arcs(clean, ink, kept, staff.space)
         ends = {b for a, b, *_ in curves if kept[a]["step"] == kept[b]["step"]}
         for i, h in enumerate(kept):
-            out.append((number, system, part, "hollow" if h["hollow"] else "solid", h["x"], h["y"], h["step"], i in ends))
+            out.append((number, system, part, "hollow" if h["hollow"] else "solid", h["x"], above + h["y"], h["step"], i in ends))
         for p in pieces(clean, staff, kept, bars, curves):
             kind = p["kind"]
             if kind in ("treble", "bass") or (key is not None and p["x"] <= key["x1"]):
@@ -328,8 +344,8 @@ def read_symbols(rgba: np.ndarray) -> list[tuple]:
             y = p["y1"] - 0.6 * staff.space if kind == "flat" else p["y"]
             if not in_place(kind, p["x"], y, kept, staff):
                 continue
-            out.append((number, system, part, kind, p["x"], y, step(y), False))
-        out += [(number, system, part, "barline", b, staff.middle, 0, False) for b in bars]
+            out.append((number, system, part, kind, p["x"], above + y, step(y), False))
+        out += [(number, system, part, "barline", b, whole.middle, 0, False) for b in bars]
     return out
 
 

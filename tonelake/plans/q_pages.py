@@ -51,7 +51,7 @@ def draw(rows: pd.DataFrame, clefs: bool = True) -> np.ndarray:
                 _put(ink, shape, x - 18, y if r.kind != 2 else y + 0.6 * d_ - shape.shape[0] / 2)
             if r.kind == 4:
                 _put(ink, glyphs.drawn("dot", d_), x + 14, y - (d_ / 2 if r.step % 2 == 0 else 0))
-            if r.arc and after is not None:
+            if r.arc:
                 x1, y1, sign = x_of(after), y_of(after), 1 if up else -1
                 for t in np.linspace(0, 1, 200):
                     px, py = x + 8 + t * (x1 - x - 16), y + t * (y1 - y) + sign * (8 + 32 * t * (1 - t))
@@ -94,7 +94,9 @@ def pages(spark, sf):
         a = draw(rows.sort_values(["staff", "slot"]))
         return pd.DataFrame([(int(rows["score_id"].iloc[0]), 0, a.shape[1], a.shape[0], a.tobytes())], columns=[c.split()[0] for c in PAGE.split(", ")])
 
-    return drawn(spark, sf).groupBy("score_id").applyInPandas(page, PAGE)
+    # A few rows become megabytes: the number of partitions is given, or they would be put together before they grow.
+    n = 4 * spark.sparkContext.defaultParallelism
+    return drawn(spark, sf).repartition(n, "score_id").groupBy("score_id").applyInPandas(page, PAGE)
 
 
 def _symbols(spark, sf):
