@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,21 +29,25 @@ def candidates(truth: DataFrame, found: DataFrame, tolerance: int) -> DataFrame:
 def match_notes(truth: DataFrame, found: DataFrame, tolerance: int) -> DataFrame:
     """One-to-one matches ``(score_id, t, f, off)``, nearest onsets first.
 
-    Greedy choice is sequential within one score, the group that is handed to
-    a task.
+    Greedy choice is sequential, but only notes of one pitch compete: a score's
+    pitches are dealt over tasks, and what is kept in memory is one of them.
     """
 
-    def greedy(p: pd.DataFrame) -> pd.DataFrame:
-        used_t, used_f, keep = set(), set(), []
-        p = p.sort_values(["off", "t", "f"], kind="stable")
-        for i, t, f in zip(p.index, p["t"], p["f"]):
-            if t not in used_t and f not in used_f:
-                used_t.add(t)
-                used_f.add(f)
-                keep.append(i)
-        return p.loc[keep, ["score_id", "t", "f", "off"]]
-
-    return candidates(truth, found, tolerance).groupBy("score_id").applyInPandas(greedy, "score_id long, t long, f long, off long")
+    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, used_t, used_f = None, set(), set()
+        for p in batches:
+            keep = []
+            for i, (score, pitch, t, f) in enumerate(zip(p["score_id"], p["pitch"], p["t"], p["f"])):
+                if (score, pitch) != key:
+                    key, used_t, used_f = (score, pitch), set(), set()
+                if t not in used_t and f not in used_f:
+                    used_t.add(t)
+                    used_f.add(f)
+                    keep.append(i)
+            yield p.iloc[keep][["score_id", "t", "f", "off"]]
+
+    dealt = candidates(truth, found, tolerance).select("score_id", "pitch", "off", "t", "f").repartition("score_id", "pitch")
+    return dealt.sortWithinPartitions("score_id", "pitch", "off", "t", "f").mapInPandas(greedy, "score_id long, t long, f long, off long")
 
 
 def best_offset(truth: DataFrame, found: DataFrame, bucket: int) -> DataFrame:

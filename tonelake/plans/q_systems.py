@@ -28,7 +28,7 @@ marks AS (SELECT t.score_id, t.system, p.part, t.place FROM tone t, (SELECT unne
 longs AS (SELECT t.score_id, t.system, p.part, t.place, CAST(2 + t.s % 5 AS INTEGER) AS count FROM tone t, (SELECT unnest([0, 1]) part) p WHERE t.s % 3 = 0),
 threes AS (SELECT t.score_id, t.system, p.part, t.place FROM tone t, (SELECT unnest([0, 1]) part) p WHERE t.s % 13 = 0),
 signs AS (SELECT score_id, system, part, 110.0 + 160 * n AS x0, 140.0 + 160 * n AS x1, CAST(n - 1 AS INTEGER) AS barline, CAST(3 + score_id % 2 AS INTEGER) AS numerator, CAST(score_id % 3 AS INTEGER) AS fifths FROM staves WHERE (score_id + system) % 5 = 1
- UNION ALL SELECT score_id, system, part, 262.0, 270.0, 0, CASE WHEN score_id % 2 = 0 THEN CAST(2 + system % 3 AS INTEGER) END, CASE WHEN score_id % 3 > 0 THEN CAST(system % 7 - 3 AS INTEGER) END FROM staves WHERE (score_id + system) % 7 = 3 AND n > 2),"""
+ UNION ALL SELECT score_id, system, part, 262.0, 270.0, 0, CASE WHEN score_id % 2 = 0 THEN CAST(2 + system % 3 AS INTEGER) END, CASE WHEN score_id % 3 > 0 THEN CAST(system % 7 - 3 AS INTEGER) END FROM staves WHERE (score_id + system) % 7 = 3 AND (score_id + system) % 5 <> 1 AND n > 2),"""
 
 # Cells by counting, staff by staff.
 _CELLS = _TABLES + """
@@ -62,7 +62,7 @@ def tables(spark, sf) -> dict:
     bars = size.selectExpr("score_id", "system", "part", f"explode(sequence(1, 4)) AS i", f"n - CASE WHEN {k} % 5 = 0 THEN 1 ELSE 0 END AS bars").where("i <= bars").selectExpr("score_id", "system", "part", "100D + 160 * i AS x")
     at = lambda rows, *more: rows.selectExpr("score_id", "system", "part", *more)
     late = at(size.where(f"{k} % 5 = 1"), "110D + 160 * n AS x0", "140D + 160 * n AS x1", "CAST(n - 1 AS INT) AS barline", "CAST(3 + score_id % 2 AS INT) AS numerator", "4 AS denominator", "false AS from_sign", "CAST(score_id % 3 AS INT) AS fifths", "false AS unreadable")
-    within = at(size.where(f"{k} % 7 = 3 AND n > 2"), "262D AS x0", "270D AS x1", "0 AS barline", "CASE WHEN score_id % 2 = 0 THEN CAST(2 + system % 3 AS INT) END AS numerator", "CASE WHEN score_id % 2 = 0 THEN 4 END AS denominator", "false AS from_sign", "CASE WHEN score_id % 3 > 0 THEN CAST(system % 7 - 3 AS INT) END AS fifths", "false AS unreadable")
+    within = at(size.where(f"{k} % 7 = 3 AND {k} % 5 <> 1 AND n > 2"), "262D AS x0", "270D AS x1", "0 AS barline", "CASE WHEN score_id % 2 = 0 THEN CAST(2 + system % 3 AS INT) END AS numerator", "CASE WHEN score_id % 2 = 0 THEN 4 END AS denominator", "false AS from_sign", "CASE WHEN score_id % 3 > 0 THEN CAST(system % 7 - 3 AS INT) END AS fifths", "false AS unreadable")
     return {
         "staves": staves, "barlines": bars,
         "events": base.selectExpr("score_id", "system", "part", "event_ord", "x", "voice = 2 AS rest", "false AS whole_rest", "CAST(duration * 2 AS INT) AS ticks", "velocity / 128D AS confidence"),
