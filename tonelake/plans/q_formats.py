@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sinks import files as sk
-from ..sources import abc, files, midi, musicxml, project
+from ..sources import abc, files, midi, musicxml, progress, project
 from . import derived as d
 from .registry import query
 
@@ -97,16 +97,29 @@ def k03(spark, sf):
 @query("s07_abc_tunes", d.with_sql(""", t AS (SELECT score_id, note_ord, CAST(pitch % 14 AS INTEGER) AS i, 240 * (duration // 240 + 1) AS size FROM notes)
  SELECT score_id, CAST(60 + 12 * (i // 7) + [0, 2, 4, 5, 7, 9, 11][i % 7 + 1] + CASE WHEN i % 7 IN (0, 3) THEN 1 ELSE 0 END AS BIGINT) AS pitch, CAST(sum(size) OVER (PARTITION BY score_id ORDER BY note_ord) - size AS BIGINT) AS start_tick, CAST(size AS BIGINT) AS duration FROM t""", "notes"))
 def s07(spark, sf):
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([(s, n.pitch, n.start, n.duration) for s, t in zip(b["score_id"], b["abc"]) for n in abc.read_abc(t).tracks[0].notes], columns=["score_id", "pitch", "start_tick", "duration"])
+
+    return _tunes(spark, sf).mapInPandas(run, "score_id long, pitch long, start_tick long, duration long")
+
+
+def _tunes(spark, sf):
+    """``(score_id, abc)``: every score's notes as a tune."""
     notes = d.notes(spark, sf)
     letter = F.element_at(F.array(*[F.lit(c) for c in "CDEFGABcdefgab"]), (F.col("pitch") % 14 + 1).cast("int"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("note_ord", letter.alias("l"), F.expr("duration div 240 + 1").alias("n")))), lambda x: F.concat(x["l"], x["n"].cast("string"))), " ")
-    tunes = notes.groupBy("score_id").agg(F.concat(F.lit("X:1\nM:4/4\nL:1/8\nK:D\n"), body).alias("abc"))
+    return notes.groupBy("score_id").agg(F.concat(F.lit("X:1\nM:4/4\nL:1/8\nK:D\n"), body).alias("abc"))
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame([(s, n.pitch, n.start, n.duration) for s, t in zip(b["score_id"], b["abc"]) for n in abc.read_abc(t).tracks[0].notes], columns=["score_id", "pitch", "start_tick", "duration"])
 
-    return tunes.mapInPandas(run, "score_id long, pitch long, start_tick long, duration long")
+@query("st06_import_progress", d.with_sql("SELECT count(DISTINCT score_id) AS files, count(DISTINCT score_id) FILTER (WHERE score_id % 7 = 0) AS failures, count(DISTINCT score_id) FILTER (WHERE score_id % 7 > 0) AS scores, count(DISTINCT score_id) FILTER (WHERE score_id % 7 > 0) AS tracks, count(*) FILTER (WHERE score_id % 7 > 0) AS notes FROM notes", "notes"))
+def st06(spark, sf):
+    """Counts of one import of tunes, some of them broken, as Spark observes them while it writes the table."""
+    broken = F.col("score_id") % 7 == 0
+    named = F.concat(F.lit("tune-"), F.col("score_id").cast("string"), F.when(broken, ".mid").otherwise(".abc"))
+    found = files.parsed(_tunes(spark, sf).select(named.alias("path"), F.encode(F.when(broken, "no tune").otherwise(F.col("abc")), "UTF-8").alias("content")))
+    _, seen = progress.imported(found)
+    return spark.range(1).select(*[F.lit(seen[m]).cast("long").alias(m) for m in ("files", "failures", "scores", "tracks", "notes")])
 
 
 #: A GPIF document's lists, one row per id: bars of scores, two voices, four beats each.
