@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chord_names import TEMPLATES, chord_name
 from ..functions.theory import pitch_class
+from ..session import written
 from . import timeline as tl
 
 QUALITIES = tuple(TEMPLATES)
@@ -192,16 +193,57 @@ def _events(rows: list, columns: list[str]) -> pd.DataFrame:
 CHORDS = "score_id long, tick double, duration double, name string, root int, quality string, bass int, pitches array<int>"
 
 
+def _guarded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """:func:`_choose` score by score, with ``error``: a score that fails is one row that says why, and the others go on."""
+
+    def scores() -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for p in batches:
+            for sid, part in p.groupby("score_id", sort=False):
+                if held and held[0]["score_id"].iloc[0] != sid:
+                    yield pd.concat(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield pd.concat(held)
+
+    for p in scores():
+        try:
+            out = pd.concat(list(_choose(iter([p])))).assign(error=None)
+        except Exception as e:  # a score that holds nonsense is a row, not a failed job
+            none = dict.fromkeys(("tick", "duration", "name", "root", "quality", "bass", "pitches"))
+            out = pd.DataFrame([{"score_id": p["score_id"].iloc[0], **none, "error": f"Chord detection failed: {e or type(e).__name__}"}])
+            out = out.assign(root=out["root"].astype("Int64"), bass=out["bass"].astype("Int64"), tick=out["tick"].astype(float), duration=out["duration"].astype(float))
+        yield out
+
+
+def _ordered(notes: DataFrame, bars: DataFrame, keys: DataFrame, resolution: str, ppq: int) -> DataFrame:
+    rows = profiles(notes, tl.windows(bars, resolution, ppq))
+    rows = rows.join(tl.change_lists(keys, ["fifths"], "keys"), "score_id", "left")
+    rows = rows.withColumn("flats", F.coalesce(tl.as_of(F.col("keys"), F.col("w_start"))["fifths"] < 0, F.lit(False))).drop("keys")
+    return rows.repartition("score_id").sortWithinPartitions("score_id", "w_start")
+
+
+def detect_or_keep(notes: DataFrame, bars: DataFrame, keys: DataFrame, earlier: DataFrame | None = None, resolution: str = "beat", ppq: int = 480) -> tuple[DataFrame, DataFrame]:
+    """``(chords, warnings)``: as :func:`detect`, but a score whose windows cannot be judged keeps its ``earlier`` chords and gets a warning ``(score_id, text)``.
+
+    The pass is run once and written to the shared folder, as both results read it.
+    """
+    seen = written(_ordered(notes, bars, keys, resolution, ppq).mapInPandas(_guarded, f"{CHORDS}, error string"))
+    bad = seen.where("error is not null").select("score_id", F.col("error").alias("text"))
+    chords = seen.where("error is null").drop("error")
+    if earlier is not None:
+        chords = chords.unionByName(earlier.select(*chords.columns).join(bad.select("score_id"), "score_id", "left_semi"))
+    return chords, bad
+
+
 def detect(notes: DataFrame, bars: DataFrame, keys: DataFrame, resolution: str = "beat", ppq: int = 480) -> DataFrame:
     """Chords inferred from notes.
 
     Windows, overlaps and histograms are joins and sums; only the ordered pass
     over the windows, one row each, reads a partition in order.
     """
-    rows = profiles(notes, tl.windows(bars, resolution, ppq))
-    rows = rows.join(tl.change_lists(keys, ["fifths"], "keys"), "score_id", "left")
-    rows = rows.withColumn("flats", F.coalesce(tl.as_of(F.col("keys"), F.col("w_start"))["fifths"] < 0, F.lit(False))).drop("keys")
-    return rows.repartition("score_id").sortWithinPartitions("score_id", "w_start").mapInPandas(_choose, CHORDS)
+    return _ordered(notes, bars, keys, resolution, ppq).mapInPandas(_choose, CHORDS)
 
 
 def printed_events(printed: DataFrame, bars: DataFrame) -> DataFrame:
