@@ -12,11 +12,12 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.theory import SHARPS
 from ..model import MAX_FRET, STANDARD
+from .timeline import locate
 
 # Fixed values.
 BEAM = 8
@@ -252,15 +253,16 @@ def assign_tab(notes: DataFrame, bars: DataFrame, guitar: Guitar = Guitar()) ->
         "score_id", "track_ord", "note_ord", "pitch", "start_tick", "duration",
         *[(F.col(c) if c in have else F.lit(d)).cast(t).alias(c) for c, d, t in (("voice", 0, "int"), ("string", None, "int"), ("fret", None, "int"), ("tab_locked", False, "boolean"), ("tied_from_previous", False, "boolean"))],
     )
-    grid = bars.groupBy("score_id").agg(F.sort_array(F.collect_list("end_tick")).alias("ends"))  # at most 10,001 measures
-    rows = rows.join(grid, "score_id", "left")
+    # Warnings name a note's measure, found here: one number a note goes to Python, whatever the score's length.
+    by_end = Window.partitionBy("score_id").orderBy("end_tick")
+    grid = bars.where("end_tick is not null").select("score_id", "end_tick", F.row_number().over(by_end).alias("index"), F.lag("end_tick", 1, 0).over(by_end).alias("start_tick"))
+    last = grid.groupBy("score_id").agg(F.max("index").alias("last"))
+    within = F.when(F.col("measure").isNull() & (F.col("start_tick") >= 0), F.col("last")).otherwise(F.col("measure"))
+    rows = locate(rows, grid, "start_tick").join(last, "score_id", "left").withColumn("measure", F.coalesce(within, F.lit(1))).drop("measure_start", "measure_end", "last")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        from bisect import bisect_right
-
         p = p.sort_values(["track_ord", "note_ord"], kind="stable").reset_index(drop=True)
-        ends = [] if p["ends"].iloc[0] is None else list(p["ends"].iloc[0])
-        measure_of = lambda t: min(bisect_right(ends, t) + 1, max(1, len(ends)))
+        measure_of = dict(zip(p["start_tick"].astype(int), p["measure"].astype(int))).__getitem__
         items = []
         for r in p.itertuples():
             spot = None if pd.isna(r.string) or pd.isna(r.fret) else (int(r.string), int(r.fret))
