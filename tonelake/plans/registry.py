@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("q_timeline", "q_theory", "q_chords", "q_edits", "q_metrics", "q_formats", "q_play", "q_text", "q_stream", "q_omr", "q_systems", "q_pages", "q_tuplets", "q_readers")
+_MODULES = ("q_timeline", "q_theory", "q_chords", "q_edits", "q_metrics", "q_formats", "q_play", "q_text", "q_stream", "q_omr", "q_systems", "q_pages", "q_tuplets", "q_readers", "q_words")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
