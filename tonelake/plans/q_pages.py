@@ -5,6 +5,8 @@ What is drawn follows from a score's rows, in Spark; the SQL says what was drawn
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -18,6 +20,12 @@ TOP, STAFF = 70, 140
 PAGE = "score_id long, page int, width int, height int, rgba binary"
 
 
+@cache
+def drawing(kind: str, space: float) -> np.ndarray:
+    """A symbol's drawing, made once a worker."""
+    return glyphs.drawn(kind, space)
+
+
 def draw(rows: pd.DataFrame, clefs: bool = True) -> np.ndarray:
     """Pixels of one score's page; ``rows`` in order: staff, slot, kind (0 to 8), step, arc."""
     score, d_, n = int(rows["score_id"].iloc[0]), SPACE, int(rows["staff"].max()) + 1
@@ -31,7 +39,7 @@ def draw(rows: pd.DataFrame, clefs: bool = True) -> np.ndarray:
         if s % (score % 4 + 1):  # joined to the staff above
             ink[top - STAFF : top + 4 * d_ + 2, LEFT : LEFT + 3] = True
         if clefs:
-            _put(ink, glyphs.drawn("treble" if score % 2 == 0 else "bass", d_), 80, top + 2 * d_ + 1)
+            _put(ink, drawing("treble" if score % 2 == 0 else "bass", d_), 80, top + 2 * d_ + 1)
     y_of = lambda r: TOP + STAFF * r.staff + 2 * d_ + 0.5 - r.step * d_ / 2
     x_of = lambda r: FIRST + WIDE * r.slot
     yy, xx = np.mgrid[0 : ink.shape[0], 0 : ink.shape[1]]
@@ -47,17 +55,18 @@ def draw(rows: pd.DataFrame, clefs: bool = True) -> np.ndarray:
             else:
                 ink[int(y) : int(y) + 33, x - 6 : x - 4] = True
             if r.kind in (1, 2, 3):
-                shape = glyphs.drawn(("sharp", "flat", "natural")[r.kind - 1], d_)
+                shape = drawing(("sharp", "flat", "natural")[r.kind - 1], d_)
                 _put(ink, shape, x - 18, y if r.kind != 2 else y + 0.6 * d_ - shape.shape[0] / 2)
             if r.kind == 4:
-                _put(ink, glyphs.drawn("dot", d_), x + 14, y - (d_ / 2 if r.step % 2 == 0 else 0))
+                _put(ink, drawing("dot", d_), x + 14, y - (d_ / 2 if r.step % 2 == 0 else 0))
             if r.arc:
                 x1, y1, sign = x_of(after), y_of(after), 1 if up else -1
-                for t in np.linspace(0, 1, 200):
-                    px, py = x + 8 + t * (x1 - x - 16), y + t * (y1 - y) + sign * (8 + 32 * t * (1 - t))
-                    ink[int(py) : int(py) + 3, int(px) : int(px) + 2] = True
+                t = np.linspace(0, 1, 200)
+                px, py = x + 8 + t * (x1 - x - 16), y + t * (y1 - y) + sign * (8 + 32 * t * (1 - t))
+                for i in range(6):
+                    ink[py.astype(int) + i // 2, px.astype(int) + i % 2] = True
         elif r.kind in (5, 6):
-            _put(ink, glyphs.drawn(("quarter_rest", "eighth_rest")[r.kind - 5], d_), x, middle)
+            _put(ink, drawing(("quarter_rest", "eighth_rest")[r.kind - 5], d_), x, middle)
         else:  # on the middle line, or under the line above
             a, b = (middle - 6, middle) if r.kind == 7 else (middle - d_, middle - d_ + 6)
             ink[a:b, x - 7 : x + 7] = True
@@ -87,16 +96,27 @@ def drawn(spark, sf):
     return slots.withColumn("arc", F.coalesce((F.col("kind") <= 4) & (F.col("velocity") % 2 == 0) & after.isin(0, 4), F.lit(False)))
 
 
-def pages(spark, sf):
-    """One page a score."""
+def drawn_pages(rows, draw):
+    """One page a score, by a function from its rows to pixels."""
+    columns = [c for c in rows.columns if c != "score_id"]
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        a = draw(rows.sort_values(["staff", "slot"]))
-        return pd.DataFrame([(int(rows["score_id"].iloc[0]), 0, a.shape[1], a.shape[0], a.tobytes())], columns=[c.split()[0] for c in PAGE.split(", ")])
+    def run(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                a = draw(pd.DataFrame({"score_id": r.score_id, **{c: getattr(r, c) for c in columns}}))
+                yield pd.DataFrame([(r.score_id, 0, a.shape[1], a.shape[0], a.tobytes())], columns=[c.split()[0] for c in PAGE.split(", ")])
 
     # A few rows become megabytes: the number of partitions is given, or they would be put together before they grow.
-    n = 4 * spark.sparkContext.defaultParallelism
-    return drawn(spark, sf).repartition(n, "score_id").groupBy("score_id").applyInPandas(page, PAGE)
+    # They are dealt by a hash of the key: dealt by the key itself, as they already are, they would stay in the few partitions they are in.
+    spark = rows.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = rows.groupBy("score_id").agg(F.collect_list(F.struct(*columns)).alias("r")).select("score_id", *[F.col(f"r.{c}").alias(c) for c in columns])
+    return whole.repartition(n, F.xxhash64("score_id")).mapInPandas(run, PAGE)
+
+
+def pages(spark, sf):
+    """One page a score."""
+    return drawn_pages(drawn(spark, sf), lambda rows: draw(rows.sort_values(["staff", "slot"])))
 
 
 def _symbols(spark, sf):
@@ -122,4 +142,4 @@ def c13_ties(spark, sf):
 @query("c11_systems_of_staves", d.with_sql("SELECT score_id, CAST(staff AS INTEGER) AS staff, CAST(staff // (score_id % 4 + 1) AS INTEGER) AS system, CAST(staff % (score_id % 4 + 1) AS INTEGER) AS part FROM (SELECT DISTINCT score_id, note_ord // 8 AS staff FROM notes) x", "notes"))
 def c11_systems(spark, sf):
     """Staves joined into systems of one to four by the ink between them."""
-    return _symbols(spark, sf).where("kind = 'barline'").select("score_id", "staff", "system", "part")
+    return glyphs.barlines(pages(spark, sf)).select("score_id", "staff", "system", "part")
