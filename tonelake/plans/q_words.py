@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import words
 from . import derived as d
-from .q_pages import PAGE
+from .q_pages import drawn_pages
 from .registry import query
 
 LEFT, FIRST, WIDE = 40, 80, 70
@@ -67,14 +67,7 @@ def drawn(spark, sf):
 
 def pages(spark, sf):
     """One page a score."""
-
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        a = draw(rows)
-        return pd.DataFrame([(int(rows["score_id"].iloc[0]), 0, a.shape[1], a.shape[0], a.tobytes())], columns=[c.split()[0] for c in PAGE.split(", ")])
-
-    # A few rows become megabytes: the number of partitions is given, or they would be put together before they grow.
-    n = 4 * spark.sparkContext.defaultParallelism
-    return drawn(spark, sf).repartition(n, "score_id").groupBy("score_id").applyInPandas(page, PAGE)
+    return drawn_pages(drawn(spark, sf), draw)
 
 
 @query("c14_word_boxes", d.with_sql("""SELECT score_id, CAST(staff AS INTEGER) AS staff, CAST(x AS INTEGER) AS x0, CAST(x + [10, 24, 20, 34][kind + 1] AS INTEGER) AS x1, CAST(y AS INTEGER) AS y0, CAST(y + 14 AS INTEGER) AS y1, CAST([1, 2, 2, 3][kind + 1] AS INTEGER) AS letters
