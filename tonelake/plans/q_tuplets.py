@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assembly, tuplets
 from . import derived as d
-from .q_pages import PAGE, SPACE, _put
+from .q_pages import SPACE, _put, drawn_pages
 from .registry import query
 
 LEFT, FIRST, WIDE, BETWEEN = 40, 110, 34, 24
@@ -18,6 +20,12 @@ TOP, STAFF = 110, 170
 TRIPLETS, BEAMED = (0, 1, 5), (1, 4, 5, 6)
 
 
+@cache
+def drawing(n: int, space: float) -> np.ndarray:
+    """A digit's drawing, made once a worker."""
+    return tuplets.drawn_digit(n, space)
+
+
 def draw(rows: pd.DataFrame) -> np.ndarray:
     """Pixels of one score's page; ``rows``: note_ord, step, kind, whole (a group of three), up, slope, the last four the same in a group."""
     rows = rows.sort_values("note_ord")
@@ -60,15 +68,16 @@ def draw(rows: pd.DataFrame) -> np.ndarray:
                     a, b = sorted((y, y - side * 8))
                     ink[a : b + 2, x] = True
         if kind in (0, 3):
-            _put(ink, tuplets.drawn_digit(3 if kind == 0 else 5, SPACE), centre, at)
+            _put(ink, drawing(3 if kind == 0 else 5, SPACE), centre, at)
         elif kind == 5:
-            _put(ink, tuplets.drawn_digit(3, SPACE), centre, at + side * 13)
+            _put(ink, drawing(3, SPACE), centre, at + side * 13)
         elif kind == 1:
-            _put(ink, tuplets.drawn_digit(3, SPACE), (stem[0] + stem[-1] + 1) / 2, middle + side * 58)
+            _put(ink, drawing(3, SPACE), (stem[0] + stem[-1] + 1) / 2, middle + side * 58)
         elif kind == 6:
-            for t in np.linspace(0, 1, 300):
-                px, py = x0 + t * (x1 - x0), middle + side * (54 + 28 * t * (1 - t))
-                ink[int(py) : int(py) + 2, int(px) : int(px) + 2] = True
+            t = np.linspace(0, 1, 300)
+            px, py = x0 + t * (x1 - x0), middle + side * (54 + 28 * t * (1 - t))
+            for i in range(4):
+                ink[py.astype(int) + i // 2, px.astype(int) + i % 2] = True
     out = np.full((*ink.shape, 4), 255, np.uint8)
     out[ink, :3] = 0
     return out
@@ -94,14 +103,7 @@ def drawn(spark, sf) -> DataFrame:
 
 def pages(spark, sf) -> DataFrame:
     """One page a score."""
-
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        a = draw(rows)
-        return pd.DataFrame([(int(rows["score_id"].iloc[0]), 0, a.shape[1], a.shape[0], a.tobytes())], columns=[c.split()[0] for c in PAGE.split(", ")])
-
-    # A few rows become megabytes: the number of partitions is given, or they would be put together before they grow.
-    n = 4 * spark.sparkContext.defaultParallelism
-    return drawn(spark, sf).repartition(n, "score_id").groupBy("score_id").applyInPandas(page, PAGE)
+    return drawn_pages(drawn(spark, sf), draw)
 
 
 @query("c31_tuplets", _sql("""SELECT score_id, CAST(staff AS INTEGER) AS staff, CAST(note_ord % 9 AS INTEGER) AS head, step, whole AND kind IN (1, 4, 5, 6) AS beamed,
