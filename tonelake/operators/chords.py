@@ -96,21 +96,28 @@ class _Candidates:
         s -= np.where(self.marked & (hist[:, self.mark] < 0.6 * hist[:, self.root]), 0.3, 0.0)
         return s - self.size + self.low[bass]
 
-    def concentrated(self, hist: np.ndarray) -> np.ndarray:
-        """``(windows, 204)``: nearly all sound is the candidate's, with its root, third and fifth."""
-        match, non = self._sums(hist)
+    def concentrated(self, hist: np.ndarray, ticks: np.ndarray) -> np.ndarray:
+        """``(windows, 204)``: nearly all sound is the candidate's, with its root, third and fifth.
+
+        Three quarters are told by ``ticks``, whose sums are exact: sums of the shares ``hist`` miss the limit by rounding.
+        """
+        match, non = self._sums(ticks)
         there = hist > PRESENT
         count = lambda mask: there.astype(int) @ mask.T.astype(int)
-        return (match >= 0.75) & (non <= 0.25) & (count(self.tones > 0) >= 3) & there[:, self.root] & (count(self.third) > 0) & (count(self.fifth) > 0)
+        return (match >= 3 * non) & (count(self.tones > 0) >= 3) & there[:, self.root] & (count(self.third) > 0) & (count(self.fifth) > 0)
 
 
 _ALL = _Candidates()
 _TRIADS = np.array([c for c in range(len(_ALL.root)) if QUALITIES[c % len(QUALITIES)] in ("", "m")])
 
 
+def _ticks(p: pd.DataFrame) -> np.ndarray:
+    return np.stack(p["hist"].to_numpy()).astype(float)
+
+
 def _shares(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Normalised histograms, their totals, the lowest firm pitch (-1 if none) and its class, of a batch of windows."""
-    hist = np.stack(p["hist"].to_numpy()).astype(float)
+    hist = _ticks(p)
     total = np.zeros(len(p))
     for pc in range(12):
         total = total + hist[:, pc]
@@ -125,7 +132,7 @@ def judged(rows: DataFrame) -> DataFrame:
         for p in batches:
             if len(p):
                 share, _, _, bass = _shares(p)
-                yield p[["score_id", "measure", "w"]].assign(scores=list(_ALL.scores(share, bass)), concentrated=list(_ALL.concentrated(share)))
+                yield p[["score_id", "measure", "w"]].assign(scores=list(_ALL.scores(share, bass)), concentrated=list(_ALL.concentrated(share, _ticks(p))))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return rows.select("score_id", "measure", "w", "hist", "bass").mapInPandas(run, f"score_id {kinds['score_id']}, measure {kinds['measure']}, w {kinds['w']}, scores array<double>, concentrated array<boolean>")
@@ -147,7 +154,7 @@ def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         start, end = p["w_start"].to_numpy(float), p["w_end"].to_numpy(float)
         length, sounding = end - start, p["together"].to_numpy(float)
         usable = ~((total < length * 0.3) | ((share > 0).sum(1) < 2) | (length <= 0))
-        scores, firm = _ALL.scores(share, bass_pc), _ALL.concentrated(share)
+        scores, firm = _ALL.scores(share, bass_pc), _ALL.concentrated(share, _ticks(p))
         best, triad = scores.argmax(1), _TRIADS[scores[:, _TRIADS].argmax(1)]
         ids, flats, pitches_of, held_of = p["score_id"].to_list(), p["flats"].to_list(), p["pitches"].to_list(), p["held"].to_list()
         done = []

@@ -184,7 +184,7 @@ def f13(spark, sf):
 
 @query("a08_concentrated_windows", _sql(""" , hh AS (SELECT score_id, measure, w, pitch % 12 AS pc, sum(b - a) AS v FROM ov GROUP BY 1, 2, 3, 4),
  hs AS (SELECT *, v / sum(v) OVER (PARTITION BY score_id, measure, w) AS s FROM hh)
- SELECT score_id, measure, w FROM hs GROUP BY 1, 2, 3 HAVING sum(CASE WHEN pc IN (0, 4, 7) THEN s ELSE 0 END) >= 0.75 AND count(*) FILTER (WHERE pc IN (0, 4, 7) AND s > 0.02) = 3"""))
+ SELECT score_id, measure, w FROM hs GROUP BY 1, 2, 3 HAVING sum(CASE WHEN pc IN (0, 4, 7) THEN v ELSE 0 END) >= 0.75 * sum(v) AND count(*) FILTER (WHERE pc IN (0, 4, 7) AND s > 0.02) = 3"""))
 def a08(spark, sf):
     """Windows whose sound is nearly all one major triad on C, the first candidate but for its quality's place."""
     major = ch.QUALITIES.index("")
