@@ -121,7 +121,7 @@ walk AS (
  SELECT system, score_id, coalesce(mid_top, num2), CASE WHEN mid_top IS NOT NULL THEN 4 ELSE den2 END, known2 OR mid_top IS NOT NULL, trusted2, key2n, CAST(tick + first_bars * (1920 * num2 // den2) + rest_bars * 480 * coalesce(mid_top, 0) AS BIGINT), CAST(measure + greatest(bars, 1) AS BIGINT), num2, den2, NOT known AND known2, NOT known2 AND mid_top IS NOT NULL FROM (
   SELECT *, CASE WHEN mid_at IS NOT NULL THEN mid_at ELSE greatest(bars, 1) END AS first_bars, CASE WHEN mid_at IS NOT NULL THEN bars - mid_at ELSE 0 END AS rest_bars,
    CASE WHEN override THEN gnum WHEN top IS NOT NULL THEN top WHEN takes THEN gnum ELSE num END AS num2, CASE WHEN override THEN gden WHEN top IS NOT NULL THEN 4 WHEN takes THEN gden ELSE den END AS den2, known OR top IS NOT NULL OR takes AS known2 FROM (
-   SELECT *, coalesce(own IS NOT NULL AND NOT from_sign AND top <> 4 AND NOT low AND agree >= 4 AND agree >= 0.75 * total AND 1920 * gnum // gden <> 480 * top, pend_top IS NOT NULL AND own IS NULL AND top <> 4 AND NOT low AND agree >= 4 AND agree >= 0.75 * total AND 1920 * gnum // gden <> 480 * top, false) AS override,
+   SELECT *, coalesce(own IS NOT NULL AND NOT from_sign AND top <> 4 AND NOT low AND agree >= 4 AND agree >= 0.75 * total AND 1920 * gnum // gden <> 480 * top, false) OR coalesce(pend_top IS NOT NULL AND own IS NULL AND top <> 4 AND NOT low AND agree >= 4 AND agree >= 0.75 * total AND 1920 * gnum // gden <> 480 * top, false) AS override,
     CASE WHEN top IS NULL THEN trusted WHEN own IS NOT NULL THEN from_sign OR NOT unreadable ELSE NOT unreadable END AS trusted2,
     top IS NULL AND gnum IS NOT NULL AND 1920 * gnum // gden <> 1920 * num // den AND (NOT low OR system = 0 OR NOT trusted) AND (NOT known OR NOT trusted OR pend OR unreadable OR inside OR coalesce(key <> key2n, false)) AS takes FROM (
     SELECT n.*, w.num, w.den, w.known, w.trusted, w.key, w.tick, w.measure, coalesce(n.own, n.pend_top) AS top,
