@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..batches import records, table
 from ..sinks import files as sk
 from ..sources import abc, files, midi, musicxml, progress, project
 from . import derived as d
@@ -52,16 +53,14 @@ def _assembled(spark, sf):
     return sk.assembled(d.notes(spark, sf), d.time_signatures(spark, sf), d.key_signatures(spark, sf), d.tempos(spark, sf))
 
 
-def _back(spark, sf, write, read, schema="score_id long, pitch long, start_tick long, duration long, track_ord long"):
+def _back(spark, sf, write, read):
+    schema = pa.schema([(c, pa.int64()) for c in ("score_id", "pitch", "start_tick", "duration", "track_ord")])
+
     def run(batches):
-        for b in batches:
-            rows = []
-            for sid, data in zip(b["score_id"], b["content"]):
-                for k, t in enumerate(read(bytes(data)).tracks):
-                    rows += [(sid, n.pitch, n.start, n.duration, k) for n in t.notes]
-            yield pd.DataFrame(rows, columns=["score_id", "pitch", "start_tick", "duration", "track_ord"])
+        for part in records(batches):
+            yield table([(r["score_id"], n.pitch, n.start, n.duration, k) for r in part for k, t in enumerate(read(r["content"]).tracks) for n in t.notes], schema)
 
-    return sk.export(_assembled(spark, sf), write).mapInPandas(run, schema)
+    return sk.export(_assembled(spark, sf), write).mapInArrow(run, "score_id long, pitch long, start_tick long, duration long, track_ord long")
 
 
 _TRACKS = "SELECT score_id, CAST(dense_rank() OVER (PARTITION BY score_id ORDER BY track_ord) - 1 AS BIGINT) AS track_ord, pitch, start_tick, duration FROM notes"
@@ -97,11 +96,13 @@ def k03(spark, sf):
 @query("s07_abc_tunes", d.with_sql(""", t AS (SELECT score_id, note_ord, CAST(pitch % 14 AS INTEGER) AS i, 240 * (duration // 240 + 1) AS size FROM notes)
  SELECT score_id, CAST(60 + 12 * (i // 7) + [0, 2, 4, 5, 7, 9, 11][i % 7 + 1] + CASE WHEN i % 7 IN (0, 3) THEN 1 ELSE 0 END AS BIGINT) AS pitch, CAST(sum(size) OVER (PARTITION BY score_id ORDER BY note_ord) - size AS BIGINT) AS start_tick, CAST(size AS BIGINT) AS duration FROM t""", "notes"))
 def s07(spark, sf):
+    schema = pa.schema([(c, pa.int64()) for c in ("score_id", "pitch", "start_tick", "duration")])
+
     def run(batches):
-        for b in batches:
-            yield pd.DataFrame([(s, n.pitch, n.start, n.duration) for s, t in zip(b["score_id"], b["abc"]) for n in abc.read_abc(t).tracks[0].notes], columns=["score_id", "pitch", "start_tick", "duration"])
+        for part in records(batches):
+            yield table([(r["score_id"], n.pitch, n.start, n.duration) for r in part for n in abc.read_abc(r["abc"]).tracks[0].notes], schema)
 
-    return _tunes(spark, sf).mapInPandas(run, "score_id long, pitch long, start_tick long, duration long")
+    return _tunes(spark, sf).mapInArrow(run, "score_id long, pitch long, start_tick long, duration long")
 
 
 def _tunes(spark, sf):

@@ -7,8 +7,10 @@ import math
 import wave
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..batches import records, table
 from ..functions import theory as th
 from ..operators import audio, layout
 from ..operators import playback as pb
@@ -225,16 +227,15 @@ def f30(spark, sf):
     rows = d.notes(spark, sf).groupBy("score_id").agg(seq.alias("n"))
 
     def run(batches):
-        import pandas as pd
-
-        for b in batches:
+        schema = pa.schema([("score_id", pa.int64()), ("note_ord", pa.int32()), ("start_tick", pa.int64()), ("duration", pa.int64())])
+        for part in records(batches):
             out = []
-            for s, n in zip(b["score_id"], b["n"]):
-                q = audio.quantize([(x["start_tick"] / 900, (x["start_tick"] + x["duration"]) / 900, x["pitch"], 1.0) for x in n], 110)
-                out += [(s, i, x["start"], x["duration"]) for i, x in enumerate(q)]
-            yield pd.DataFrame(out, columns=["score_id", "note_ord", "start_tick", "duration"])
+            for r in part:
+                q = audio.quantize([(x["start_tick"] / 900, (x["start_tick"] + x["duration"]) / 900, x["pitch"], 1.0) for x in r["n"]], 110)
+                out += [(r["score_id"], i, x["start"], x["duration"]) for i, x in enumerate(q)]
+            yield table(out, schema)
 
-    return rows.mapInPandas(run, "score_id long, note_ord int, start_tick long, duration long")
+    return rows.mapInArrow(run, "score_id long, note_ord int, start_tick long, duration long")
 
 
 _BOXES = """, bx AS (SELECT score_id, note_ord // 128 AS page, note_ord AS ord, start_tick AS start, note_ord % 16 / 16.0::DOUBLE AS x, note_ord // 16 % 8 / 8.0::DOUBLE AS y, 0.03125::DOUBLE AS w, 0.03125::DOUBLE AS h FROM notes),

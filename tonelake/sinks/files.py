@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import records, table
 from ..operators.tab import Guitar
 from ..sources.midi import write_midi
 from ..sources.project import write_project
@@ -67,8 +68,10 @@ def as_tab(s: Score) -> bytes:
 def export(rows: DataFrame, write: Callable[[Score], bytes]) -> DataFrame:
     """``(score_id, content)`` of assembled scores."""
 
+    schema = pa.schema([("score_id", pa.int64()), ("content", pa.binary())])
+
     def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"score_id": b["score_id"], "content": [write(to_score(r)) for r in b.to_dict("records")]})
+        for part in records(batches):
+            yield table([(r["score_id"], write(to_score(r))) for r in part], schema)
 
-    return rows.mapInPandas(run, "score_id long, content binary")
+    return rows.mapInArrow(run, "score_id long, content binary")

@@ -8,10 +8,11 @@ import re
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import records
 from . import abc, guitarpro, midi, musicxml, project
 from .score import FormatError, Score, base_name, decode, extension
 
@@ -21,6 +22,8 @@ KINDS = {
     "gp3": "guitarpro", "gp4": "guitarpro", "gp5": "guitarpro", "gpx": "guitarpro", "gp": "guitarpro", "pdf": "pdf",
     "png": "image", "jpg": "image", "jpeg": "image", "webp": "image", "mp3": "audio", "wav": "audio", "m4a": "audio", "ogg": "audio", "flac": "audio",
 }
+#: Parsed files are handed on once they hold so many notes.
+NOTES_AT_ONCE = 5000
 _NOTE = "pitch:int,start:bigint,duration:bigint,velocity:int,voice:int,spelling:struct<step:string,alter:int,octave:int>,tab:struct<string:int,fret:int>,locked:boolean,tied:boolean,articulations:array<string>,confidence:double"
 PARSED = (
     "path string, kind string, error string, title string, composer string, source string, ppq int, warnings array<string>, meta_json string, "
@@ -28,6 +31,19 @@ PARSED = (
     "meters array<struct<tick:bigint,numerator:int,denominator:int>>, keys array<struct<tick:bigint,fifths:int,mode:string>>, tempos array<struct<tick:bigint,bpm:double>>"
 )
 
+_listed = lambda **fields: pa.list_(pa.struct(list(fields.items())))
+_INT, _LONG, _TEXT, _FLAG, _REAL = pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.float64()
+_NOTES = _listed(
+    pitch=_INT, start=_LONG, duration=_LONG, velocity=_INT, voice=_INT, spelling=pa.struct([("step", _TEXT), ("alter", _INT), ("octave", _INT)]), tab=pa.struct([("string", _INT), ("fret", _INT)]),
+    locked=_FLAG, tied=_FLAG, articulations=pa.list_(_TEXT), confidence=_REAL,
+)
+#: ``PARSED`` in Arrow's types.
+_ARROW = pa.schema([
+    *[(c, _TEXT) for c in ("path", "kind", "error", "title", "composer", "source")], ("ppq", _INT), ("warnings", pa.list_(_TEXT)), ("meta_json", _TEXT),
+    ("tracks", _listed(id=_TEXT, name=_TEXT, program=_INT, target=_FLAG, notes=_NOTES)),
+    ("meters", _listed(tick=_LONG, numerator=_INT, denominator=_INT)), ("keys", _listed(tick=_LONG, fifths=_INT, mode=_TEXT)), ("tempos", _listed(tick=_LONG, bpm=_REAL)),
+])
+
 
 def detect_kind(name: Column, head: Column) -> Column:
     """Kind by extension, else by the first bytes; ``zip`` still has to be looked into."""
@@ -89,10 +105,12 @@ def parsed(files: DataFrame) -> DataFrame:
     """The same for rows of ``(path, content)``."""
     rows = files.select("path", detect_kind(F.col("path"), F.col("content")).alias("kind"), "content")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for p, kind, data in zip(b["path"], b["kind"], b["content"]):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in records(batches):
+            out, notes = [], 0
+            for r in part:
+                p, kind, data = r["path"], r["kind"], r["content"]
                 kind = zip_kind(data) if kind == "zip" else kind
                 row = {"path": p, "kind": kind, "error": None, "title": None, "composer": None, "source": None, "ppq": None, "warnings": None, "meta_json": None, "tracks": None, "meters": None, "keys": None, "tempos": None}
                 try:
@@ -102,10 +120,15 @@ def parsed(files: DataFrame) -> DataFrame:
                 else:
                     d = s.as_dict()
                     row |= {"title": s.meta.get("title"), "composer": s.meta.get("composer"), "source": s.meta.get("source"), "ppq": s.ppq, "warnings": s.warnings, "meta_json": json.dumps(s.meta), **{k: d[k] for k in ("tracks", "meters", "keys", "tempos")}}
+                    notes += sum(len(t.notes) for t in s.tracks)
                 out.append(row)
-            yield pd.DataFrame(out)
+                if notes >= NOTES_AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(out, _ARROW)
+                    out, notes = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, _ARROW)
 
-    return rows.mapInPandas(run, PARSED)
+    return rows.mapInArrow(run, PARSED)
 
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
