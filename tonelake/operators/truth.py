@@ -8,7 +8,7 @@ from xml.etree import ElementTree as ET
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.notation import KINDS, plain_quality, root_pc
@@ -116,6 +116,18 @@ def piece_scores(truth: DataFrame, found: DataFrame, tolerance: int = 60) -> Dat
     return sizes.select("score_id", x.alias("x")).select("score_id", "x.*")
 
 
+def least_distance(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(score_id, ord, mate)``: the assignment of least total distance between places on a line.
+
+    Both sides hold ``(score_id, ord, at)``, equally many a score.  Two pairs
+    that cross are never nearer than the same four places paired in order, so
+    the k-th place of one side meets the k-th of the other, equal places by
+    ``ord``: windows and a join, where :func:`least_cost` takes a matrix.
+    """
+    ranked = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy("score_id").orderBy("at", "ord")))
+    return ranked(left).join(ranked(right).select("score_id", "_r", F.col("ord").alias("mate")), ["score_id", "_r"]).select("score_id", "ord", "mate")
+
+
 def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
     """The assignment of rows to columns of least total cost, infinite costs left out.
 
