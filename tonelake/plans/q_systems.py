@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import assembly, systems
+from ..session import written
 from . import derived as d
 from .q_omr import METER_COLUMNS, METERS, with_tables
 from .registry import query
@@ -45,13 +46,15 @@ cells AS MATERIALIZED (SELECT *, CAST(coalesce(sum(reps) OVER (PARTITION BY scor
 
 def tables(spark, sf) -> dict:
     """What was read of every system, as the operators take it."""
-    base = d.notes(spark, sf).selectExpr(
+    # Notes are put in order once and written: else every table below would sort them again, several in one task.
+    base = written(d.notes(spark, sf).selectExpr(
         "score_id", "CAST(note_ord DIV 16 AS INT) AS system", "CAST(track_ord AS INT) AS part", "CAST(note_ord DIV 4 % 4 AS INT) AS place", "CAST(note_ord AS INT) AS event_ord", "pitch", "duration", "velocity", "voice",
         "CAST(120 + 160 * (note_ord DIV 4 % 4) + 40 * (note_ord % 4) AS DOUBLE) AS x",
-    )
+    ))
     both = F.explode(F.array(F.lit(0), F.lit(1))).alias("part")
-    tone = base.groupBy("score_id", "system", "place").agg(F.sum("pitch").alias("s")).select("score_id", "system", "place", "s", both)
-    size = base.groupBy("score_id", "system").agg((F.max("place") + 1).alias("n")).select("score_id", "system", "n", both)
+    places = written(base.groupBy("score_id", "system", "place").agg(F.sum("pitch").alias("s")))
+    tone = places.select("score_id", "system", "place", "s", both)
+    size = written(places.groupBy("score_id", "system").agg((F.max("place") + 1).alias("n"))).select("score_id", "system", "n", both)
     k = "(score_id + system)"
     staves = size.selectExpr(
         "score_id", "CAST(system DIV 3 AS INT) AS page", "system", "part", "100D AS music_start", f"100D + 160 * n + CASE WHEN {k} % 5 = 1 THEN 60 ELSE 0 END AS right", "10D AS space",
