@@ -4,24 +4,28 @@ A first pass over whole texts lists the places the rules find and all
 candidates: runs of token characters that mix kinds of characters, and values
 that are assigned to a name.  Candidates that a rule found are labelled as
 findings; others as none where they read as words and numbers.  What looks drawn
-at random though no rule found it has no label: the network learns from a
-bounded sample of the labelled ones and decides.  Findings are also shown to it
-with other surroundings and with their characters drawn anew, so that it judges
-by the look of a value and not by the rules' words alone.  Scores are calibrated on values it did not learn from, and
-each form of candidate has the highest threshold that keeps the recall asked for.
+at random though no rule found it has no label: the network decides.  Every
+distinct labelled value counts: one in four is for calibration, from all others
+the network learns.  They are dealt into parts, each part's task carries the
+network on over its own values, and the networks are averaged, round by round.
+Findings are also shown to it with other surroundings and with their characters
+drawn anew, so that it judges by the look of a value and not by the rules' words
+alone.  Scores are calibrated on all values it did not learn from, and each form
+of candidate has the highest threshold that keeps the recall asked for.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import discard, materialize, text_of
 
 # The rules, and the least length of what they find.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -41,8 +45,14 @@ BARE, ASSIGNED, ORDINARY = 0, 1, 2
 #: Characters before and after a candidate that the network sees.
 BEFORE, AFTER = 24, 8
 WIDTHS, FILTERS = (2, 4), 12
-#: The training sample: so many findings and as many others, so many characters of each; their distinct values are dealt into slots by hash.
-SAMPLE, SAMPLE_CHARS, SLOTS = 2000, 96, 8192
+#: The network reads rows in pieces of so many characters, so many pieces at once.
+PIECE, PIECES = 128, 1024
+#: Values are dealt into parts of about so many bytes; each has about so many of the rarer label too, or all of them.
+PART_BYTES, LEAST = 1 << 20, 512
+#: Rounds after which the parts' networks are averaged, so many at once; steps of each part in all rounds at least; rows and pieces of a label in a step.
+ROUNDS, NETS, STEPS, STEP_ROWS, STEP_PIECES = 4, 32, 300, 32, 512
+#: Cells into which the scores between two bounds are counted.
+CELLS = 1024
 #: Of the labelled findings that calibration sees, at least this share scores above the threshold.
 RECALL = 0.98
 #: Values whose hash has this remainder by four are for calibration.
@@ -87,6 +97,24 @@ def codes(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
+def pieces(code: np.ndarray) -> np.ndarray:
+    """``(n, PIECE)`` codes of the whole row between edges of zeros; pieces overlap, so that no place is lost."""
+    edge = max(WIDTHS)
+    step = PIECE - edge + 1
+    n = -(-(len(code) + edge + 1) // step)
+    row = np.pad(code, (edge, n * step - 1 - len(code)))
+    return np.lib.stride_tricks.sliding_window_view(row, PIECE)[::step]
+
+
+def steps_of(order: np.ndarray, cut: list[np.ndarray]) -> list[np.ndarray]:
+    """All rows in their order, by the step that learns from them: at most about ``STEP_ROWS`` rows and ``STEP_PIECES`` pieces, one row at least."""
+    if not len(order):
+        return []
+    share = np.array([max(1 / STEP_ROWS, len(cut[i]) / STEP_PIECES) for i in order])
+    step = np.floor((np.cumsum(share) - share / 2) * np.ceil(share.sum()) / share.sum())
+    return np.split(order, np.flatnonzero(np.diff(step)) + 1)
+
+
 class Net:
     """Filters slide over the characters; each one's largest response feeds a logistic unit."""
 
@@ -100,42 +128,61 @@ class Net:
     def params(self) -> list[np.ndarray]:
         return [t for w in WIDTHS for t in self.tables[w]] + [self.bias, self.out, self.out_bias]
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Logits, pooled responses and their places of rows of equal length."""
+    def forward(self, x: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Logits, pooled responses and their places (piece, offset) of rows of equal length, or of rows cut into such pieces, each row's first at ``starts``."""
         pooled, places = [], []
         for w in WIDTHS:
-            n = x.shape[1] - w + 1
-            r = sum(self.tables[w][j][x[:, j : j + n]] for j in range(w))
-            places.append(r.argmax(1))
-            pooled.append(np.take_along_axis(r, places[-1][:, None], 1)[:, 0])
+            n, top, at = x.shape[1] - w + 1, [], []
+            for some in range(0, len(x), PIECES):
+                r = sum(self.tables[w][j][x[some : some + PIECES, j : j + n]] for j in range(w))
+                at.append(r.argmax(1))
+                top.append(np.take_along_axis(r, at[-1][:, None], 1)[:, 0])
+            top, at = np.concatenate(top), np.concatenate(at)
+            piece = np.repeat(np.arange(len(x))[:, None], FILTERS, 1)
+            if starts is not None and len(starts) < len(x):
+                most = np.maximum.reduceat(top, starts)
+                reached = top == np.repeat(most, np.diff(np.r_[starts, len(x)]), 0)
+                piece = np.minimum.reduceat(np.where(reached, piece, len(x)), starts)
+            pooled.append(np.take_along_axis(top, piece, 0))
+            places.append((piece, np.take_along_axis(at, piece, 0)))
         z = np.tanh(np.hstack(pooled) + self.bias)
         return z @ self.out + self.out_bias[0], z, places
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        """Of the mean cross entropy, in the order of :meth:`params`."""
-        logits, z, places = self.forward(x)
-        miss = ((1 / (1 + np.exp(-np.clip(logits, -60, 60))) - y) / len(y)).astype(np.float32)
-        dz, rows, grads = np.outer(miss, self.out) * (1 - z * z), np.arange(len(x)), []
+    def gradients(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray | None = None, weight: np.ndarray | None = None) -> list[np.ndarray]:
+        """Of the mean cross entropy, or that with the rows' weights, in the order of :meth:`params`."""
+        logits, z, places = self.forward(x, starts)
+        miss = ((1 / (1 + np.exp(-np.clip(logits, -60, 60))) - y) * (1 / len(y) if weight is None else weight)).astype(np.float32)
+        dz, grads = np.outer(miss, self.out) * (1 - z * z), []
         for i, w in enumerate(WIDTHS):
-            d = dz[:, i * FILTERS : (i + 1) * FILTERS]
+            d, (piece, at) = dz[:, i * FILTERS : (i + 1) * FILTERS], places[i]
             for j in range(w):
                 g = np.zeros((256, FILTERS), np.float32)
                 for f in range(FILTERS):
-                    g[:, f] = np.bincount(x[rows, places[i][:, f] + j], d[:, f], 256)
+                    g[:, f] = np.bincount(x[piece[:, f], at[:, f] + j], d[:, f], 256)
                 grads.append(g)
         return [*grads, dz.sum(0), z.T @ miss, miss.sum(keepdims=True)]
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 64, rate: float = 0.02, seed: int = 5) -> None:
-        """Adam; both labels are drawn equally often."""
-        rng, params = np.random.default_rng(seed), self.params()
-        sides = np.flatnonzero(y == 0), np.flatnonzero(y == 1)
+    def train(self, rows: list[np.ndarray], y: np.ndarray, begin: float = 0.0, end: float = 1.0, rate: float = 0.02, seed: int = 5) -> None:
+        """Adam on the way from ``begin`` to ``end`` of 0 to 1, on which every row is learned from at least once; both labels weigh the same."""
+        rng, params, cut = np.random.default_rng(seed), self.params(), [pieces(r) for r in rows]
+        sides = [steps_of(rng.permutation(np.flatnonzero(y == side)), cut) for side in (0, 1)]
+        total = max(STEPS, *map(len, sides))
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        for step in range(1, steps + 1):
-            pick = np.concatenate([rng.choice(s, batch // 2) for s in sides])
-            for k, (p, g) in enumerate(zip(params, self.gradients(x[pick], y[pick]))):
+        for n, step in enumerate(range(round(total * begin), round(total * end)), 1):
+            picks = [side[step % len(side)] for side in sides if side]
+            pick, weight = np.concatenate(picks), np.concatenate([np.full(len(k), 1 / len(k) / len(picks)) for k in picks])
+            x, starts = np.concatenate([cut[i] for i in pick]), np.cumsum([0, *[len(cut[i]) for i in pick[:-1]]])
+            for k, (p, g) in enumerate(zip(params, self.gradients(x, y[pick], starts, weight))):
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
-                p -= (rate * (1 - 0.8 * step / steps) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                p -= (rate * (1 - 0.8 * (step + 1) / total) * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.params()]).astype(np.float64)
+
+    def put(self, flat: np.ndarray) -> None:
+        for p, values in zip(self.params(), np.split(flat, np.cumsum([p.size for p in self.params()])[:-1])):
+            p[...] = values.reshape(p.shape)
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         """Logits of rows of any lengths: the largest responses of a long one are taken block by block."""
@@ -158,8 +205,11 @@ class Model:
     def __init__(self, net: Net, slope: float, offset: float, thresholds: dict[int, float]):
         self.net, self.slope, self.offset, self.thresholds = net, slope, offset, thresholds
 
+    def of_logits(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * logits + self.offset, -60, 60)))
+
     def probability(self, rows: list[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.net.score(rows) + self.offset, -60, 60)))
+        return self.of_logits(self.net.score(rows))
 
 
 def listed(docs: DataFrame) -> DataFrame:
@@ -206,15 +256,6 @@ def listed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, base array<struct<start:long,end:long,kind:string>>, found array<struct<start:long,end:long,form:int,label:boolean,seen:binary>>")
 
 
-def _window(code: np.ndarray) -> np.ndarray:
-    """``BEFORE + SAMPLE_CHARS + AFTER`` codes and an edge of zeros: a longer candidate loses its middle."""
-    edge = max(WIDTHS)
-    most = BEFORE + SAMPLE_CHARS + AFTER
-    if len(code) > most:
-        code = np.r_[code[: most // 2], code[len(code) - (most - most // 2) :]]
-    return np.pad(code, (edge, edge + most - len(code)))
-
-
 def _redrawn(code: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """The candidate's letters and digits drawn anew from letters of both cases and digits."""
     out = code.copy()
@@ -230,74 +271,170 @@ def _moved(code: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.r_[other[: b[0]], code[a[0] : a[-1] + 1], other[b[-1] + 1 :]]
 
 
+def labelled(found: DataFrame) -> DataFrame:
+    """``(label, seen, form, h, held)``: every distinct labelled value of ``found (doc_id, base, found)``; ``held`` ones are for calibration."""
+    rows = found.select(F.explode("found").alias("c")).select("c.label", "c.form", "c.seen").where("label is not null")
+    rows = rows.groupBy("label", "seen").agg(F.min("form").alias("form")).withColumn("h", F.xxhash64("seen"))
+    return rows.withColumn("held", F.pmod("h", F.lit(4)) == HELD)
+
+
+def dealt(values: DataFrame, sizes: dict[bool, tuple[int, int]]) -> tuple[DataFrame, int]:
+    """``values`` with ``part`` and ``copy``, and the number of parts; ``sizes`` has number and bytes of each label's values.
+
+    Parts hold about ``PART_BYTES`` at any size of the input.  Each value lies
+    in a part by hash as copy 0; where a label is rare its values lie in the
+    next parts too, as further copies, so that every part knows both labels.
+    """
+    parts = max(1, -(-sum(b for _, b in sizes.values()) // PART_BYTES))
+    copies = {k: min(parts, max(1, -(-parts * min(LEAST, max(1, PART_BYTES * n // b)) // n))) if n else 1 for k, (n, b) in sizes.items()}
+    rows = values.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("label"), copies[True] - 1).otherwise(copies[False] - 1))))
+    return rows.withColumn("part", F.pmod(F.pmod(F.xxhash64("h"), F.lit(parts)) + F.col("copy"), F.lit(parts)).cast("int")), parts
+
+
+def shown(p: pd.DataFrame, part: int) -> Iterator[tuple[np.ndarray, bool, int, int]]:
+    """``(codes, label, form, copy)`` of a part's values, the same for any order of them; findings also elsewhere and with characters drawn anew."""
+    rows = sorted(zip(p["label"].tolist(), p["h"].tolist(), p["seen"].tolist(), p["form"].tolist(), p["copy"].tolist()))
+    rng, code = np.random.default_rng([9, part]), [np.frombuffer(r[2], np.uint8) for r in rows]
+    no = [c for c, r in zip(code, rows) if not r[0]]
+    for c, (label, _, _, form, copy) in zip(code, rows):
+        yield c, label, form, copy
+        if label:
+            there = no[rng.integers(len(no))] if no else c
+            yield _moved(c, there), label, BARE, copy
+            yield _redrawn(c, rng), label, form, copy
+            yield _moved(_redrawn(c, rng), there), label, BARE, copy
+
+
+def learned(rows: DataFrame, parts: int) -> Net:
+    """A network that has learned from all values of ``rows``, dealt as by :func:`dealt`.
+
+    In each round every part's task carries the network on; the results are
+    averaged ``NETS`` at a time until one is left, each with the weight of its values.
+    """
+    net = Net()
+
+    def carried_on(before: np.ndarray, turn: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+        def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+            here = Net()
+            here.put(before)
+            code, label, _, _ = zip(*shown(p, key[0]))
+            here.train(list(code), np.array(label, np.float32), turn / ROUNDS, (turn + 1) / ROUNDS)
+            return pd.DataFrame({"part": [key[0]], "n": [len(p)], "net": [here.flat().tobytes()]})
+
+        return run
+
+    def merged(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("part")
+        mean = sum(n * np.frombuffer(data) for n, data in zip(p["n"], p["net"])) / p["n"].sum()
+        return pd.DataFrame({"part": [key[0]], "n": [p["n"].sum()], "net": [mean.tobytes()]})
+
+    for turn in range(ROUNDS):
+        nets = materialize(rows.repartition(parts, "part").groupBy("part").applyInPandas(carried_on(net.flat(), turn), "part int, n long, net binary"), "secret-nets")
+        left = parts
+        while left > 1:
+            fewer = materialize(nets.groupBy(F.expr(f"cast(part div {NETS} as int)").alias("part_of")).applyInPandas(merged, "part int, n long, net binary"), "secret-nets")
+            discard(nets)
+            nets, left = fewer, -(-left // NETS)
+        net.put(np.frombuffer(bytes(nets.first()["net"])))
+        discard(nets)
+    return net
+
+
 def fit(found: DataFrame, recall: float = RECALL) -> Model | None:
     """Train on the candidates of ``found (doc_id, base, found)``; nothing where either label is missing.
 
-    The sample is of distinct values: each of ``SLOTS`` slots a label gives the
-    one with its least hash, and of those ``SAMPLE`` are taken, so it does not
-    grow with the input and does not depend on how often a value occurs.
+    All distinct labelled values take part, however often one occurs: most are
+    learned from, those of a fourth of the hashes are scored, and calibration
+    and thresholds are of all of these scores.
     """
-    rows = found.select(F.explode("found").alias("c")).select("c.label", "c.form", "c.seen").where("label is not null")
-    rows = rows.withColumn("h", F.xxhash64("seen"))
-    least = rows.groupBy("label", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h"))
-    ranked = least.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("h"), "h"))).where(F.col("r") <= SAMPLE)
-    picked = materialize(ranked.select("label", "h"), "secret-sample")  # at most 2 * SAMPLE rows
-    part = F.expr(f"concat(substring(seen, 1, {BEFORE + SAMPLE_CHARS}), substring(seen, greatest({BEFORE + SAMPLE_CHARS} + 1, length(seen) - {SAMPLE_CHARS // 2 + AFTER} + 1)))")
-    got = rows.join(F.broadcast(picked), ["label", "h"]).groupBy("label", "h").agg(F.min(F.struct("form", part.alias("seen"))).alias("x")).orderBy("label", "h").collect()
-    code = [np.frombuffer(bytes(r["x"]["seen"]), np.uint8) for r in got]
-    label, form, held = (np.array(v) for v in zip(*[(int(r["label"]), r["x"]["form"], r["h"] % 4 == HELD) for r in got])) if got else (np.zeros(0),) * 3
-    fit_for = lambda side, out: np.flatnonzero((label == side) & (held == out))
-    if not len(fit_for(1, False)) or not len(fit_for(0, False)):
+    values = materialize(labelled(found), "secret-values")
+    size = F.greatest(F.length("seen"), F.lit(PIECE)).cast("long")
+    sizes = {(r["label"], r["held"]): (r["n"], r["b"]) for r in values.groupBy("label", "held").agg(F.count("*").alias("n"), F.sum(size).alias("b")).collect()}
+    of = lambda out: {label: sizes.get((label, out), (0, 0)) for label in (True, False)}
+    if not all(n for n, _ in of(False).values()):
+        discard(values)
         return None
-    rng = np.random.default_rng(9)
-
-    def shown(out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows, labels and forms; findings also elsewhere and with characters drawn anew."""
-        yes, no = fit_for(1, out), fit_for(0, out)
-        rows, labels, forms = [], [], []
-        for i in [*yes, *no]:
-            variants = [(code[i], form[i])]
-            if label[i]:
-                there = code[rng.choice(no)] if len(no) else code[i]
-                variants += [(_moved(code[i], there), BARE), (_redrawn(code[i], rng), form[i]), (_moved(_redrawn(code[i], rng), there), BARE)]
-            for c, f in variants:
-                rows.append(_window(c))
-                labels.append(label[i])
-                forms.append(f)
-        return np.array(rows), np.array(labels, np.float32), np.array(forms)
-
-    net = Net()
-    x, y, _ = shown(False)
-    net.train(x, y)
+    net = learned(*dealt(values.where("not held"), of(False)))
     # Few labels leave nothing to calibrate on: then those that were learned from serve.
-    x, y, forms = shown(len(fit_for(1, True)) > 4 and len(fit_for(0, True)) > 4)
-    logits = net.forward(x)[0].astype(np.float64)
-    slope, offset = calibrated(logits, y)
-    p = 1 / (1 + np.exp(-np.clip(slope * logits + offset, -60, 60)))
-    thresholds = {f: threshold(p[(y == 1) & (forms == f)], recall) if ((y == 1) & (forms == f)).any() else threshold(p[y == 1], recall) for f in (BARE, ASSIGNED)}
-    return Model(net, slope, offset, thresholds)
-
-
-def calibrated(logits: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and offset that make logits log odds: Newton's steps on the cross entropy, with smoothed labels and both labels of equal weight."""
-    yes, no = max(1.0, (y == 1).sum()), max(1.0, (y == 0).sum())
-    aim = np.where(y == 1, (yes + 1) / (yes + 2), 1 / (no + 2))
-    weight, w = np.where(y == 1, 0.5 / yes, 0.5 / no), np.array([1.0, 0.0])
-    x = np.c_[logits, np.ones(len(logits))]
-    loss = lambda v: (weight * (np.logaddexp(0, x @ v) - aim * (x @ v))).sum()
+    out = all(n > 4 for n, _ in of(True).values())
+    rows, parts = dealt(values.where(F.col("held") == out), of(out))
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        code, label, form = zip(*[x[:3] for x in shown(p, key[0]) if not x[3]]) if (p["copy"] == 0).any() else ((), (), ())
+        return pd.DataFrame({"logit": net.score(list(code)), "label": np.array(label, bool), "form": np.array(form, np.int32)})
+
+    scores = materialize(rows.repartition(parts, "part").groupBy("part").applyInPandas(run, "logit double, label boolean, form int"), "secret-scores")
+    slope, offset = calibrated(scores)
+    model = Model(net, slope, offset, {})
+    yes = scores.where("label").withColumn("x", F.col("logit") * (1.0 if slope >= 0 else -1.0))
+    counts = {r["form"]: r["n"] for r in yes.groupBy("form").agg(F.count("*").alias("n")).collect()}
+    for form in (BARE, ASSIGNED):
+        n, some = (counts[form], yes.where(F.col("form") == form)) if form in counts else (sum(counts.values()), yes)
+        model.thresholds[form] = float(model.of_logits(kth_largest(some, kept(n, recall)) * (1.0 if slope >= 0 else -1.0)))
+    discard(scores)
+    discard(values)
+    return model
+
+
+def calibrated(scores: DataFrame, steps: int = 60) -> tuple[float, float]:
+    """Slope and offset that make the logits of all ``scores (logit, label)`` log odds.
+
+    Newton's steps on the cross entropy, with smoothed labels and both labels of
+    equal weight; each pass over the table tries a step in eight lengths.
+    """
+    n = {r["label"]: r["n"] for r in scores.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    yes, no = max(1, n.get(True, 0)), max(1, n.get(False, 0))
+    by_label = lambda a, b: F.when(F.col("label"), F.lit(a)).otherwise(F.lit(b))
+    weight, aim, x = by_label(0.5 / yes, 0.5 / no), by_label((yes + 1) / (yes + 2), 1 / (no + 2)), F.col("logit")
+
+    def sums(w: np.ndarray) -> list[Column]:
+        """Loss, gradient and curvature at ``w``."""
+        z = x * float(w[0]) + float(w[1])
+        p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(60.0)), F.lit(-60.0))))
+        loss, miss, bend = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - aim * z, p - aim, p * (1 - p)
+        return [F.sum(weight * v) for v in (loss, miss * x, miss, bend * x * x, bend * x, bend)]
+
+    w, rate = np.array([1.0, 0.0]), 1.0
+    here = scores.agg(*[v.alias(str(i)) for i, v in enumerate(sums(w))]).first()
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
-        move = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (weight * (p - aim)))
-        rate = 1.0
-        while rate > 1e-6 and loss(w - rate * move) > loss(w):
-            rate /= 2
-        w = w - rate * move
+        move = np.linalg.solve(np.array([[here[3], here[4]], [here[4], here[5]]]) + 1e-9 * np.eye(2), np.array(here[1:3]))
+        tried = [w - rate / 2**i * move for i in range(8)]
+        seen = scores.agg(*[v.alias(f"{i}_{j}") for i, t in enumerate(tried) for j, v in enumerate(sums(t))]).first()
+        found = [(t, seen[6 * i : 6 * i + 6]) for i, t in enumerate(tried) if seen[6 * i] < here[0]]
+        if found:
+            gain, rate = here[0] - found[0][1][0], 1.0
+            w, here = found[0]
+            if gain <= 1e-12 * abs(here[0]):
+                break
+        elif rate > 1e-6:
+            rate /= 2**8
+        else:
+            break
     return float(w[0]), float(w[1])
 
 
+def kth_largest(rows: DataFrame, k: int) -> float:
+    """The ``k``-th largest of all ``x``, counted from 1: cells between two bounds are counted, then those within the cell it lies in, until one value is left."""
+    low, high = rows.agg(F.min("x"), F.max("x")).first()
+    while low < high:
+        cell = F.least(F.floor((F.col("x") - low) / (high - low) * CELLS), F.lit(CELLS - 1))
+        inside = rows.where(F.col("x").between(low, high)).groupBy(cell.alias("cell"))
+        for r in inside.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy(F.desc("cell")).collect():
+            if k <= r["n"]:
+                break
+            k -= r["n"]
+        low, high = r["low"], r["high"]
+    return low
+
+
+def kept(n: int, recall: float) -> int:
+    """How many of ``n`` make up at least ``recall``, one at least."""
+    return max(1, int(np.ceil(recall * n)))
+
+
 def threshold(p: np.ndarray, recall: float) -> float:
     """The highest value that at least ``recall`` of ``p`` reach."""
-    return float(np.sort(p)[::-1][max(0, int(np.ceil(recall * len(p))) - 1)])
+    return float(np.sort(p)[::-1][kept(len(p), recall) - 1])
 
 
 def scan(docs: DataFrame, recall: float = RECALL) -> DataFrame:
