@@ -50,7 +50,7 @@ PIECE, PIECES = 128, 1024
 #: Values are dealt into parts of about so many bytes; each has about so many of the rarer label too, or all of them.
 PART_BYTES, LEAST = 1 << 20, 512
 #: Rounds after which the parts' networks are averaged, so many at once; steps of each part in all rounds at least; rows and pieces of a label in a step.
-ROUNDS, NETS, STEPS, STEP_ROWS, STEP_PIECES = 4, 32, 300, 32, 512
+ROUNDS, NETS, STEPS, STEP_ROWS, STEP_PIECES = 4, 32, 300, 32, 128
 #: Cells into which the scores between two bounds are counted.
 CELLS = 1024
 #: Of the labelled findings that calibration sees, at least this share scores above the threshold.
