@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..model import DEFAULT_PPQ
 
+#: Where :func:`measures` stops if nothing else is said; queries do not stop.
 MAX_MEASURES = 10_001
+#: Measures of a run that are made at once, so no array grows with a score's length.
+CHUNK = 4096
 
 
 def change_lists(changes: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -38,8 +41,8 @@ def measure_ticks(ppq: Column, numerator: Column, denominator: Column) -> Column
     return ppq * 4 * numerator / denominator
 
 
-def measures(lengths: DataFrame, time_signatures: DataFrame, ppq: int = DEFAULT_PPQ) -> DataFrame:
-    """``(score_id, index, start_tick, end_tick, numerator, denominator)``.
+def measures(lengths: DataFrame, time_signatures: DataFrame, ppq: int = DEFAULT_PPQ, most: int | None = MAX_MEASURES) -> DataFrame:
+    """``(score_id, index, start_tick, end_tick, numerator, denominator)``; at most ``most`` a score, all of them if None.
 
     A signature takes effect at the first measure that starts at or after it.
     Between two changes measures are a regular grid, so the fold runs over the
@@ -74,14 +77,16 @@ def measures(lengths: DataFrame, time_signatures: DataFrame, ppq: int = DEFAULT_
     rows = rows.withColumn("fold", done)
     last = F.greatest(F.lit(0), F.ceil((F.col("total") - F.col("fold.at")) / size(F.col("fold.sig")))).cast("long")
     runs = F.concat(F.col("fold.runs"), F.array(run(F.col("fold"), last)))
-    rows = rows.select("score_id", "total", F.explode(runs).alias("r")).where("r.count > 0 and r.at < total")
-    length = F.lit(float(ppq * 4)) * F.col("r.numerator") / F.col("r.denominator")
-    shown = F.least(F.col("r.count"), F.ceil((F.col("total") - F.col("r.at")) / length).cast("long"), F.lit(MAX_MEASURES) - F.col("r.index"))
-    rows = rows.withColumn("len", length).where(shown > 0).select("score_id", "r", "len", F.explode(F.sequence(F.lit(0).cast("long"), shown - 1)).alias("i"))
+    rows = rows.select("score_id", "total", F.explode(runs).alias("r")).select("score_id", "total", "r.*").where("count > 0 and at < total")
+    length = F.lit(float(ppq * 4)) * F.col("numerator") / F.col("denominator")
+    shown = F.least(F.col("count"), F.ceil((F.col("total") - F.col("at")) / length).cast("long"), *([] if most is None else [F.lit(most) - F.col("index")]))
+    rows = rows.select("score_id", "index", "at", "numerator", "denominator", length.alias("len"), (shown - 1).alias("last")).where("last >= 0")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(CHUNK).cast("long"))).alias("begin"))
+    rows = rows.select("*", F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + (CHUNK - 1), F.col("last")))).alias("i"))
     return rows.select(
-        "score_id", (F.col("r.index") + F.col("i")).cast("long").alias("index"),
-        (F.col("r.at") + F.col("i") * F.col("len")).alias("start_tick"), (F.col("r.at") + (F.col("i") + 1) * F.col("len")).alias("end_tick"),
-        F.col("r.numerator").alias("numerator"), F.col("r.denominator").alias("denominator"),
+        "score_id", (F.col("index") + F.col("i")).cast("long").alias("index"),
+        (F.col("at") + F.col("i") * F.col("len")).alias("start_tick"), (F.col("at") + (F.col("i") + 1) * F.col("len")).alias("end_tick"),
+        "numerator", "denominator",
     )
 
 

@@ -125,7 +125,7 @@ def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.timeline import measures, score_lengths
 
-    return measures(score_lengths(notes(spark, sf_dir)), time_signatures(spark, sf_dir))
+    return measures(score_lengths(notes(spark, sf_dir)), time_signatures(spark, sf_dir), most=None)
 
 
 def beats(spark: SparkSession, sf_dir: str, resolution: str = "beat") -> DataFrame:
