@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from tonelake.plans import derived as d
 from tonelake.plans import registry
+from tonelake.sinks.musicxml import bars_of, write_musicxml
+from tonelake.sources.musicxml import read_musicxml
+from tonelake.sources.score import Note, Score, Track
 
 
 def test_no_measure_is_left_out(spark, tmp_path):
@@ -20,3 +23,14 @@ def test_no_measure_is_left_out(spark, tmp_path):
     # The last sixty notes are a C major triad, far beyond measure 10,000.
     found = registry.queries()["a08_concentrated_windows"](spark, str(tmp_path)).agg(F.max("measure")).first()[0]
     assert found > 10_001
+
+
+def test_musicxml_holds_all_bars():
+    notes = [Note(60 + i % 5, 1440 * i, 1440) for i in range(12_000)]
+    back = read_musicxml(write_musicxml(Score([Track("t", "T", 0, notes)], [{"tick": 0, "numerator": 3, "denominator": 4}])))
+    assert [(n.pitch, n.start, n.duration) for n in back.tracks[0].notes] == [(n.pitch, n.start, n.duration) for n in notes]
+
+
+def test_bars_end_in_a_meter_of_no_length():
+    score = Score([Track("t", "T", 0, [Note(60, 0, 4000)])], [{"tick": 0, "numerator": 4, "denominator": 4}, {"tick": 1920, "numerator": 0, "denominator": 4}])
+    assert [b[:2] for b in bars_of(score)] == [(0.0, 1920.0), (1920.0, 3840.0), (3840.0, 5760.0)]
