@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import glyphs
+from ..operators import glyphs, omr
 from . import derived as d
 from .registry import query
 
@@ -26,9 +26,26 @@ def drawing(kind: str, space: float) -> np.ndarray:
     return glyphs.drawn(kind, space)
 
 
-def draw(rows: pd.DataFrame, clefs: bool = True) -> np.ndarray:
+@cache
+def head(high: float) -> np.ndarray:
+    """A head, from 8 rows above to 8 below the row it begins in; ``high``: how far into that row its middle is."""
+    yy, xx = np.mgrid[-8:9, -9:10]
+    return (xx / 6.5) ** 2 + ((yy - high) / 5) ** 2 <= 1
+
+
+def painted(ink: np.ndarray) -> np.ndarray:
+    """Opaque pixels, black where there is ink and white elsewhere."""
+    return np.where(ink, np.uint32(omr.BLACK), np.uint32(omr.WHITE)).view(np.uint8).reshape(*ink.shape, 4)
+
+
+def listed(rows: pd.DataFrame | dict, *columns: str) -> list[tuple]:
+    """Rows as tuples of plain values."""
+    return list(zip(*[np.asarray(rows[c]).tolist() for c in columns]))
+
+
+def draw(rows: pd.DataFrame | dict, clefs: bool = True) -> np.ndarray:
     """Pixels of one score's page; ``rows`` in order: staff, slot, kind (0 to 8), step, arc."""
-    score, d_, n = int(rows["score_id"].iloc[0]), SPACE, int(rows["staff"].max()) + 1
+    score, d_, n = int(np.ravel(rows["score_id"])[0]), SPACE, int(max(rows["staff"])) + 1
     right = FIRST + WIDE * 8 + 20
     ink = np.zeros((TOP + STAFF * n + 40, right + 40), bool)
     for s in range(n):
@@ -40,39 +57,34 @@ def draw(rows: pd.DataFrame, clefs: bool = True) -> np.ndarray:
             ink[top - STAFF : top + 4 * d_ + 2, LEFT : LEFT + 3] = True
         if clefs:
             _put(ink, drawing("treble" if score % 2 == 0 else "bass", d_), 80, top + 2 * d_ + 1)
-    y_of = lambda r: TOP + STAFF * r.staff + 2 * d_ + 0.5 - r.step * d_ / 2
-    x_of = lambda r: FIRST + WIDE * r.slot
-    yy, xx = np.mgrid[0 : ink.shape[0], 0 : ink.shape[1]]
-    items = list(rows.itertuples(index=False))
-    for r, after in zip(items, [*items[1:], None]):
-        x, y, middle = x_of(r), y_of(r), TOP + STAFF * r.staff + 2 * d_ + 1
-        if r.kind <= 4:
-            near = np.s_[int(y) - 8 : int(y) + 9, x - 9 : x + 10]
-            ink[near] |= ((xx[near] - x) / 6.5) ** 2 + ((yy[near] - y) / 5) ** 2 <= 1
-            up = r.step < 0
+    items = listed(rows, "staff", "slot", "kind", "step", "arc")
+    place = lambda staff, slot, step: (FIRST + WIDE * slot, TOP + STAFF * staff + 2 * d_ + 0.5 - step * d_ / 2)
+    for (staff, slot, kind, step, arc), after in zip(items, [*items[1:], None]):
+        (x, y), middle = place(staff, slot, step), TOP + STAFF * staff + 2 * d_ + 1
+        if kind <= 4:
+            ink[int(y) - 8 : int(y) + 9, x - 9 : x + 10] |= head(y - int(y))
+            up = step < 0
             if up:
                 ink[int(y) - 32 : int(y) + 1, x + 5 : x + 7] = True
             else:
                 ink[int(y) : int(y) + 33, x - 6 : x - 4] = True
-            if r.kind in (1, 2, 3):
-                shape = drawing(("sharp", "flat", "natural")[r.kind - 1], d_)
-                _put(ink, shape, x - 18, y if r.kind != 2 else y + 0.6 * d_ - shape.shape[0] / 2)
-            if r.kind == 4:
-                _put(ink, drawing("dot", d_), x + 14, y - (d_ / 2 if r.step % 2 == 0 else 0))
-            if r.arc:
-                x1, y1, sign = x_of(after), y_of(after), 1 if up else -1
+            if kind in (1, 2, 3):
+                shape = drawing(("sharp", "flat", "natural")[kind - 1], d_)
+                _put(ink, shape, x - 18, y if kind != 2 else y + 0.6 * d_ - shape.shape[0] / 2)
+            if kind == 4:
+                _put(ink, drawing("dot", d_), x + 14, y - (d_ / 2 if step % 2 == 0 else 0))
+            if arc:
+                (x1, y1), sign = place(after[0], after[1], after[3]), 1 if up else -1
                 t = np.linspace(0, 1, 200)
                 px, py = x + 8 + t * (x1 - x - 16), y + t * (y1 - y) + sign * (8 + 32 * t * (1 - t))
                 for i in range(6):
                     ink[py.astype(int) + i // 2, px.astype(int) + i % 2] = True
-        elif r.kind in (5, 6):
-            _put(ink, drawing(("quarter_rest", "eighth_rest")[r.kind - 5], d_), x, middle)
+        elif kind in (5, 6):
+            _put(ink, drawing(("quarter_rest", "eighth_rest")[kind - 5], d_), x, middle)
         else:  # on the middle line, or under the line above
-            a, b = (middle - 6, middle) if r.kind == 7 else (middle - d_, middle - d_ + 6)
+            a, b = (middle - 6, middle) if kind == 7 else (middle - d_, middle - d_ + 6)
             ink[a:b, x - 7 : x + 7] = True
-    out = np.full((*ink.shape, 4), 255, np.uint8)
-    out[ink, :3] = 0
-    return out
+    return painted(ink)
 
 
 def _put(ink: np.ndarray, shape: np.ndarray, x: float, y: float) -> None:
@@ -96,32 +108,34 @@ def drawn(spark, sf):
     return slots.withColumn("arc", F.coalesce((F.col("kind") <= 4) & (F.col("velocity") % 2 == 0) & after.isin(0, 4), F.lit(False)))
 
 
-def drawn_pages(rows, draw):
-    """One page a score, by a function from its rows to pixels."""
+def dealt(rows):
+    """One row a score with ``rows`` in arrays, in order of their first columns, dealt over tasks: what its page is drawn from."""
     columns = [c for c in rows.columns if c != "score_id"]
-
-    def run(batches):
-        for b in batches:
-            for r in b.itertuples(index=False):
-                a = draw(pd.DataFrame({"score_id": r.score_id, **{c: getattr(r, c) for c in columns}}))
-                yield pd.DataFrame([(r.score_id, 0, a.shape[1], a.shape[0], a.tobytes())], columns=[c.split()[0] for c in PAGE.split(", ")])
-
     # A few rows become megabytes: the number of partitions is given, or they would be put together before they grow.
     # They are dealt by a hash of the key: dealt by the key itself, as they already are, they would stay in the few partitions they are in.
     spark = rows.sparkSession
     n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    whole = rows.groupBy("score_id").agg(F.collect_list(F.struct(*columns)).alias("r")).select("score_id", *[F.col(f"r.{c}").alias(c) for c in columns])
-    return whole.repartition(n, F.xxhash64("score_id")).mapInPandas(run, PAGE)
+    whole = rows.groupBy("score_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("r")).select("score_id", F.lit(0).alias("page"), *[F.col(f"r.{c}").alias(c) for c in columns])
+    return whole.repartition(n, F.xxhash64("score_id"))
+
+
+def _drawn(rgba: np.ndarray) -> list[tuple]:
+    return [(rgba.shape[1], rgba.shape[0], rgba.tobytes())]
+
+
+def drawn_pages(rows, draw):
+    """One page a score, by a function from its rows to pixels."""
+    return omr.by_page(dealt(rows), _drawn, PAGE, draw)
 
 
 def pages(spark, sf):
     """One page a score."""
-    return drawn_pages(drawn(spark, sf), lambda rows: draw(rows.sort_values(["staff", "slot"])))
+    return drawn_pages(drawn(spark, sf), draw)
 
 
 def _symbols(spark, sf):
     slot = F.floor((F.col("x") - (FIRST - 25)) / WIDE).cast("int")
-    return glyphs.symbols(pages(spark, sf)).withColumn("slot", slot)
+    return glyphs.symbols(dealt(drawn(spark, sf)), draw).withColumn("slot", slot)
 
 
 @query("c12_symbols", d.with_sql("""SELECT score_id, CAST(staff AS INTEGER) AS staff, CAST(slot AS INTEGER) AS slot, sign AS kind, CAST(CASE WHEN sign IN ('solid', 'sharp', 'flat', 'natural') THEN step END AS INTEGER) AS step FROM (
@@ -142,4 +156,4 @@ def c13_ties(spark, sf):
 @query("c11_systems_of_staves", d.with_sql("SELECT score_id, CAST(staff AS INTEGER) AS staff, CAST(staff // (score_id % 4 + 1) AS INTEGER) AS system, CAST(staff % (score_id % 4 + 1) AS INTEGER) AS part FROM (SELECT DISTINCT score_id, note_ord // 8 AS staff FROM notes) x", "notes"))
 def c11_systems(spark, sf):
     """Staves joined into systems of one to four by the ink between them."""
-    return glyphs.barlines(pages(spark, sf)).select("score_id", "staff", "system", "part")
+    return glyphs.barlines(dealt(drawn(spark, sf)), draw).select("score_id", "staff", "system", "part")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import words
 from . import derived as d
-from .q_pages import drawn_pages
+from .q_pages import dealt, drawn_pages, listed, painted
 from .registry import query
 
 LEFT, FIRST, WIDE = 40, 80, 70
@@ -28,37 +28,35 @@ DRAWN = ("C", "Am", "G7", "Dm7")
 GAP = 2
 
 
-def draw(rows: pd.DataFrame) -> np.ndarray:
+def draw(rows: pd.DataFrame | dict) -> np.ndarray:
     """Pixels of one score's page; ``rows``: staff, slot, kind (0 to 3 words, 4 accent, 5 marcato, 6 dot, 7 a stem from below), shift to the right, drop."""
-    n, right = int(rows["staff"].max()) + 1, FIRST + WIDE * 8
+    n, right = int(max(rows["staff"])) + 1, FIRST + WIDE * 8
     ink = np.zeros((TOP + STAFF * n, right + 40), bool)
     for s in range(n):
         for line in range(5):
             y = TOP + STAFF * s + 10 * line
             ink[y : y + 2, LEFT:right] = True
-    for r in rows.itertuples(index=False):
-        x, y = FIRST + WIDE * int(r.slot) + int(r.shift), TOP + STAFF * int(r.staff) - 40 + int(r.drop)
-        if r.kind < 4:
-            for c in DRAWN[r.kind]:
+    for staff, slot, kind, shift, drop in listed(rows, "staff", "slot", "kind", "shift", "drop"):
+        x, y = FIRST + WIDE * slot + shift, TOP + STAFF * staff - 40 + drop
+        if kind < 4:
+            for c in DRAWN[kind]:
                 width, strokes = LETTERS[c]
                 for x0, y0, x1, y1 in strokes:
                     ink[y + y0 : y + y1, x + x0 : x + x1] = True
                 x += width + GAP
-        elif r.kind in (4, 5):
+        elif kind in (4, 5):
             for k in range(14):
                 a, b = k * 5 // 14, 11 - k * 5 // 14
                 for e in (a, b - 1):
-                    if r.kind == 4:
+                    if kind == 4:
                         ink[y + e : y + e + 2, x + k] = True
                     else:
                         ink[y + 13 - k, x + e : x + e + 2] = True
-        elif r.kind == 6:
+        elif kind == 6:
             ink[y + 8 : y + 12, x : x + 4] = True
         else:
-            ink[y : TOP + STAFF * int(r.staff) + 20, x : x + 2] = True
-    out = np.full((*ink.shape, 4), 255, np.uint8)
-    out[ink, :3] = 0
-    return out
+            ink[y : TOP + STAFF * staff + 20, x : x + 2] = True
+    return painted(ink)
 
 
 def drawn(spark, sf):
@@ -74,4 +72,4 @@ def pages(spark, sf):
 FROM (SELECT score_id, note_ord // 8 AS staff, pitch % 8 AS kind, 80 + 70 * (note_ord % 8) + velocity % 23 AS x, 70 + 120 * (note_ord // 8) - 40 + velocity % 4 AS y FROM notes) p WHERE kind < 4""", "notes"))
 def c14(spark, sf):
     """Boxes of all words and the letters in each; accents, marcatos, dots and stems are none."""
-    return words.words(pages(spark, sf)).select("score_id", "staff", "x0", "x1", "y0", "y1", F.col("letters"))
+    return words.words(dealt(drawn(spark, sf)), draw).select("score_id", "staff", "x0", "x1", "y0", "y1", F.col("letters"))
