@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tonelake.operators import glyphs, omr
+from tonelake.operators import glyphs, omr, words
 from tonelake.plans import q_pages, q_tuplets, q_words, registry
 
 SF = "/root/testdata/sf0.001"
@@ -91,5 +91,31 @@ def test_lines_are_taken_out_row_by_row():
 def test_drawing_takes_tables_and_arrays():
     rows = {"score_id": 1, "note_ord": np.arange(12), "step": np.arange(12) % 3 - 1, "kind": np.repeat([0, 1, 2, 5], 3), "whole": np.ones(12, bool), "up": np.zeros(12, bool), "slope": np.full(12, 0.03)}
     assert (q_tuplets.draw(rows) == q_tuplets.draw(pd.DataFrame(rows))).all()
-    words = {"score_id": 1, "staff": np.zeros(8, int), "slot": np.arange(8), "kind": np.arange(8), "shift": np.arange(8), "drop": np.arange(8) % 4}
-    assert (q_words.draw(words) == q_words.draw(pd.DataFrame(words))).all()
+    drawn = {"score_id": 1, "staff": np.zeros(8, int), "slot": np.arange(8), "kind": np.arange(8), "shift": np.arange(8), "drop": np.arange(8) % 4}
+    assert (q_words.draw(drawn) == q_words.draw(pd.DataFrame(drawn))).all()
+
+
+def test_letters_are_judged_once(monkeypatch):
+    a = q_words.draw({"score_id": 1, "staff": np.zeros(8, int), "slot": np.arange(8), "kind": np.arange(8), "shift": np.arange(8), "drop": np.arange(8) % 4})
+    want = words.read_words(a)
+    monkeypatch.setattr(np, "polyfit", None)
+    assert words.read_words(a) == want != []
+
+
+def test_components_against_flooding():
+    rng = np.random.default_rng(2)
+    for fill in (0.05, 0.3, 0.45, 0.7):
+        ink = rng.random((23, 31)) < fill
+        left, want = {tuple(p) for p in np.argwhere(ink).tolist()}, []
+        while left:
+            todo, piece = [left.pop()], []
+            while todo:
+                y, x = todo.pop()
+                piece.append((y, x))
+                near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            ys, xs = zip(*piece)
+            want.append((min(xs), max(xs) + 1, min(ys), max(ys) + 1, len(piece)))
+        assert sorted(tuple(c[k] for k in ("x0", "x1", "y0", "y1", "area")) for c in omr.components(ink)) == sorted(want)
+    assert omr.components(np.zeros((4, 5), bool)) == omr.components(np.zeros((0, 5), bool)) == []
