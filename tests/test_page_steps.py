@@ -119,3 +119,10 @@ def test_components_against_flooding():
             want.append((min(xs), max(xs) + 1, min(ys), max(ys) + 1, len(piece)))
         assert sorted(tuple(c[k] for k in ("x0", "x1", "y0", "y1", "area")) for c in omr.components(ink)) == sorted(want)
     assert omr.components(np.zeros((4, 5), bool)) == omr.components(np.zeros((0, 5), bool)) == []
+
+
+def test_symbols_are_judged_once(monkeypatch):
+    a = page()
+    want = glyphs.read_symbols(a)
+    monkeypatch.setattr(glyphs, "features", None)
+    assert glyphs.read_symbols(a) == want != []
