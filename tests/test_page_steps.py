@@ -126,3 +126,12 @@ def test_symbols_are_judged_once(monkeypatch):
     want = glyphs.read_symbols(a)
     monkeypatch.setattr(glyphs, "features", None)
     assert glyphs.read_symbols(a) == want != []
+
+
+def test_no_path_is_sought_without_ink(monkeypatch):
+    bare = q_pages.draw({"score_id": 3, "staff": np.arange(20) // 8, "slot": np.arange(20) % 8, "kind": np.zeros(20, int), "step": np.arange(20) % 3 * 2 - 2, "arc": np.zeros(20, bool)})
+    tied = q_pages.draw({"score_id": 3, "staff": np.zeros(3, int), "slot": np.arange(3), "kind": np.zeros(3, int), "step": np.zeros(3, int), "arc": np.array([True, True, False])})
+    seek, sought = glyphs.path_between, []
+    monkeypatch.setattr(glyphs, "path_between", lambda *a: sought.append(a) or seek(*a))
+    assert [r[7] for r in glyphs.read_symbols(bare) if r[3] == "solid"] == [False] * 20 and not sought
+    assert [r[7] for r in glyphs.read_symbols(tied) if r[3] == "solid"] == [False, True, True] and sought
