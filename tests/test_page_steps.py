@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tonelake.operators import glyphs, omr, words
+from tonelake.operators import glyphs, omr, tuplets, words
 from tonelake.plans import q_pages, q_tuplets, q_words, registry
 
 SF = "/root/testdata/sf0.001"
@@ -129,9 +129,27 @@ def test_symbols_are_judged_once(monkeypatch):
 
 
 def test_no_path_is_sought_without_ink(monkeypatch):
-    bare = q_pages.draw({"score_id": 3, "staff": np.arange(20) // 8, "slot": np.arange(20) % 8, "kind": np.zeros(20, int), "step": np.arange(20) % 3 * 2 - 2, "arc": np.zeros(20, bool)})
+    bare = q_pages.draw({"score_id": 3, "staff": np.arange(20) // 8, "slot": np.arange(20) % 8, "kind": np.full(20, 4), "step": np.arange(20) % 3 * 2 - 2, "arc": np.zeros(20, bool)})  # heads with dots
     tied = q_pages.draw({"score_id": 3, "staff": np.zeros(3, int), "slot": np.arange(3), "kind": np.zeros(3, int), "step": np.zeros(3, int), "arc": np.array([True, True, False])})
     seek, sought = glyphs.path_between, []
     monkeypatch.setattr(glyphs, "path_between", lambda *a: sought.append(a) or seek(*a))
     assert [r[7] for r in glyphs.read_symbols(bare) if r[3] == "solid"] == [False] * 20 and not sought
     assert [r[7] for r in glyphs.read_symbols(tied) if r[3] == "solid"] == [False, True, True] and sought
+
+
+def test_lines_are_fitted_once(monkeypatch):
+    rows = {"score_id": 1, "note_ord": np.arange(18), "step": np.arange(18) % 3 - 1, "kind": np.repeat([0, 2, 3, 5, 1, 4], 3), "whole": np.ones(18, bool), "up": np.arange(18) > 8, "slope": np.full(18, 0.03)}
+    a = q_tuplets.draw(rows)
+    want = tuplets.read_tuplets(a)
+    assert {r[5] for r in want} == {3, 5, None}
+    monkeypatch.setattr(np, "polyfit", None)
+    assert tuplets.read_tuplets(a) == want
+
+
+def test_strokes_hold_only_thin_ink():
+    ink = np.zeros((60, 120), bool)
+    ink[20:22, 10:60] = ink[20:22, 80:110] = True  # a stroke with a gap
+    ink[40:48, 10:110] = True  # a beam
+    ink[0:2, 5:100] = True  # at the edge
+    found = tuplets.strokes(ink, 10.0)
+    assert [(s["x0"], s["x1"], s["gaps"]) for s in found] == [(5, 100, []), (10, 110, [(60, 80)])]
