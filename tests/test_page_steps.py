@@ -153,3 +153,8 @@ def test_strokes_hold_only_thin_ink():
     ink[0:2, 5:100] = True  # at the edge
     found = tuplets.strokes(ink, 10.0)
     assert [(s["x0"], s["x1"], s["gaps"]) for s in found] == [(5, 100, []), (10, 110, [(60, 80)])]
+
+
+def test_bars_of_tuplets_move_no_pixels(spark):
+    plan = registry.queries()["c31_tuplets_fit_bars"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") >= 1 and "rgba" not in plan
