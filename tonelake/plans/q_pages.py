@@ -125,7 +125,7 @@ def _drawn(rgba: np.ndarray) -> list[tuple]:
 
 def drawn_pages(rows, draw):
     """One page a score, by a function from its rows to pixels."""
-    return omr.by_page(dealt(rows), _drawn, PAGE, draw)
+    return omr.by_page(dealt(rows), _drawn, PAGE, draw, most=1)
 
 
 def pages(spark, sf):
